@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, sharding
+from . import bpe, exact_dedup, html_text, packing, ppm, quality, sharding, warc
 
 SHARDS = 16
 CAPACITY = 2048
@@ -41,10 +41,28 @@ def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.judge(documents, quality.references(documents))
+
+
+def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"), with_payload=False).drop("url")
+
+
+def op5_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), digests_only=True)
 
 
+def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return ppm.identify(documents, ppm.train(documents))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -52,11 +70,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
+    "op3_divergence_rules": op3_divergence_rules,
+    "op4_warc_normaliser": op4_warc_normaliser,
+    "op5_block_tree": op5_block_tree,
     "op7_chunked_bpe": op7_chunked_bpe,
+    "op9_ppm_language": op9_ppm_language,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {5 * group + 1}, 5))::INT >> {shift}) & 31), 1)" for group in range(8) for shift in (15, 10, 5, 0)
+)
+
 ORACLES: dict[str, str] = {
+    "op4_warc_normaliser": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        f AS (SELECT html, min(page_id) AS first_id, sha1(html) AS h, octet_length(encode(html)) AS n FROM p GROUP BY html),
+        d AS (SELECT html, first_id, n, {_BASE32} AS digest FROM f)
+        SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM p JOIN d USING (html)""",
     "op10_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
         g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
