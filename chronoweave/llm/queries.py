@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, packing, ppm, quality, sharding, warc
+from . import bpe, exact_dedup, html_text, jaccard_groups, packing, ppm, quality, sharding, warc
 
 SHARDS = 16
 CAPACITY = 2048
@@ -54,6 +54,10 @@ def op5_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op6_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), digests_only=True)
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_divergence_rules": op3_divergence_rules,
     "op4_warc_normaliser": op4_warc_normaliser,
     "op5_block_tree": op5_block_tree,
+    "op6_token_group_join": op6_token_group_join,
     "op7_chunked_bpe": op7_chunked_bpe,
     "op9_ppm_language": op9_ppm_language,
     "op10_exact_dedup": op10_exact_dedup,
