@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,3 +68,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 def literal_rows(spark: SparkSession, rows_json: str, schema: str) -> DataFrame:
     """Rows of a small driver-side table out of one JSON literal; stays inside Spark's JVM."""
     return spark.range(1).select(F.explode(F.from_json(F.lit(rows_json), f"array<struct<{schema}>>")).alias("x")).select("x.*")
+
+
+def keep_rows(df: DataFrame, text_col: str, decide: Callable[[list[str]], list[bool]], rows: int = 128) -> DataFrame:
+    """The rows of df, with all their columns, for whose texts (null as empty) decide is true.  A map over Arrow batches, without a shuffle."""
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, rows):
+            yield batch.filter(pa.array(decide([t or "" for t in batch.column(place).to_pylist()]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

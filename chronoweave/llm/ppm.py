@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, slices
+from .common import col, keep_rows, slices
 
 ORDER = 3
 #: ASCII letters to lower case, other ASCII to space, bytes of longer characters stay.
@@ -173,6 +173,26 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model({name: b"   ".join(texts) for name, texts in by_lang.items()})
 
 
+def predict(model: Model, texts: list[str], evidence: int = 64) -> tuple[list[str], list[float], list[float | None]]:
+    """Language, score and bits per coded byte of each text."""
+    lang, score, rate = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
+    at = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if model.langs else []
+    if at:
+        bits, coded = model.bits([fold(texts[i]) for i in at])
+        coded = np.maximum(coded, 1)
+        excess = (bits - bits.min(axis=1, keepdims=True)) * (np.minimum(coded, evidence) / coded)[:, None]
+        share = 1 / np.exp2(-excess).sum(axis=1)
+        for i, k, s, b in zip(at, bits.argmin(axis=1).tolist(), share.tolist(), (bits.min(axis=1) / coded).tolist(), strict=True):
+            lang[i], score[i], rate[i] = model.langs[k], s, b
+    return lang, score, rate
+
+
+def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
+    """The rows of df whose language is told with at least this score; rows of "und" go."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(df, text_col, lambda texts: [s >= least_score for s in predict(shared.value, texts)[1]])
+
+
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", evidence: int = 64) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score, bits_per_byte.
 
@@ -186,16 +206,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in slices(batches, 128):
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            lang, score, rate = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
-            at = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if model.langs else []
-            if at:
-                bits, coded = model.bits([fold(texts[i]) for i in at])
-                coded = np.maximum(coded, 1)
-                excess = (bits - bits.min(axis=1, keepdims=True)) * (np.minimum(coded, evidence) / coded)[:, None]
-                share = 1 / np.exp2(-excess).sum(axis=1)
-                for i, k, s, b in zip(at, bits.argmin(axis=1).tolist(), share.tolist(), (bits.min(axis=1) / coded).tolist(), strict=True):
-                    lang[i], score[i], rate[i] = model.langs[k], s, b
+            lang, score, rate = predict(model, [t or "" for t in batch.column(2).to_pylist()], evidence)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], schema=arrow)
 
     rows = df.select(col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), col(text_col).alias("text"))

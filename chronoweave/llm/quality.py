@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, slices
+from .common import col, keep_rows, slices
 
 #: Frequent function words, by language.
 COMMON_WORDS = {
@@ -145,28 +145,43 @@ def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang", le
     return {lang: h for lang, h in sorted(out.items()) if sum(h[7:]) >= least_reference}
 
 
-def judge(df: DataFrame, reference: dict[str, list[float]], id_col: str = "doc_id", text_col: str = "text", char_limit: float = 0.25, word_limit: float = 0.32, least_chars: int = 60, least_words: int = 100) -> DataFrame:
+class Judge:
+    """Decides over one text at a time, by frozen references and limits."""
+
+    def __init__(self, reference: dict[str, list[float]], char_limit: float = 0.25, word_limit: float = 0.32, least_chars: int = 60, least_words: int = 100):
+        self.langs, self.table = list(reference), np.array(list(reference.values()), float).reshape(len(reference), -1)
+        self.char_limit, self.word_limit, self.least_chars, self.least_words = char_limit, word_limit, least_chars, least_words
+
+    def __call__(self, text: str) -> tuple:
+        """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance, nearest."""
+        words, raw, counts, failed = base_rules(text)
+        if failed or not self.langs:
+            return (*counts, failed, not failed, None, None, None)
+        own = histograms(words, raw)
+        chars, common = distance(own[:7], self.table[:, :7]), distance(own[7:], self.table[:, 7:])
+        k = int((chars + common).argmin())
+        char, word = float(chars[k]), float(common[k])
+        kept = (own[:7].sum() < self.least_chars or char <= self.char_limit) and (len(words) < self.least_words or word <= self.word_limit)
+        return (*counts, failed, bool(kept), char, word, self.langs[k])
+
+
+def keep_clean(df: DataFrame, reference: dict[str, list[float]], text_col: str = "text", **limits: float) -> DataFrame:
+    """The rows of df, with all their columns, that the rules keep."""
+    verdict = Judge(reference, **limits)
+    return keep_rows(df, text_col, lambda texts: [verdict(t)[6] for t in texts], 512)
+
+
+def judge(df: DataFrame, reference: dict[str, list[float]], id_col: str = "doc_id", text_col: str = "text", **limits: float) -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance, nearest."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     arrow = pa.schema([("doc_id", pa.int64()), *[(n, pa.int64()) for n in names], ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("char_distance", pa.float64()), ("word_distance", pa.float64()), ("nearest", pa.string())])
-    langs, table = list(reference), np.array(list(reference.values()), float).reshape(len(reference), -1)
+    verdict = Judge(reference, **limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out: list[list] = [[] for _ in arrow]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words, raw, counts, failed = base_rules(text.as_py() or "")
-                char = word = nearest = None
-                kept = not failed
-                if kept and langs:
-                    own = histograms(words, raw)
-                    chars, common = distance(own[:7], table[:, :7]), distance(own[7:], table[:, 7:])
-                    k = int((chars + common).argmin())
-                    char, word, nearest = float(chars[k]), float(common[k]), langs[k]
-                    kept = (own[:7].sum() < least_chars or char <= char_limit) and (len(words) < least_words or word <= word_limit)
-                for column, value in zip(out, (doc, *counts, failed, kept, char, word, nearest), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+            found = [(doc, *verdict(text.as_py() or "")) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            columns = zip(*found, strict=True) if found else [[] for _ in arrow]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     rows = df.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean, char_distance double, word_distance double, nearest string")

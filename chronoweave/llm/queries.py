@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, jaccard_groups, packing, ppm, quality, sharding, warc
+from . import bpe, exact_dedup, html_text, jaccard_groups, line_chunks, packing, ppm, quality, sharding, warc
 
 SHARDS = 16
 CAPACITY = 2048
@@ -62,6 +62,11 @@ def op7_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), digests_only=True)
 
 
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_chunks.drop_repeated_chunks(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", "n_chunks_removed", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return ppm.identify(documents, ppm.train(documents))
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_block_tree": op5_block_tree,
     "op6_token_group_join": op6_token_group_join,
     "op7_chunked_bpe": op7_chunked_bpe,
+    "op8_line_chunks": op8_line_chunks,
     "op9_ppm_language": op9_ppm_language,
     "op10_exact_dedup": op10_exact_dedup,
 }
