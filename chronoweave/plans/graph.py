@@ -1 +1,280 @@
-"""Queries."""
+"""Edges, degrees, components, neighbourhoods and message passing over the event pool."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..operators import components, edges, gnn
+from ..operators.asof import earliest
+from ..sources.adapter import CE, OBS, crossing_events, observations
+from .registry import query
+
+#: Snapshot of the queries that follow paths; degrees are taken later.
+DAY, LATE = "2024-01-03", "2024-01-20"
+
+GRAPH = f""" {CE},
+ home AS (SELECT identity, split_part(identity, '-', 1) AS household, min(t) AS t FROM ce GROUP BY 1, 2),
+ hotv AS (SELECT vehicle_id, min(label_available) AS hot_time FROM ce WHERE seizure GROUP BY 1),
+ edges AS (SELECT a.identity AS u, b.identity AS v, greatest(a.t, b.t) AS avail_time, 0 AS rel, 'COTRAVEL' AS edge_type FROM ce a JOIN ce b ON a.co_key = b.co_key AND a.identity <> b.identity
+  UNION ALL SELECT a.identity, b.identity, greatest(a.t, b.t), 1, 'RESIDENCE' FROM home a JOIN home b ON a.household = b.household AND a.identity <> b.identity
+  UNION ALL SELECT a.identity, b.identity, greatest(a.t, b.t), CASE WHEN greatest(a.t, b.t) >= hot_time THEN 3 ELSE 2 END, CASE WHEN greatest(a.t, b.t) >= hot_time THEN 'SHARED_PLATE_HOT' ELSE 'SHARED_PLATE' END
+   FROM ce a JOIN ce b ON a.vehicle_id = b.vehicle_id AND a.identity <> b.identity LEFT JOIN hotv ON hotv.vehicle_id = a.vehicle_id),
+ act AS (SELECT * FROM edges WHERE avail_time < TIMESTAMP '{DAY}'),
+ nodes AS (SELECT DISTINCT identity AS node FROM ce)"""
+ROOTS = """,
+ r0(node, root) AS (SELECT node, node FROM nodes UNION SELECT e.v, r.root FROM r0 r JOIN act e ON e.u = r.node AND e.rel = 0),
+ travel AS (SELECT node, min(root) AS root FROM r0 GROUP BY node),
+ r1(node, root) AS (SELECT node, node FROM nodes UNION SELECT e.v, r.root FROM r1 r JOIN act e ON e.u = r.node AND e.rel = 1),
+ homes AS (SELECT node, min(root) AS root FROM r1 GROUP BY node),
+ spans AS (SELECT t.root, count(*) AS size, count(DISTINCT h.root) AS households FROM travel t JOIN homes h USING (node) GROUP BY t.root)"""
+DEGREES = "deg AS (SELECT node, count(*) FILTER (rel = 0) AS deg_0, count(*) FILTER (rel = 1) AS deg_1, count(*) FILTER (rel = 2) AS deg_2, count(*) FILTER (rel = 3) AS deg_3 FROM (SELECT u AS node, rel FROM {src} UNION ALL SELECT v, rel FROM {src}) GROUP BY node)"
+
+
+def parts(spark, sf):
+    """(events, households, nodes)."""
+    ce = crossing_events(spark, sf)
+    home = ce.groupBy("identity", F.split_part("identity", F.lit("-"), F.lit(1)).alias("household")).agg(F.min("t").alias("t"))
+    return ce, home, ce.select(F.col("identity").alias("node")).distinct()
+
+
+def active_edges(spark, sf, day=DAY):
+    """Edges as of a day: rows are cut before the self-joins, which is the same since a pair's time is the later one."""
+    ce, home, nodes = parts(spark, sf)
+    moment = F.lit(day).cast("timestamp")
+    early = ce.where(F.col("t") < moment)
+    hot = edges.first_seizure(ce)
+    found = edges.cotravel(early).unionByName(edges.residence(home.where(F.col("t") < moment))).unionByName(edges.shared_plate(early, hot))
+    return found, nodes, ce
+
+
+@query(f"WITH {OBS} SELECT a.identity AS u, b.identity AS v, strftime(greatest(a.t, b.t), '%Y-%m-%d') AS avail, count(*) AS n FROM obs a JOIN obs b ON a.event_id = b.event_id AND a.identity <> b.identity GROUP BY 1, 2, 3")
+def edges_cotravel(spark, sf):
+    obs, _ = observations(spark, sf)
+    found = edges.cotravel(obs, "event_id")
+    return found.groupBy("u", "v", F.date_format("avail_time", "yyyy-MM-dd").alias("avail")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {OBS} SELECT a.identity AS u, b.identity AS v, strftime(greatest(a.t, b.t), '%Y-%m-%d') AS avail FROM house a JOIN house b ON a.household = b.household AND a.identity <> b.identity")
+def edges_residence(spark, sf):
+    _, house = observations(spark, sf)
+    return edges.residence(house).select("u", "v", F.date_format("avail_time", "yyyy-MM-dd").alias("avail"))
+
+
+@query(f"""WITH {OBS}, hot AS (SELECT vehicle_id, min(t) AS hot_time FROM obs WHERE vehicle_id IS NOT NULL AND event_id % 5 = 0 GROUP BY 1)
+ SELECT a.identity AS u, b.identity AS v, strftime(greatest(a.t, b.t), '%Y-%m-%d') AS avail, CASE WHEN greatest(a.t, b.t) >= hot_time THEN 3 ELSE 2 END AS rel, count(*) AS n
+ FROM obs a JOIN obs b ON a.vehicle_id = b.vehicle_id AND a.identity <> b.identity LEFT JOIN hot ON hot.vehicle_id = a.vehicle_id GROUP BY 1, 2, 3, 4""")
+def edges_shared_plate(spark, sf):
+    obs, _ = observations(spark, sf)
+    hot = obs.where("vehicle_id IS NOT NULL AND event_id % 5 = 0").groupBy("vehicle_id").agg(F.min("t").alias("hot_time"))
+    return edges.shared_plate(obs, hot).groupBy("u", "v", F.date_format("avail_time", "yyyy-MM-dd").alias("avail"), "rel").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FRAME = "lpad(hex(strlen({x})), 16, '0') || hex(encode({x}))"
+
+
+def _framed_sql(*xs: str) -> str:
+    return "sha256(unhex(" + " || ".join(f"lpad(to_hex(strlen({x})), 16, '0') || hex(encode({x}))" for x in xs) + "))"
+
+
+@query(f"""WITH {GRAPH}, o AS (SELECT u, v, strftime(avail_time, '%Y-%m-%dT%H:%M:%S') AS s, edge_type, row_number() OVER (PARTITION BY u, v, avail_time, edge_type) - 1 AS occurrence FROM act)
+ SELECT u, v, s AS stamp, edge_type, occurrence, {_framed_sql('u', 'v', 's', 'edge_type', 'occurrence::VARCHAR')} AS source_row_id, {_framed_sql('least(u, v)', 'greatest(u, v)', 'edge_type')} AS canonical_pair_group_id FROM o""")
+def edge_provenance_ids(spark, sf):
+    found, _, _ = active_edges(spark, sf)
+    stamp = F.date_format("avail_time", "yyyy-MM-dd'T'HH:mm:ss").alias("stamp")
+    return edges.provenance(found).select("u", "v", stamp, "edge_type", "occurrence", "source_row_id", "canonical_pair_group_id")
+
+
+@query(f"WITH {GRAPH}, late AS (SELECT * FROM edges WHERE avail_time < TIMESTAMP '{LATE}'), {DEGREES.format(src='late')} SELECT * FROM deg")
+def asof_degree(spark, sf):
+    ce, home, _ = parts(spark, sf)
+    out = edges.degrees(ce, home, F.lit(LATE).cast("timestamp")).withColumnRenamed("identity", "node")
+    return out.where("deg_0 + deg_1 + deg_2 + deg_3 > 0")
+
+
+def travel_and_home(found, nodes):
+    return components.connected(found.where("rel = 0"), nodes), components.connected(found.where("rel = 1"), nodes)
+
+
+@query(f"WITH RECURSIVE {GRAPH} {ROOTS} SELECT node, root FROM travel")
+def components_asof(spark, sf):
+    found, nodes, _ = active_edges(spark, sf)
+    return components.connected(found.where("rel = 0"), nodes)
+
+
+_DAYS = ("2024-01-02", "2024-01-03", "2024-01-04")
+
+
+@query(f"""WITH RECURSIVE {GRAPH}, days AS (SELECT unnest(['{"', '".join(_DAYS)}']) AS day_text), de AS (SELECT DISTINCT day_text, u, v FROM edges, days WHERE rel = 0 AND avail_time < day_text::TIMESTAMP),
+ r(day_text, node, root) AS (SELECT DISTINCT day_text, u, u FROM de UNION SELECT r.day_text, de.v, r.root FROM r JOIN de ON de.u = r.node AND de.day_text = r.day_text)
+ SELECT day_text, count(*) AS nodes, count(DISTINCT root) AS components, max(size) AS largest FROM (SELECT day_text, node, root, count(*) OVER (PARTITION BY day_text, root) AS size FROM (SELECT day_text, node, min(root) AS root FROM r GROUP BY 1, 2)) GROUP BY day_text""")
+def components_by_day(spark, sf):
+    ce, _, _ = parts(spark, sf)
+    days = F.explode(F.array(*map(F.lit, _DAYS)))
+    travel = edges.cotravel(ce.where(F.col("t") < F.lit(_DAYS[-1]).cast("timestamp"))).withColumn("day_text", days).where(F.col("avail_time") < F.col("day_text").cast("timestamp"))
+    roots = components.connected(travel, keys=("day_text",))
+    sizes = roots.groupBy("day_text", "root").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.groupBy("day_text").agg(F.sum("size").alias("nodes"), F.count(F.lit(1)).alias("components"), F.max("size").alias("largest"))
+
+
+@query(f"WITH RECURSIVE {GRAPH} {ROOTS} SELECT node, t.root, size, households FROM travel t JOIN spans USING (root)")
+def component_struct(spark, sf):
+    found, nodes, _ = active_edges(spark, sf)
+    return components.spans(*travel_and_home(found, nodes))
+
+
+def node_features(spark, sf):
+    """node, f0 .. f7: 1, four degrees, log1p of component size and households, caught."""
+    found, nodes, ce = active_edges(spark, sf)
+    _, home, _ = parts(spark, sf)
+    moment = F.lit(DAY).cast("timestamp")
+    struct = components.spans(*travel_and_home(found, nodes))
+    caught = earliest(ce, F.col("seizure")).select(F.col("identity").alias("node"), (F.col("caught_time") < moment).cast("double").alias("caught"))
+    rows = nodes.join(edges.degrees(ce, home, moment).withColumnRenamed("identity", "node"), "node", "left").join(struct, "node").join(caught, "node", "left").fillna(0)
+    values = [F.lit(1.0), *[F.col(f"deg_{r}").cast("double") for r in range(4)], F.log1p("size"), F.log1p("households"), F.col("caught")]
+    return rows.select("node", *[v.alias(f"f{i}") for i, v in enumerate(values)]), found, struct.select("node", "root")
+
+
+FEATURES = f"""{DEGREES.format(src='act')}, feat AS (SELECT n.node, 1.0::DOUBLE AS f0, coalesce(deg_0, 0)::DOUBLE AS f1, coalesce(deg_1, 0)::DOUBLE AS f2, coalesce(deg_2, 0)::DOUBLE AS f3, coalesce(deg_3, 0)::DOUBLE AS f4,
+ ln(1 + size::DOUBLE) AS f5, ln(1 + households::DOUBLE) AS f6, CASE WHEN caught_time < TIMESTAMP '{DAY}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f7
+ FROM nodes n LEFT JOIN deg USING (node) JOIN travel t USING (node) JOIN spans s ON s.root = t.root LEFT JOIN caught ON caught.identity = n.node)"""
+
+
+@query(f"WITH RECURSIVE {GRAPH} {ROOTS}, {FEATURES} SELECT node, f0, f1, f2, f3, f4, round(f5, 9) AS f5, round(f6, 9) AS f6, f7 FROM feat")
+def node_features_asof(spark, sf):
+    rows, _, _ = node_features(spark, sf)
+    return rows.withColumns({c: F.round(c, 9) for c in ("f5", "f6")})
+
+
+_TARGET = "tgt AS (SELECT min(u) AS node FROM act WHERE rel = 0)"
+_BFS = f"{_TARGET}, p AS (SELECT DISTINCT u, v FROM act), h1 AS (SELECT DISTINCT v AS node FROM p JOIN tgt ON u = node), h2 AS (SELECT DISTINCT v AS node FROM p JOIN h1 ON u = node), dist AS (SELECT node, min(d) AS distance FROM (SELECT node, 0 AS d FROM tgt UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) GROUP BY node)"
+
+
+def _target(found):
+    return found.where("rel = 0").agg(F.min("u").alias("node"))
+
+
+@query(f"WITH {GRAPH}, {_BFS} SELECT node, distance FROM dist")
+def khop2(spark, sf):
+    found, _, _ = active_edges(spark, sf)
+    return components.distances(found, _target(found), 2)
+
+
+@query(f"WITH RECURSIVE {GRAPH} {ROOTS}, {_BFS} SELECT t.node, coalesce(distance, -1) AS distance FROM travel t LEFT JOIN dist d USING (node) WHERE t.root = (SELECT root FROM travel JOIN tgt USING (node)) OR d.node IS NOT NULL")
+def community_distances(spark, sf):
+    found, nodes, _ = active_edges(spark, sf)
+    roots = components.connected(found.where("rel = 0"), nodes)
+    own = roots.join(F.broadcast(roots.join(_target(found), "node").select("root")), "root").select("node")
+    return own.join(components.distances(found, _target(found), 2), "node", "full").select("node", F.coalesce("distance", F.lit(-1)).alias("distance"))
+
+
+@query(f"WITH {GRAPH}, {_BFS} SELECT least(u, v) AS a, greatest(u, v) AS b, rel, count(*) AS n, strftime(min(avail_time), '%Y-%m-%d %H:%M:%S') AS first_time, max(greatest(x.distance, y.distance)) AS hop FROM act JOIN dist x ON x.node = u JOIN dist y ON y.node = v GROUP BY 1, 2, 3")
+def canonical_edges(spark, sf):
+    found, _, _ = active_edges(spark, sf)
+    near = components.distances(found, _target(found), 2)
+    inside = found.join(near.select(F.col("node").alias("u"), F.col("distance").alias("x")), "u").join(near.select(F.col("node").alias("v"), F.col("distance").alias("y")), "v")
+    return inside.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "rel").agg(F.count(F.lit(1)).alias("n"), F.date_format(F.min("avail_time"), "yyyy-MM-dd HH:mm:ss").alias("first_time"), F.max(F.greatest("x", "y")).alias("hop"))
+
+
+@query(f"""WITH {GRAPH}, {_BFS}, w AS (SELECT d.node, d.distance, count(*) AS rows_ FROM dist d JOIN act ON act.u = d.node GROUP BY 1, 2), k AS (SELECT * FROM w ORDER BY distance, rows_ DESC, node LIMIT 24)
+ SELECT a.u, a.v, a.rel, count(*) AS n FROM act a WHERE u IN (SELECT node FROM k) AND v IN (SELECT node FROM k) AND u < v GROUP BY 1, 2, 3""")
+def local_projection(spark, sf):
+    found, _, _ = active_edges(spark, sf)
+    near = components.distances(found, _target(found), 2)
+    weighed = near.join(found.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("n")), "node")
+    kept = weighed.orderBy("distance", F.col("n").desc(), "node").limit(24).select("node")
+    inside = found.where("u < v").join(F.broadcast(kept.withColumnRenamed("node", "u")), "u").join(F.broadcast(kept.withColumnRenamed("node", "v")), "v")
+    return inside.groupBy("u", "v", "rel").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {GRAPH} SELECT u AS node, string_agg(DISTINCT edge_type, ',' ORDER BY edge_type) AS categories FROM act GROUP BY u")
+def relationship_categories(spark, sf):
+    found, _, _ = active_edges(spark, sf)
+    return found.groupBy(F.col("u").alias("node")).agg(F.array_join(F.array_sort(F.collect_set("edge_type")), ",").alias("categories"))
+
+
+@query()
+def bridges(spark, sf):
+    found, _, _ = active_edges(spark, sf)
+    return components.bridges(found.where("rel = 0"))
+
+
+_W = {n: gnn.fixed_weights(*shape) for n, shape in {"l1": (8, 3, 1), "r1": (8, 3, 2), "l2": (3, 3, 3), "r2": (3, 3, 4), "q0": (8, 3, 5), "q1": (8, 3, 6), "q2": (8, 3, 7), "q3": (8, 3, 8)}.items()}
+_B, _HEAD, _BIAS = [0.1, -0.05, 0.02], [0.6, -0.4, 0.3], -0.2
+
+
+def _combo(prefix: str, w: list[list[float]], j: int) -> str:
+    return " + ".join(f"coalesce({prefix}{i}, 0) * ({w[i][j]}::DOUBLE)" for i in range(len(w)))
+
+
+def _layer_sql(source: str, out: str, wl: str, wr: str, relu: bool) -> str:
+    dims = len(_W[wl])
+    mean = ", ".join(f"avg(f{i}) AS m{i}" for i in range(dims))
+    vals = []
+    for j in range(3):
+        e = f"({_B[j]}::DOUBLE + {_combo('m', _W[wl], j)} + {_combo('s.f', _W[wr], j)})"
+        vals.append((f"greatest({e}, 0)" if relu else e) + f" AS f{j}")
+    return f"{out}_m AS (SELECT a.v AS node, {mean} FROM act a JOIN {source} x ON x.node = a.u GROUP BY a.v), {out} AS (SELECT s.node, {', '.join(vals)} FROM {source} s LEFT JOIN {out}_m USING (node))"
+
+
+_SCALED = "scaled AS (SELECT node, f0, ln(1 + f1) AS f1, ln(1 + f2) AS f2, ln(1 + f3) AS f3, ln(1 + f4) AS f4, f5, f6, f7 FROM feat)"
+_POOL = "pooled AS (SELECT t.node, " + ", ".join(f"avg(z.f{i}) OVER (PARTITION BY t.root) AS f{i}" for i in range(3)) + " FROM z2 z JOIN travel t USING (node))"
+
+
+def _scaled(rows):
+    return rows.select("node", "f0", *[F.log1p(f"f{i}").alias(f"f{i}") for i in range(1, 5)], "f5", "f6", "f7")
+
+
+def _sage(spark, sf):
+    rows, found, roots = node_features(spark, sf)
+    pairs = gnn.pair_counts(found)
+    one = gnn.sage_layer(_scaled(rows), pairs, _W["l1"], _W["r1"], _B, relu=True)
+    return gnn.sage_layer(one, pairs, _W["l2"], _W["r2"], _B, relu=False), roots
+
+
+@query(f"WITH RECURSIVE {GRAPH} {ROOTS}, {FEATURES}, {_SCALED}, {_layer_sql('scaled', 'z1', 'l1', 'r1', True)}, {_layer_sql('z1', 'z2', 'l2', 'r2', False)} SELECT node, round(f0, 6) AS f0, round(f1, 6) AS f1, round(f2, 6) AS f2 FROM z2")
+def sage_forward(spark, sf):
+    z, _ = _sage(spark, sf)
+    return z.select("node", *[F.round(f"f{i}", 6).alias(f"f{i}") for i in range(3)])
+
+
+@query(f"""WITH RECURSIVE {GRAPH} {ROOTS}, {FEATURES}, {_SCALED}, {_layer_sql('scaled', 'z1', 'l1', 'r1', True)}, {_layer_sql('z1', 'z2', 'l2', 'r2', False)}, {_POOL}
+ SELECT node, round(1 / (1 + exp(-({_BIAS}::DOUBLE + {' + '.join(f'f{i} * ({w}::DOUBLE)' for i, w in enumerate(_HEAD))}))), 6) AS probability FROM pooled""")
+def component_mean_pool(spark, sf):
+    z, roots = _sage(spark, sf)
+    return gnn.head(gnn.pool_by_root(z, roots, 3), _HEAD, _BIAS).select("node", F.round("probability", 6).alias("probability"))
+
+
+_REL_MEANS = ", ".join(f"rm{r} AS (SELECT a.v AS node, {', '.join(f'avg(f{i}) AS m{r}_{i}' for i in range(8))} FROM act a JOIN scaled x ON x.node = a.u WHERE a.rel = {r} GROUP BY a.v)" for r in range(4))
+_REL_VALUES = ", ".join(f"round(greatest({_B[j]}::DOUBLE + {_combo('s.f', _W['r1'], j)} + " + " + ".join(_combo(f"m{r}_", _W[f"q{r}"], j) for r in range(4)) + f", 0), 6) AS f{j}" for j in range(3))
+
+
+@query(f"WITH RECURSIVE {GRAPH} {ROOTS}, {FEATURES}, {_SCALED}, {_REL_MEANS} SELECT s.node, {_REL_VALUES} FROM scaled s LEFT JOIN rm0 USING (node) LEFT JOIN rm1 USING (node) LEFT JOIN rm2 USING (node) LEFT JOIN rm3 USING (node)")
+def rgcn_forward(spark, sf):
+    rows, found, _ = node_features(spark, sf)
+    z = gnn.rgcn_layer(_scaled(rows), gnn.pair_counts(found, "rel"), _W["r1"], [_W[f"q{r}"] for r in range(4)], _B, relu=True)
+    return z.select("node", *[F.round(f"f{i}", 6).alias(f"f{i}") for i in range(3)])
+
+
+@query()
+def gin_forward(spark, sf):
+    rows, found, _ = node_features(spark, sf)
+    return gnn.gin_layer(_scaled(rows), gnn.pair_counts(found), _W["l1"], _B, _W["l2"], _B, relu=True)
+
+
+@query()
+def gcn_forward(spark, sf):
+    rows, found, _ = node_features(spark, sf)
+    return gnn.gcn_layer(_scaled(rows), gnn.pair_counts(found), _W["l1"], _B, relu=True)
+
+
+@query()
+def gat_forward(spark, sf):
+    rows, found, _ = node_features(spark, sf)
+    return gnn.gat_layer(_scaled(rows), gnn.pair_counts(found), _W["l1"], [0.3, -0.2, 0.1], [0.1, 0.2, -0.3], _B, relu=True)
+
+
+@query(f"WITH {CE} SELECT strftime(day, '%Y-%m-%d') AS day_text, count(*) AS n, count(DISTINCT identity) AS people, sum(count(*)) OVER (ORDER BY day)::BIGINT AS running FROM ce WHERE split = 'test' GROUP BY day")
+def daily_series(spark, sf):
+    by_day = crossing_events(spark, sf).where("split = 'test'").groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("identity").alias("people"))
+    return by_day.select(F.date_format("day", "yyyy-MM-dd").alias("day_text"), "n", "people", F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("day")).alias("running"))

@@ -132,11 +132,7 @@ def official_exclusion(spark, sf):
     return left.select("event_id", F.date_format("day", "yyyy-MM-dd").alias("day_text"))
 
 
-_PROXY = "SELECT o_orderkey, o_custkey, o_orderdate FROM orders"
-
-
-@query("""SELECT o_orderkey AS order_id, count(*) OVER (PARTITION BY o_custkey ORDER BY epoch_us(o_orderdate) RANGE BETWEEN 365 * 86400000000 PRECEDING AND 1 PRECEDING) AS same_customer_365d,
- n_lines AS party_size FROM orders JOIN (SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+@query("""SELECT o_orderkey AS order_id, same_customer_365d, n_lines AS party_size FROM (SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY epoch_us(o_orderdate) RANGE BETWEEN 365 * 86400000000 PRECEDING AND 1 PRECEDING) AS same_customer_365d FROM orders) JOIN (SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def relational_proxies(spark, sf):
     from pyspark.sql import Window as W
 
