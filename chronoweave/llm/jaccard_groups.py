@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialize, slices
+from .common import Scratch, col, materialize, slices
 
 WINDOW = 5
 #: Ids that fit into a broadcast of a few dozen MB; beyond, joins are left to shuffles.
@@ -133,19 +133,28 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets reach the threshold.  documents: doc_id, text."""
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "opened")
-    arrow = pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    """Those of the pairs (a, b) whose whole sets reach the threshold.  pairs: a table; documents: doc_id, text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))], schema=arrow)
+    The pairs go to the documents; a document's set is sent once for each pair that it asks in, and once if it is asked.
+    """
+
+    def tokens(rows: DataFrame, key: str, out: str, more: list[str]) -> DataFrame:
+        fields = [pa.field(c, pa.int64()) for c in (key, *more)]
+        arrow = pa.schema([*fields, (out, pa.list_(pa.int64()))])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 128):
+                sets = pa.array([shingles(t.as_py()) for t in batch.column(len(fields))], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(fields))], sets], schema=arrow)
+
+        return rows.select(key, *more, "text").mapInArrow(run, ", ".join(f"{f.name} long" for f in fields) + f", {out} array<long>")
 
-    sets = documents.join(_few(ids, ids.count()), "doc_id", "left_semi").mapInArrow(run, "doc_id long, tokens array<long>").dropDuplicates(["doc_id"])
-    one, two = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-    common = F.size(F.array_intersect("ta", "tb"))
-    compared = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", common.alias("common"), (F.size("ta") + F.size("tb")).alias("total"))
-    return compared.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
+    rows = pairs.count()
+    asking = documents.join(_few(pairs.select(F.col("a").alias("doc_id"), "b"), rows), "doc_id").withColumnRenamed("doc_id", "a")
+    asked = documents.join(_few(pairs.select(F.col("b").alias("doc_id")).distinct(), rows), "doc_id", "left_semi").withColumnRenamed("doc_id", "b")
+    both = tokens(asking, "a", "ta", ["b"]).join(tokens(asked, "b", "tb", []), "b")
+    compared = both.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("common"), (F.size("ta") + F.size("tb")).alias("total"))
+    return compared.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b").distinct()
 
 
 def _reach(shared, n_a, n_b, at_a, at_b, percent: int):
@@ -157,28 +166,34 @@ def _reach(shared, n_a, n_b, at_a, at_b, percent: int):
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, wide: int = 64, rounds: int = 4) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest id of its class)."""
     spark = df.sparkSession
+    scratch = Scratch(spark)
     documents = df.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    sets = materialize(_sets(documents, percent), "sets")
+    stored = scratch.table(_sets(documents, percent), "sets")
+    sets = materialize(stored.select("doc_id", "n", "digest"), "digests")
+    repeats = _repeats(sets)
     equal = materialize(sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "equal-sets")
-    reps = equal.select(F.col("rep").alias("doc_id"))
-    kept = sets.where("n > 0").join(_few(reps, equal.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"]) if _repeats(sets) else sets.where("n > 0").join(_few(reps, equal.count()), "doc_id", "left_semi")
-    kept = kept.select(F.col("doc_id").alias("rep"), "n", "low")
+    kept = stored.where("n > 0").join(_few(equal.select(F.col("rep").alias("doc_id")), equal.count()), "doc_id", "left_semi")
+    kept = (kept.dropDuplicates(["doc_id"]) if repeats else kept).select(F.col("doc_id").alias("rep"), "n", "low")
 
     wanted = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
     widths = kept.select(F.explode(F.slice("low", F.lit(1), wanted)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("width")).where(F.col("width") > wide)
     widths = materialize(widths, "hot")
+    scratch.drop()
     bound = wide
     while widths.where(F.col("width") > bound).count() > HOT_LIMIT:
         bound *= 2
     hot = spark.sparkContext.broadcast(np.array(sorted(r[0] for r in widths.where(F.col("width") > bound).select("token").toLocalIterator()), np.int64))
 
-    shallow = materialize(_ordered(kept, hot, percent, whole=False), "prefixes")
+    shallow = scratch.table(_ordered(kept, hot, percent, whole=False), "prefixes")
+    scratch.drop(stored)
     deep = materialize(shallow.where("tokens is null").select(F.col("rep").alias("doc_id")), "deep")
-    again = documents.join(_few(deep, deep.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    again = documents.join(_few(deep, deep.count()), "doc_id", "left_semi")
+    again = again.dropDuplicates(["doc_id"]) if repeats else again
     prefixes = shallow.where("tokens is not null").union(_ordered(again, hot, percent, whole=True))
     rows = prefixes.select("rep", "n", F.posexplode("tokens").alias("at", "token"))
     shared = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("width")).where("width > 1"), "shared")
     matrix = materialize(rows.join(_few(shared.select("token"), shared.count()), "token").select("token", "rep", "n", "at"), "matrix")
+    scratch.drop(shallow)
 
     groups = None  # (rep, grp) of the sets that are no longer alone
     links = []
@@ -210,6 +225,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         likely = counted.where(_reach(F.col("common"), F.col("n"), F.col("hub_n"), F.col("at"), F.col("hub_at"), percent))
         chosen = likely.groupBy("rep").agg(F.max(F.struct("common", (-F.col("hub")).alias("hub"))).alias("best")).select(F.col("rep").alias("a"), (-F.col("best.hub")).alias("b"))
         found = materialize(verified(materialize(chosen, "tried"), documents, percent), "found")
+        scratch.drop()
         if found.isEmpty():
             break
         groups = join_groups(found)
@@ -219,8 +235,10 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = (F.col("grp_a") < F.col("grp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     met = left.join(right, "token").where(near).groupBy("rep_a", "rep_b", "grp_a", "grp_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("common"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
     likely = materialize(met.where(_reach(F.col("common"), F.col("n_a"), F.col("n_b"), F.col("at_a"), F.col("at_b"), percent)).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "grp_a", "grp_b", "common"), "likely")
+    scratch.drop()
     first = materialize(likely.groupBy("grp_a", "grp_b").agg(F.max(F.struct("common", "a", "b")).alias("best")).select("best.a", "best.b"), "first")
     groups = join_groups(verified(first, documents, percent))
+    scratch.drop()
     sides = groups.select(F.col("rep").alias("a"), F.col("grp").alias("x")), groups.select(F.col("rep").alias("b"), F.col("grp").alias("y"))
     rest = materialize(likely.join(first, ["a", "b"], "left_anti").join(sides[0], "a", "left").join(sides[1], "b", "left").where("x is null or y is null or x <> y").select("a", "b"), "rest")
     if not rest.isEmpty():
