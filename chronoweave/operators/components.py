@@ -9,16 +9,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.shared import materialize
 
 
-def connected(edges: DataFrame, nodes: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, node, root of all nodes of edges (u, v) and of nodes (keys, node); root is the smallest node of the component."""
+def _local(rows: list[tuple]) -> list[tuple]:
+    """(keys, node, root) by union-find over (keys, u, v)."""
+    parent: dict[tuple, tuple] = {}
+
+    def find(x: tuple) -> tuple:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = parent[p]
+            x = parent[x]
+        return x
+
+    for *k, u, v in rows:
+        a, b = find((*k, u)), find((*k, v))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return [(*x, find(x)[-1]) for x in list(parent)]
+
+
+def connected(edges: DataFrame, nodes: DataFrame | None = None, keys: tuple[str, ...] = (), local_edges: int = 200_000) -> DataFrame:
+    """keys, node, root of all nodes of edges (u, v) and of nodes (keys, node); root is the smallest node of the component.
+
+    At most local_edges distinct edges are united on the driver: a dozen small jobs would take longer than all the work.
+    """
     k = list(keys)
-    left = materialize(edges.where("u <> v").select(*k, "u", "v").distinct(), "edges")
+    left = materialize(edges.where("u <> v").select(*k, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     labels = None
-    while not left.isEmpty():
+    if left.count() <= local_edges:
+        fields = [left.schema[c] for c in k] + [T.StructField(n, left.schema["u"].dataType) for n in ("node", "root")]
+        labels = left.sparkSession.createDataFrame(_local([tuple(r) for r in left.collect()]), T.StructType(fields))
+    shrinking = labels is None
+    while shrinking and not left.isEmpty():
         both = left.unionByName(left.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
         step = materialize(both.groupBy(*k, F.col("u").alias("node")).agg(F.min("v").alias("m")).select(*k, "node", F.least("node", "m").alias("next")), "hooks")
         a, b = step.select(*k, F.col("node").alias("u"), F.col("next").alias("x")), step.select(*k, F.col("node").alias("v"), F.col("next").alias("y"))

@@ -30,11 +30,35 @@ def _take(rows: DataFrame, found: list[tuple], arm: str, k: int) -> DataFrame:
     return rows.orderBy(*stable_order(arm)).limit(k).select(F.lit(arm).alias("arm"), F.lit(k).alias("k"), "day", F.col(arm).alias("s"), "row_ix", "event_id", "identity", "hidden")
 
 
-def replay(pool: DataFrame, caught: DataFrame, scores: tuple[str, ...], ks: tuple[int, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _replay_here(rows: list, scores: tuple[str, ...], ks: tuple[int, ...]) -> tuple[list[tuple], list[tuple]]:
+    """The same steps over collected rows."""
+    seen, found = [], []
+    for arm in scores:
+        order = sorted(rows, key=lambda r: (r["day"], r[arm] != r[arm], -r[arm] if r[arm] == r[arm] else 0.0, r["row_ix"]))
+        for k in ks:
+            gone: set = set()
+            today: set = set()
+            day, rank = None, 0
+            for r in order:
+                if r["day"] != day:
+                    gone |= today
+                    today, day, rank = set(), r["day"], 0
+                if rank == k or r["identity"] in gone:
+                    continue
+                rank += 1
+                seen.append((arm, k, day, rank, r["row_ix"], r["event_id"], r["identity"], r["hidden"]))
+                if r["hidden"] and r["identity"] not in today:
+                    today.add(r["identity"])
+                    found.append((arm, k, r["identity"], day))
+    return seen, found
+
+
+def replay(pool: DataFrame, caught: DataFrame, scores: tuple[str, ...], ks: tuple[int, ...], local_rows: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(inspections, found, eligible): what was inspected in which order, who was found first when and where, and the rows that took part.
 
     pool: row_ix, event_id, identity, day, hidden and the scores; caught: identity, caught_time.
     Rows whose identity was officially caught strictly before the day start never take part.
+    A pool of at most local_rows rows is replayed on the driver, where a day costs no job.
     """
     spark = pool.sparkSession
     path = f"{shared_dir(spark)}/chronoweave/replay-{uuid.uuid4().hex}"
@@ -42,8 +66,10 @@ def replay(pool: DataFrame, caught: DataFrame, scores: tuple[str, ...], ks: tupl
     columns = ["row_ix", "event_id", "identity", "day", "hidden", "eligible", *scores]
     taking_part.select(*columns, F.date_format("day", "yyyy-MM-dd").alias("day_key")).write.partitionBy("day_key").parquet(path)
     stored = spark.read.parquet(path)
-    found: list[tuple] = []
-    seen: list[tuple] = []
+    if stored.count() <= local_rows:
+        seen, found = _replay_here(stored.where("eligible").collect(), scores, ks)
+        return spark.createDataFrame(seen, _SEEN), spark.createDataFrame(found, _FOUND), stored
+    found, seen = [], []
     for (key,) in stored.select("day_key").distinct().orderBy("day_key").collect():
         rows = stored.where((F.col("day_key") == key) & F.col("eligible"))
         steps = None

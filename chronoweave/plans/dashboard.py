@@ -144,26 +144,10 @@ def type_pairs_top(spark, sf):
 
 @query()
 def capped_links(spark, sf):
-    """Strongest links first, at most eight for each node.
-
-    A link is taken in the round in which it is the strongest left at both its ends: that gives what the sequential greedy
-    pass over all links gives, since only stronger links at its own ends can stop a link.
-    """
-    from ..sources.shared import materialize
-
-    cap = 8
-    left = materialize(tie_rows(spark, sf), "links")
-    taken = None
-    while not left.isEmpty():
-        order = F.struct("w", "a", "b", "bits")
-        ends = left.select(F.col("a").alias("node"), order.alias("o")).union(left.select("b", order))
-        best = ends.groupBy("node").agg(F.max("o").alias("o"))
-        won = left.withColumn("o", order).join(best.select(F.col("node").alias("a"), F.col("o").alias("oa")), "a").join(best.select(F.col("node").alias("b"), F.col("o").alias("ob")), "b").where("o = oa AND o = ob").select("a", "b", "bits", "w")
-        taken = materialize(won if taken is None else taken.unionByName(won), "taken")
-        used = taken.select(F.col("a").alias("node")).union(taken.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cap).select("node")
-        rest = left.join(taken.select("a", "b"), ["a", "b"], "left_anti").join(used.withColumnRenamed("node", "a"), "a", "left_anti").join(used.withColumnRenamed("node", "b"), "b", "left_anti")
-        left = materialize(rest.select("a", "b", "bits", "w"), "links")
-    return taken if taken is not None else left
+    """Strongest links first, at most eight for each node."""
+    from ..operators.links import capped
+
+    return capped(tie_rows(spark, sf), 8)
 
 
 @query(f"WITH {_TIES}, k AS (SELECT s_suppkey AS node FROM supplier WHERE s_acctbal < 0), r AS (SELECT node, y, row_number() OVER (PARTITION BY node ORDER BY w DESC, y) AS rk FROM k JOIN (SELECT a AS x, b AS y, w FROM ties UNION ALL SELECT b, a, w FROM ties) ON x = node) SELECT node FROM k UNION SELECT y FROM r WHERE rk <= 5")

@@ -1 +1,77 @@
-"""Queries."""
+"""Model arms.  Their numbers depend on the learner, so there is no SQL twin; tests hold them to their properties."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..functions.rank import quantile_higher
+from ..operators import asof, ml
+from ..sources.adapter import crossing_events
+from .registry import query
+
+FEATURES = ["prior_crossings", "prior_secondary", "prior_seizure", "prior_arrest", "k", "value"]
+
+
+def feature_rows(spark, sf):
+    ce = crossing_events(spark, sf)
+    mature = asof.prior_mature(ce, {f: F.col(f) for f in ("secondary", "seizure", "arrest")}).drop("identity")
+    return asof.prior_counts(ce).join(mature, "row_ix").select("event_id", "row_ix", "split", "region", "hidden", "seizure", "label_available", "t", *[F.col(c).cast("double").alias(c) for c in FEATURES])
+
+
+@query()
+def gbt_scores(spark, sf):
+    rows = feature_rows(spark, sf)
+    train = asof.eligible_supervision(rows.where("split = 'train'"), "2024-01-15")
+    return ml.fit_predict(train, rows.where("split <> 'train'"), FEATURES, "seizure").select("event_id", "split", "p")
+
+
+@query()
+def logistic_scores(spark, sf):
+    rows = feature_rows(spark, sf)
+    train = asof.eligible_supervision(rows.where("split = 'train'"), "2024-01-15")
+    return ml.fit_predict(train, rows.where("split <> 'train'"), FEATURES, "seizure", model="logistic").select("event_id", "split", "p")
+
+
+@query()
+def isolation_forest_scores(spark, sf):
+    rows = feature_rows(spark, sf)
+    return ml.isolation_forest(rows.where("split = 'train'"), rows.where("split <> 'train'"), FEATURES).select("event_id", "split", "anomaly")
+
+
+@query()
+def regional_arms(spark, sf):
+    """Per region: train on caught labels only, freeze scores and a label-free threshold, and only then look at what was hidden."""
+    rows = feature_rows(spark, sf)
+    regions = sorted(r[0] for r in rows.select("region").distinct().collect())
+    out = None
+    for region in regions:
+        own = rows.where(F.col("region") == region)
+        train = asof.eligible_supervision(own.where("split = 'train'"), "2024-01-15")
+        scored = ml.fit_predict(train, own.where("split <> 'train'"), FEATURES, "seizure", model="logistic")
+        limit = quantile_higher(scored.where("split = 'validation'"), "p", 0.95)
+        frozen = scored.where("split = 'test'").crossJoin(F.broadcast(limit))
+        part = frozen.agg(F.lit(region).alias("region"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") >= F.col("threshold")).alias("selected"), F.count_if((F.col("p") >= F.col("threshold")) & F.col("hidden")).alias("found"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def sage_trained(spark, sf):
+    """A small network trained on one day's bounded snapshot (at most 5,000 nodes by id), then scored for its nodes."""
+    from .graph import node_features
+
+    rows, found, _ = node_features(spark, sf)
+    kept = rows.orderBy("node").limit(5000).collect()
+    place = {r["node"]: i for i, r in enumerate(kept)}
+    x = np.log1p(np.array([[r[f"f{i}"] for i in range(7)] for r in kept]))
+    y = np.array([r["f7"] for r in kept])
+    near = np.zeros((len(kept), len(kept)), np.float32)
+    inside = found.where(F.col("u").isin(list(place)) & F.col("v").isin(list(place))) if len(place) < 200 else found
+    for r in inside.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
+        if r["u"] in place and r["v"] in place:
+            near[place[r["v"]], place[r["u"]]] = r["n"]
+    near /= np.maximum(near.sum(axis=1, keepdims=True), 1)
+    w, losses = ml.train_sage(x, near, y, np.arange(len(kept)))
+    z = ml.sage_step(x, near, w)[1][:, 0]
+    return spark.createDataFrame([(n, float(1 / (1 + np.exp(-z[i]))), losses[0], losses[-1]) for n, i in place.items()], "node string, p double, first_loss double, last_loss double")
