@@ -102,4 +102,5 @@ def keep_rows(df: DataFrame, text_col: str, decide: Callable[[list[str]], list[b
         for batch in slices(batches, rows):
             yield batch.filter(pa.array(decide([t or "" for t in batch.column(place).to_pylist()]), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names with dots, or that clash, never meet the mapper
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
