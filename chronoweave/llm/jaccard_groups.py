@@ -83,29 +83,76 @@ def _sets(df: DataFrame, percent: int) -> DataFrame:
 
 
 def _ordered(df: DataFrame, hot, percent: int, whole: bool) -> DataFrame:
-    """rep, n, tokens (the prefix under the global order; null if the stored tokens do not reach).  df: rep, n, low or (whole) doc_id, text."""
-    arrow = pa.schema([("rep", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+    """rep, n, tokens (the prefix under the global order; null if the stored tokens do not reach), late, last (its last token, and whether that is hot).
+
+    df: rep, n, low or (whole) doc_id, text.
+    """
+    arrow = pa.schema([("rep", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64())), ("late", pa.bool_()), ("last", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = hot.value
+        hot_tokens = hot.value
         for batch in slices(batches):
-            sizes, out = [], []
+            sizes, out, late, last = [], [], [], []
             for i in range(batch.num_rows):
                 tokens = shingles(batch.column(1)[i].as_py()) if whole else batch.column(2)[i].values.to_numpy(zero_copy_only=False)
                 n = len(tokens) if whole else batch.column(1)[i].as_py()
                 wanted = prefix_length(n, percent)
-                if len(late) and len(tokens):
-                    at = np.minimum(np.searchsorted(late, tokens), len(late) - 1)
-                    is_hot = late[at] == tokens
-                    if len(tokens) < n and int((~is_hot).sum()) < wanted:
-                        tokens = None
-                    else:
-                        tokens = np.concatenate([tokens[~is_hot], tokens[is_hot]])
+                is_hot = _among(tokens, hot_tokens)
+                rare = int((~is_hot).sum())
+                if len(tokens) < n and rare < wanted:
+                    prefix = None
+                else:
+                    prefix = np.concatenate([tokens[~is_hot], tokens[is_hot]])[:wanted]
                 sizes.append(n)
-                out.append(None if tokens is None else tokens[:wanted])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(out, pa.list_(pa.int64()))], schema=arrow)
+                out.append(prefix)
+                late.append(None if prefix is None else rare < wanted)
+                last.append(None if prefix is None or not len(prefix) else int(prefix[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(out, pa.list_(pa.int64())), pa.array(late, pa.bool_()), pa.array(last, pa.int64())], schema=arrow)
+
+    return df.mapInArrow(run, "rep long, n int, tokens array<long>, late boolean, last long")
+
 
-    return df.mapInArrow(run, "rep long, n int, tokens array<long>")
+def _among(tokens: np.ndarray, hot_tokens: np.ndarray) -> np.ndarray:
+    if not len(hot_tokens) or not len(tokens):
+        return np.zeros(len(tokens), bool)
+    return hot_tokens[np.minimum(np.searchsorted(hot_tokens, tokens), len(hot_tokens) - 1)] == tokens
+
+
+def _touched(df: DataFrame, hot, percent: int) -> DataFrame:
+    """token: the stored tokens of those sets (rep, n, low) whose prefix by hash has a hot token."""
+    arrow = pa.schema([("token", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for n, low in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                tokens = low.values.to_numpy(zero_copy_only=False)
+                if _among(tokens[: prefix_length(n, percent)], hot.value).any():
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens)], schema=arrow)
+
+    return df.mapInArrow(run, "token long")
+
+
+def _whole_tokens(df: DataFrame) -> DataFrame:
+    """token: all tokens of the documents (doc_id, text)."""
+    arrow = pa.schema([("token", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for text in batch.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()))], schema=arrow)
+
+    return df.mapInArrow(run, "token long")
+
+
+def _hot(tokens: DataFrame, wide: int, known: np.ndarray) -> np.ndarray:
+    """The known hot tokens and those that come over ``wide`` times; for too many of them the width is raised."""
+    widths = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("width")).where(F.col("width") > wide), "hot")
+    while widths.where(F.col("width") > wide).count() > HOT_LIMIT - len(known):
+        wide *= 2
+        if wide > 1 << 60:
+            return known
+    found = np.array([r[0] for r in widths.where(F.col("width") > wide).select("token").toLocalIterator()], np.int64)
+    return np.union1d(known, found)
 
 
 def _few(df: DataFrame, rows: int) -> DataFrame:
@@ -157,10 +204,19 @@ def verified(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     return compared.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b").distinct()
 
 
-def _reach(shared, n_a, n_b, at_a, at_b, percent: int):
-    """Whether sets that share so many prefix tokens, the last at these places, can still reach the threshold."""
-    most = shared + F.least(n_a - at_a - 1, n_b - at_b - 1)
-    return (100 + percent) * most >= percent * (n_a + n_b)
+def _reach(percent: int):
+    """Whether two sets (columns _a and _b) that share ``common`` tokens of their prefixes can still reach the threshold.
+
+    Of the set whose prefix ends first, all shared prefix tokens are counted, so only tokens beyond its prefix can add to
+    them; and beyond the places of the last shared token both sets have only so many.
+    """
+
+    def beyond(n):
+        return F.ceil(F.lit(percent) * n / 100).cast("int") - 1
+
+    a_ends_first = (F.col("late_a") < F.col("late_b")) | ((F.col("late_a") == F.col("late_b")) & (F.col("last_a") <= F.col("last_b")))
+    rest = F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1, F.when(a_ends_first, beyond(F.col("n_a"))).otherwise(beyond(F.col("n_b"))))
+    return (100 + percent) * (F.col("common") + rest) >= percent * (F.col("n_a") + F.col("n_b"))
 
 
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, wide: int = 64, rounds: int = 4) -> DataFrame:
@@ -175,24 +231,27 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept = stored.where("n > 0").join(_few(equal.select(F.col("rep").alias("doc_id")), equal.count()), "doc_id", "left_semi")
     kept = (kept.dropDuplicates(["doc_id"]) if repeats else kept).select(F.col("doc_id").alias("rep"), "n", "low")
 
+    # Hot tokens: wide in the prefixes by hash; then wide among the other tokens of sets that have such; then among the
+    # whole sets of those whose stored tokens are mostly hot.
     wanted = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
-    widths = kept.select(F.explode(F.slice("low", F.lit(1), wanted)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("width")).where(F.col("width") > wide)
-    widths = materialize(widths, "hot")
+    hot = spark.sparkContext.broadcast(_hot(kept.select(F.explode(F.slice("low", F.lit(1), wanted)).alias("token")), wide, np.empty(0, np.int64)))
+    hot = spark.sparkContext.broadcast(_hot(_touched(kept, hot, percent), wide, hot.value))
     scratch.drop()
-    bound = wide
-    while widths.where(F.col("width") > bound).count() > HOT_LIMIT:
-        bound *= 2
-    hot = spark.sparkContext.broadcast(np.array(sorted(r[0] for r in widths.where(F.col("width") > bound).select("token").toLocalIterator()), np.int64))
 
+    def deep_documents(reps: DataFrame) -> DataFrame:
+        found = documents.join(_few(reps, reps.count()), "doc_id", "left_semi")
+        return found.dropDuplicates(["doc_id"]) if repeats else found
+
+    deep = materialize(_ordered(kept, hot, percent, whole=False).where("tokens is null").select(F.col("rep").alias("doc_id")), "deep")
+    if not deep.isEmpty():
+        hot = spark.sparkContext.broadcast(_hot(_whole_tokens(deep_documents(deep)), wide, hot.value))
     shallow = scratch.table(_ordered(kept, hot, percent, whole=False), "prefixes")
     scratch.drop(stored)
     deep = materialize(shallow.where("tokens is null").select(F.col("rep").alias("doc_id")), "deep")
-    again = documents.join(_few(deep, deep.count()), "doc_id", "left_semi")
-    again = again.dropDuplicates(["doc_id"]) if repeats else again
-    prefixes = shallow.where("tokens is not null").union(_ordered(again, hot, percent, whole=True))
-    rows = prefixes.select("rep", "n", F.posexplode("tokens").alias("at", "token"))
+    prefixes = shallow.where("tokens is not null").union(_ordered(deep_documents(deep), hot, percent, whole=True))
+    rows = prefixes.select("rep", "n", "late", "last", F.posexplode("tokens").alias("at", "token"))
     shared = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("width")).where("width > 1"), "shared")
-    matrix = materialize(rows.join(_few(shared.select("token"), shared.count()), "token").select("token", "rep", "n", "at"), "matrix")
+    matrix = materialize(rows.join(_few(shared.select("token"), shared.count()), "token").select("token", "rep", "n", "at", "late", "last"), "matrix")
     scratch.drop(shallow)
 
     groups = None  # (rep, grp) of the sets that are no longer alone
@@ -210,6 +269,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             every = every.union(more)
         return connected(every).select(F.col("node").alias("rep"), F.col("label").alias("grp"))
 
+    tried = None
     for _ in range(rounds):
         now = materialize(grouped(), "grouped")
         crowded = materialize(now.groupBy("token", "grp").agg(F.lit(1).alias("x")).groupBy("token").agg(F.count(F.lit(1)).alias("width")).where(F.col("width") > wide).select("token"), "crowded")
@@ -218,23 +278,30 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             break
         offered = materialize(now.join(_few(crowded, few), "token"), "offered")
         weight = offered.groupBy("rep").agg(F.count(F.lit(1)).alias("weight"))
-        best = offered.join(weight, "rep").groupBy("token").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"), "n", "at", "grp")).alias("hub"))
-        hubs = best.select("token", (-F.col("hub.rep")).alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at"), F.col("hub.grp").alias("hub_grp"))
-        tried = offered.join(_few(hubs, few), "token").where("grp <> hub_grp")
-        counted = tried.groupBy("rep", "n", "hub", "hub_n").agg(F.count(F.lit(1)).alias("common"), F.max("at").alias("at"), F.max("hub_at").alias("hub_at"))
-        likely = counted.where(_reach(F.col("common"), F.col("n"), F.col("hub_n"), F.col("at"), F.col("hub_at"), percent))
-        chosen = likely.groupBy("rep").agg(F.max(F.struct("common", (-F.col("hub")).alias("hub"))).alias("best")).select(F.col("rep").alias("a"), (-F.col("best.hub")).alias("b"))
-        found = materialize(verified(materialize(chosen, "tried"), documents, percent), "found")
-        scratch.drop()
-        if found.isEmpty():
+        best = offered.join(weight, "rep").groupBy("token").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"), "n", "grp")).alias("hub"))
+        hubs = best.select("token", (-F.col("hub.rep")).alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.grp").alias("hub_grp"))
+        meets = (F.col("grp") != F.col("hub_grp")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+        counted = offered.join(_few(hubs, few), "token").where(meets).groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("common"))
+        if tried is not None:
+            counted = counted.join(tried, ["rep", "hub"], "left_anti")
+        chosen = counted.groupBy("rep").agg(F.max(F.struct("common", (-F.col("hub")).alias("hub"))).alias("best")).select(F.col("rep").alias("a"), (-F.col("best.hub")).alias("b"))
+        chosen = materialize(chosen, "tried")
+        asked = chosen.select(F.col("a").alias("rep"), F.col("b").alias("hub"))
+        tried = asked if tried is None else tried.union(asked)
+        if chosen.isEmpty():
             break
-        groups = join_groups(found)
+        found = materialize(verified(chosen, documents, percent), "found")
+        scratch.drop()
+        if not found.isEmpty():
+            groups = join_groups(found)
 
     now = grouped()
-    left, right = now.select("token", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "at", "grp")]), now.select("token", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "at", "grp")])
+    columns = ("rep", "n", "at", "late", "last", "grp")
+    left, right = (now.select("token", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "ab")
     near = (F.col("grp_a") < F.col("grp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    met = left.join(right, "token").where(near).groupBy("rep_a", "rep_b", "grp_a", "grp_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("common"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
-    likely = materialize(met.where(_reach(F.col("common"), F.col("n_a"), F.col("n_b"), F.col("at_a"), F.col("at_b"), percent)).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "grp_a", "grp_b", "common"), "likely")
+    ends = [f"{c}_{side}" for c in ("rep", "grp", "n", "late", "last") for side in "ab"]
+    met = left.join(right, "token").where(near).groupBy(*ends).agg(F.count(F.lit(1)).alias("common"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+    likely = materialize(met.where(_reach(percent)).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "grp_a", "grp_b", "common"), "likely")
     scratch.drop()
     first = materialize(likely.groupBy("grp_a", "grp_b").agg(F.max(F.struct("common", "a", "b")).alias("best")).select("best.a", "best.b"), "first")
     groups = join_groups(verified(first, documents, percent))
