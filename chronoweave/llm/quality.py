@@ -148,7 +148,7 @@ def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang", le
 class Judge:
     """Decides over one text at a time, by frozen references and limits."""
 
-    def __init__(self, reference: dict[str, list[float]], char_limit: float = 0.25, word_limit: float = 0.32, least_chars: int = 60, least_words: int = 100):
+    def __init__(self, reference: dict[str, list[float]], char_limit: float = 0.31, word_limit: float = 0.32, least_chars: int = 60, least_words: int = 120):
         self.langs, self.table = list(reference), np.array(list(reference.values()), float).reshape(len(reference), 7 + len(WORDS) + 1)
         self.char_limit, self.word_limit, self.least_chars, self.least_words = char_limit, word_limit, least_chars, least_words
 
