@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import components, edges, gnn
 from ..operators.asof import earliest
 from ..sources.adapter import CE, OBS, crossing_events, observations
+from ..sources.shared import materialize
 from .registry import query
 
 #: Snapshot of the queries that follow paths; degrees are taken later.
@@ -278,3 +279,50 @@ def gat_forward(spark, sf):
 def daily_series(spark, sf):
     by_day = crossing_events(spark, sf).where("split = 'test'").groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("identity").alias("people"))
     return by_day.select(F.date_format("day", "yyyy-MM-dd").alias("day_text"), "n", "people", F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("day")).alias("running"))
+
+
+@query(f"""WITH {GRAPH}, {_BFS}, f AS (SELECT least(u, v) AS a, greatest(u, v) AS b, rel, count(*) AS n FROM act WHERE u IN (SELECT node FROM dist WHERE distance <= 1) AND v IN (SELECT node FROM dist WHERE distance <= 1) GROUP BY 1, 2, 3)
+ SELECT a, b, rel, n, row_number() OVER (ORDER BY n DESC, a, b, rel) AS factor FROM f ORDER BY n DESC, a, b, rel LIMIT 10""")
+def factor_specs(spark, sf):
+    """The pair-relations around a person whose removal is tried: the ten with the most rows."""
+    found, _, _ = active_edges(spark, sf)
+    near = components.distances(found, _target(found), 1).select("node")
+    inside = found.join(near.withColumnRenamed("node", "u"), "u", "left_semi").join(near.withColumnRenamed("node", "v"), "v", "left_semi")
+    counts = inside.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "rel").agg(F.count(F.lit(1)).alias("n"))
+    order = [F.col("n").desc(), "a", "b", "rel"]
+    return counts.orderBy(*order).limit(10).withColumn("factor", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)))
+
+
+@query(f"""WITH RECURSIVE {GRAPH} {ROOTS}, {FEATURES}, {_SCALED}, {_layer_sql('scaled', 'z1', 'l1', 'r1', True)}, {_layer_sql('z1', 'z2', 'l2', 'r2', False)},
+ tgt AS (SELECT min(u) AS node FROM act WHERE rel = 0), cut AS (SELECT a.v AS other, a.rel, count(*) AS n FROM act a JOIN tgt ON a.u = tgt.node GROUP BY 1, 2)
+ SELECT other, cut.rel, n, round(z.f0, 6) AS base_f0 FROM cut, tgt JOIN z2 z ON z.node = tgt.node""")
+def ablation_base(spark, sf):
+    """Each relation of a person that an ablation removes, beside the person's value before it."""
+    z, _ = _sage(spark, sf)
+    found, _, _ = active_edges(spark, sf)
+    target = F.broadcast(_target(found))
+    cut = found.join(target.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("other"), "rel").agg(F.count(F.lit(1)).alias("n"))
+    return cut.crossJoin(F.broadcast(z.join(target, "node").select(F.round("f0", 6).alias("base_f0"))))
+
+
+@query()
+def counterfactual_rank(spark, sf):
+    """Probability and rank of a person before and after each of its relations is removed, everything else frozen.
+
+    Removal is a filter on the counted pairs; degrees and components that the features hold stay as they were observed.
+    """
+    rows, found, roots = node_features(spark, sf)
+    scaled = materialize(_scaled(rows), "features")
+    target = _target(found).first()["node"]
+    typed = gnn.pair_counts(found, "rel")
+    out = None
+    for rel in (None, 0, 1, 2, 3):
+        touches = (F.col("u") == target) | (F.col("v") == target)
+        pairs = typed if rel is None else typed.where(~(touches & (F.col("rel") == rel)))
+        z = gnn.sage_layer(gnn.sage_layer(scaled, pairs, _W["l1"], _W["r1"], _B, relu=True), pairs, _W["l2"], _W["r2"], _B, relu=False)
+        p = gnn.head(gnn.pool_by_root(z, roots, 3), _HEAD, _BIAS)
+        own = p.where(F.col("node") == target).select(F.col("probability").alias("own"))
+        part = p.crossJoin(F.broadcast(own)).groupBy("own").agg(F.count_if(F.col("probability") > F.col("own")).alias("better"))
+        part = part.select(F.lit("none" if rel is None else edges.RELATIONS[rel]).alias("removed"), F.col("own").alias("probability"), (F.col("better") + 1).alias("rank"))
+        out = part if out is None else out.unionByName(part)
+    return out
