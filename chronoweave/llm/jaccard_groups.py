@@ -42,6 +42,8 @@ from .common import Scratch, col, materialize, slices
 WINDOW = 5
 #: Ids that fit into a broadcast of a few dozen MB; beyond, joins are left to shuffles.
 SMALL_ROWS = 2_000_000
+#: Rows in an Arrow batch, at most.
+ARROW_ROWS = 2000
 #: Hot tokens are an array in each worker: at most so many, for more the width is raised.
 HOT_LIMIT = 1_000_000
 
@@ -124,10 +126,10 @@ def _touched(df: DataFrame, hot, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [low.values.to_numpy(zero_copy_only=False) for low in batch.column(2)]
-            touched = [s for s, n in zip(sets, batch.column(1).to_pylist(), strict=True) if _among(s[: prefix_length(n, percent)], hot.value).any()]
-            if touched:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(touched))], schema=arrow)
+            for n, low in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                tokens = low.values.to_numpy(zero_copy_only=False)
+                if _among(tokens[: prefix_length(n, percent)], hot.value).any():
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens)], schema=arrow)
 
     return df.mapInArrow(run, "token long")
 
@@ -138,7 +140,8 @@ def _whole_tokens(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t.as_py()) for t in batch.column(1)]))], schema=arrow)
+            for text in batch.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()))], schema=arrow)
 
     return df.mapInArrow(run, "token long")
 
@@ -159,27 +162,22 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, label) of all nodes of edges (a, b): equal labels for connected nodes.
-
-    Edges shrink by each node's smallest neighbour, and by that one's, until none is left.  Joins carry few rows to the
-    edges where their count allows it, so that a round shuffles for its sums only.
-    """
-    left = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    """(node, label) of all nodes of edges (a, b): equal labels for connected nodes.  Edges shrink by each node's smallest neighbour until none is left."""
+    left = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
     labels = None
-    while rows := left.count():
+    while not left.isEmpty():
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("next")), "hooks")
-        further = hooks.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        step = hooks.join(_few(further, 2 * rows), "next").select("node", F.col("far").alias("next"))
+        step = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("next")), "hooks")
         first, second = step.select(F.col("node").alias("a"), F.col("next").alias("x")), step.select(F.col("node").alias("b"), F.col("next").alias("y"))
-        moved = left.join(_few(first, 2 * rows), "a").join(_few(second, 2 * rows), "b").where("x <> y")
-        left = materialize(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        left = materialize(left.join(first, "a").join(second, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         if labels is None:
-            labels = materialize(step.select("node", F.col("next").alias("label")), "labels")
+            labels = step.select("node", F.col("next").alias("label"))
         else:
-            labels = materialize(labels.join(_few(step.select(F.col("node").alias("label"), "next"), 2 * rows), "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+            moved = step.select(F.col("node").alias("label"), "next")
+            labels = labels.join(moved, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+        labels = materialize(labels, "labels")
     if labels is None:
-        return left.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        return edges.sparkSession.createDataFrame([], "node long, label long")
     return labels
 
 
@@ -223,10 +221,13 @@ def _reach(percent: int):
     return (100 + percent) * (F.col("common") + rest) >= percent * (F.col("n_a") + F.col("n_b"))
 
 
-def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, wide: int = 64, rounds: int = 2) -> DataFrame:
+def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, wide: int = 64, rounds: int = 4) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest id of its class)."""
     spark = df.sparkSession
     scratch = Scratch(spark)
+    # Rows of a batch are whole texts: fewer of them keep what Arrow holds outside of the heap small.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     documents = df.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
     stored = scratch.table(_sets(documents, percent), "sets")
     sets = materialize(stored.select("doc_id", "n", "digest"), "digests")
