@@ -8,9 +8,16 @@ grouping on hash and bytes together (map tasks send each distinct chunk once, ho
 it); a hash under which two different chunks hide removes nothing.  The first place of a chunk, by
 document id and place in the document, stays; all others are removed.
 
+Chunks alone miss short passages and the rims of long ones.  drop_repeated_runs therefore also takes each line
+with words together with the next one (and the blank lines between them) as a chunk of its own.  A run of
+two or more such lines stands in an earlier place only if all its pairs do, so with their removal the
+repeat is gone up to its first and last line with words; no line's last copy goes.
+
 Defined results
     null text: no lines, empty text; a text that loses all its lines is empty too
-    ties: repeated rows of one id are the same document, what is first in one is first in the other
+    ties: repeated rows of one id and text are the same document, what is first in one is first in the other;
+    different texts under one id are documents of their own, in the order of a hash; null ids come last
+    a copy that overlaps its own first place (three equal lines) loses only what lies behind that place
     blank lines count as lines but make no chunk of "two lines"
     an empty table gives an empty table; only id and text are read
 """
@@ -55,54 +62,82 @@ def eligible(lines: list[bytes]) -> bool:
     return False
 
 
-def _chunks(documents: DataFrame, mean: int, with_bytes: bool) -> DataFrame:
-    arrow = pa.schema([("doc_id", pa.int64()), ("place", pa.int32()), ("h", pa.binary())] + ([("chunk", pa.binary())] if with_bytes else []))
+def pair_spans(lines: list[bytes]) -> list[tuple[int, int]]:
+    """(first line, line after the last) of each line with words and the next such line."""
+    worded = [i for i, line in enumerate(lines) if line and not line.isspace()]
+    return [(a, b + 1) for a, b in zip(worded, worded[1:], strict=False)]
+
+
+def units(lines: list[bytes], mean: int, pairs: bool) -> list[tuple[int, int]]:
+    """The spans that are compared: eligible chunks, and the pairs that are no such chunk."""
+    spans = [(a, b) for a, b in chunk_spans(lines, mean) if b - a > 1 and eligible(lines[a:b])]
+    return sorted({*spans, *pair_spans(lines)}) if pairs else spans
+
+
+def _units(documents: DataFrame, mean: int, pairs: bool, with_bytes: bool) -> DataFrame:
+    arrow = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("h", pa.binary())])
+    if with_bytes:
+        arrow = pa.schema([("h", pa.binary()), ("chunk", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 128):
             out: list[list] = [[] for _ in arrow]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, text, version in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 lines = (text.as_py() or "").encode().split(b"\n")
-                for place, (a, b) in enumerate(chunk_spans(lines, mean)):
-                    if b - a > 1 and eligible(lines[a:b]):
-                        chunk = b"\n".join(lines[a:b])
-                        for column, value in zip(out, (doc, place, xxhash.xxh3_128_digest(chunk), chunk), strict=False):
-                            column.append(value)
+                for a, b in units(lines, mean, pairs):
+                    chunk = b"\n".join(lines[a:b])
+                    h = xxhash.xxh3_128_digest(chunk)
+                    for column, value in zip(out, (h, chunk) if with_bytes else (doc, version, a, b, h), strict=True):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
 
-    return documents.mapInArrow(run, "doc_id long, place int, h binary" + ", chunk binary" * with_bytes)
+    return documents.mapInArrow(run, "h binary, chunk binary" if with_bytes else "doc_id long, version long, a int, b int, h binary")
 
 
 def drop_repeated_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = 4) -> DataFrame:
     """One row per input row: doc_id, text (without repeated chunks), n_lines, n_removed (lines), n_chunks_removed."""
-    documents = df.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    places = materialize(_chunks(documents, mean, with_bytes=False), "chunks")
-    counted = places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1")
-    repeated = materialize(counted.select("h", F.col("first.doc_id").alias("first_doc"), F.col("first.place").alias("first_place")), "repeated")
+    return _drop(df, id_col, text_col, mean, pairs=False)
+
+
+def drop_repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = 4) -> DataFrame:
+    """drop_repeated_chunks, and each line of every other repeated run of two or more lines with words; n_chunks_removed counts whole chunks."""
+    return _drop(df, id_col, text_col, mean, pairs=True)
+
+
+def _drop(df: DataFrame, id_col: str, text_col: str, mean: int, pairs: bool) -> DataFrame:
+    documents = df.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).withColumn("version", F.xxhash64("text"))
+    places = materialize(_units(documents, mean, pairs, with_bytes=False), "chunks")
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "version", "a")
+    counted = places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
+    repeated = materialize(counted.select("h", "first"), "repeated")
     few = repeated.count()
     wanted = F.broadcast(repeated.select("h")) if few <= SMALL_ROWS else repeated.select("h")
-    by_bytes = _chunks(documents, mean, with_bytes=True).select("h", "chunk").join(wanted, "h", "left_semi").groupBy("h", "chunk").agg(F.lit(1).alias("x"))
+    by_bytes = _units(documents, mean, pairs, with_bytes=True).join(wanted, "h", "left_semi").groupBy("h", "chunk").agg(F.lit(1).alias("x"))
     proven = by_bytes.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds = 1").select("h")
     known = repeated.join(proven, "h")
-    others = places.join(F.broadcast(known) if few <= SMALL_ROWS else known, "h").where((F.col("doc_id") != F.col("first_doc")) | (F.col("place") != F.col("first_place")) | F.col("doc_id").isNull())
-    removed = materialize(others.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("removed")), "removed")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))
+    behind = F.when(own, F.greatest("a", F.col("first.a") + F.col("b") - F.col("a"))).otherwise(F.col("a")).alias("from")
+    others = places.join(F.broadcast(known) if few <= SMALL_ROWS else known, "h").where(~own | (F.col("a") != F.col("first.a")))
+    removed = materialize(others.groupBy("doc_id", "version").agg(F.collect_set(F.struct("a", behind, "b")).alias("removed")), "removed")
     arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_chunks_removed", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: list[list] = [[] for _ in arrow]
             for doc, text, gone in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                text, lost = text.as_py(), 0
+                text, lost, whole = text.as_py(), set(), 0
                 lines = [] if text is None else text.encode().split(b"\n")
                 n = len(lines)
                 if gone:
-                    places = set(gone)
-                    spans = chunk_spans(lines, mean)
-                    lost = sum(b - a for place, (a, b) in enumerate(spans) if place in places)
-                    lines = [x for place, (a, b) in enumerate(spans) if place not in places for x in lines[a:b]]
-                for column, value in zip(out, (doc, b"\n".join(lines).decode(), n, lost, len(gone or ())), strict=True):
+                    spans = set(chunk_spans(lines, mean))
+                    whole = sum((x["a"], x["b"]) in spans for x in gone)
+                    for x in gone:
+                        lost.update(range(x["from"], x["b"]))
+                    lines = [x for i, x in enumerate(lines) if i not in lost]
+                for column, value in zip(out, (doc, b"\n".join(lines).decode(), n, len(lost), whole), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
 
-    joined = documents.join(removed.withColumnRenamed("doc_id", "removed_id"), F.col("doc_id").eqNullSafe(F.col("removed_id")), "left").select("doc_id", "text", "removed")
+    found = removed.withColumnsRenamed({"doc_id": "removed_id", "version": "removed_version"})
+    joined = documents.join(found, F.col("doc_id").eqNullSafe(F.col("removed_id")) & (F.col("version") == F.col("removed_version")), "left").select("doc_id", "text", "removed")
     return joined.mapInArrow(run, "doc_id long, text string, n_lines long, n_removed long, n_chunks_removed long")

@@ -63,7 +63,7 @@ def op7_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_chunks.drop_repeated_chunks(table(spark, sf_dir, "documents"))
+    cleaned = line_chunks.drop_repeated_runs(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_removed", "n_chunks_removed", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -431,6 +431,50 @@ def test_line_chunks_awkward_rows(spark):
     assert line_chunks.drop_repeated_chunks(empty_documents(spark)).count() == 0
 
 
+def slow_runs(rows):
+    """The lines that stay, for each row: of each two neighbouring lines with words only the first place counts."""
+    first, out = {}, []
+    for doc, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        lines = (text or "").encode().split(b"\n")
+        worded = [i for i, x in enumerate(lines) if x.strip()]
+        for a, b in zip(worded, worded[1:]):
+            first.setdefault(b"\n".join(lines[a : b + 1]), (doc, text, a))
+    for doc, text in rows:
+        lines = (text or "").encode().split(b"\n")
+        worded = [i for i, x in enumerate(lines) if x.strip()]
+        gone = set()
+        for a, b in zip(worded, worded[1:]):
+            d, t, at = first[b"\n".join(lines[a : b + 1])]
+            if (d, t, at) != (doc, text, a):
+                gone |= {i for i in range(a, b + 1) if (d, t) != (doc, text) or i > at + b - a}
+        out.append((doc, [x.decode() for i, x in enumerate(lines) if i not in gone and x.strip()]))
+    return out
+
+
+def test_short_repeated_runs_go_whole(spark):
+    rng = random.Random(14)
+    passages = [[prose(rng, 9) + f" p{k} {j}" for j in range(2 + k % 4)] for k in range(12)]
+    rows, rims = [], []
+    for i in range(40):
+        head, tail = ([prose(rng, 5) + f" {side}{i} {j}" for j in range(rng.randrange(1, 4))] for side in "ht")
+        rows.append((i, "\n".join([*head, *passages[i % 12], *tail])))
+        rims.append([*head, *(passages[i] if i < 12 else []), *tail])
+    rows += [(50, rows[3][1]), (51, "same\nsame\nsame"), (52, "p\n\nq\n\nr"), (53, "x\np\n\nq\ny"), (54, "u\nv"), (54, "w\nu\nv\nz"), (54, "w\nu\nv\nz"), (None, "n\nm"), (None, "k\nn\nm"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_chunks.drop_repeated_runs(df).collect()
+    kept = [(r.doc_id, [x for x in r.text.split("\n") if x.strip()]) for r in got]
+    assert sorted(x for d, x in kept if d is not None and d < 40) == sorted(rims)
+    by = {d: x for d, x in kept if d is not None and 50 <= d < 54}
+    assert by == {50: [], 51: ["same", "same"], 52: ["p", "q", "r"], 53: ["x", "y"]}
+    assert Counter((d, *x) for d, x in kept if d != 54 and d is not None) == Counter((d, *x) for d, x in slow_runs(rows) if d != 54 and d is not None)
+    # texts under one id, or without any, are documents of their own: the pair stays in exactly one of them
+    for doc, pair, whole in ((54, ("u", "v"), 3), (None, ("n", "m"), 3)):
+        own = [x for d, x in kept if d == doc]
+        assert len(own) == whole and len({tuple(x) for x in own if set(pair) <= set(x)}) == 1
+    # no line loses its last copy
+    assert {x for _, t in rows for x in (t or "").split("\n") if x} == {x for _, t in kept for x in t}
+
+
 # ---- 9 language
 
 
