@@ -4,7 +4,8 @@ A page is cut at block-level tags into a flat list of text blocks; inline tags d
 described by its own and its neighbours' word counts and link densities (share of words in links), by
 whether it is a heading, stands in an element whose tag, class, id or role names page furniture, or
 stands outside of the page's article.  A decision tree (Gini, grown here at first use) on the small labelled
-table below decides whether it is content.  Content blocks are joined in page order by line feeds.
+table below decides whether it is content; pages with neither <article> nor <main> have a table and a tree of
+their own, in which the neighbours tell adverts, notices and footer lines from short paragraphs.  Content blocks are joined in page order by line feeds.
 
 Defined results
     null or empty html, or no content block: empty text, 0 characters
@@ -54,6 +55,59 @@ LABELLED = [
 ]
 
 
+def _labelled(words, links, before, after, heading: int, furniture: int, content: int, outside: int = 0) -> list[tuple]:
+    return [(w, share, *b, *a, heading, furniture, outside, content) for w in words for share in links for b in before for a in after]
+
+
+_NONE, _LINKS, _SHORT, _LONG = [(0, 0.0)], [(1, 1.0), (5, 1.0)], [(4, 0.0), (15, 0.0)], [(30, 0.0), (60, 0.0), (120, 0.0)]
+_ANY = _NONE + _LINKS + _SHORT + _LONG
+
+#: More of the same: word counts, links, neighbour before, neighbour after, heading, furniture, content, outside.
+for pattern in (
+    ((1, 5, 15, 40, 90), (0.0, 0.2, 0.4), _ANY, _ANY, 0, 0, 1),  # text of the article
+    ((3, 12), (0.0,), _ANY, _ANY, 1, 0, 1),  # headings of the article
+    ((25, 40, 60), (0.5, 0.6), _LONG, _LONG, 0, 0, 1),  # a half-linked paragraph between paragraphs
+    ((6, 15, 25, 60), (0.5, 0.6, 0.7), _LINKS, _LINKS + _SHORT, 0, 0, 0),  # lists with a few words
+    ((1, 4, 7, 20, 30), (0.85, 1.0), _ANY, _ANY, 0, 0, 0),  # links
+    ((3, 12, 60, 200), (0.0, 0.2), _ANY, _ANY, 0, 1, 0),  # marked furniture
+    ((3, 12, 60, 200), (0.0, 0.2), _ANY, _ANY, 0, 1, 0, 1),
+    ((60, 150), (0.0, 0.2), _ANY, _ANY, 0, 0, 1, 1),  # long text beside the article
+    ((20, 30, 45), (0.0, 0.1), _LONG, _LONG, 0, 0, 1, 1),  # text beside the article that goes on between texts
+    ((3, 10, 20, 40), (0.0, 0.1), _LINKS, _ANY, 0, 0, 0, 1),  # adverts, notices, captions and footers beside it
+    ((3, 10, 20, 40), (0.0, 0.1), _NONE + _SHORT, _NONE + _LINKS + _SHORT, 0, 0, 0, 1),
+    ((3, 10, 20, 40), (0.0, 0.1), _LONG, _NONE + _LINKS + _SHORT, 0, 0, 0, 1),
+    ((1, 4, 7, 20, 30), (0.85, 1.0), _ANY, _ANY, 0, 0, 0, 1),
+):
+    LABELLED += _labelled(*pattern)
+
+#: The labelled table of pages without an article, where only the neighbours tell a notice from a short paragraph:
+#: word counts, links, neighbour before, neighbour after, heading, furniture, content.
+LABELLED_PLAIN = [
+    row
+    for pattern in (
+        ((2, 6, 12, 25, 45, 120), (0.0, 0.2), _SHORT + _LONG, _SHORT + _LONG, 0, 0, 1),  # a paragraph between paragraphs
+        ((25, 40, 60), (0.5, 0.6), _LONG, _LONG, 0, 0, 1),  # one half of which is links
+        ((50, 80, 150), (0.0, 0.1), _LINKS, _SHORT + _LONG + _LINKS, 0, 0, 1),  # the first text after a menu
+        ((4, 8, 15, 24), (0.0,), _LINKS, [(60, 0.0), (120, 0.0)], 0, 0, 1),  # a lead before a long text
+        ((50, 80, 150), (0.0, 0.1), _SHORT + _LONG, _LINKS, 0, 0, 1),  # the last text before links
+        ((30, 45, 90), (0.0, 0.1), _SHORT + _LONG, _NONE, 0, 0, 1),  # the last text of the page
+        ((13, 40, 90), (0.0, 0.1), _NONE, _SHORT + _LONG, 0, 0, 1),  # the first text of the page
+        ((1, 13, 30, 120), (0.0,), _NONE, _NONE, 0, 0, 1),  # the only text of the page
+        ((3, 6, 12), (0.0,), [(9, 0.0), (14, 0.0)], _NONE, 0, 0, 1),  # the end of a short page
+        ((3, 9, 14), (0.0,), _ANY, [(12, 0.0)] + _LONG, 1, 0, 1),  # a heading of text
+        ((4, 8, 15, 24), (0.0, 0.1), _LINKS, [(9, 0.0), (14, 0.0)] + _LINKS, 0, 0, 0),  # an advert after a menu
+        ((9, 14, 20), (0.0, 0.1), _NONE, _LINKS, 0, 0, 0),  # a notice above a menu
+        ((3, 10, 20), (0.0, 0.1), _LONG, _LINKS, 0, 0, 0),  # a line that announces links
+        ((4, 8, 16, 20), (0.0, 0.1), _LONG + _LINKS, _NONE, 0, 0, 0),  # a footer line
+        ((1, 4, 7, 20, 30), (0.85, 1.0), _ANY, _ANY, 0, 0, 0),  # links
+        ((6, 15, 25, 60), (0.5, 0.6, 0.7), _LINKS, _LINKS + _SHORT, 0, 0, 0),  # lists with a few words
+        ((2, 3, 5), (0.0, 1.0), _LINKS + _LONG, _LINKS, 1, 0, 0),  # a heading of links
+        ((3, 12, 60, 200), (0.0, 0.2), _ANY, _ANY, 0, 1, 0),  # marked furniture
+    )
+    for row in _labelled(*pattern)
+]
+
+
 def grow(rows: list[tuple], depth: int = 6):
     """A tree of (feature, bound, below or equal, above); a leaf is 0 or 1."""
     ones = sum(r[-1] for r in rows)
@@ -82,7 +136,13 @@ def grow(rows: list[tuple], depth: int = 6):
 
 @cache
 def tree():
-    return grow(LABELLED)
+    return grow(LABELLED, 12)
+
+
+@cache
+def plain_tree():
+    """The tree of pages without an article."""
+    return grow(LABELLED_PLAIN, 12)
 
 
 def classify(features: tuple, node=None) -> int:
@@ -185,7 +245,7 @@ def main_text(page: str) -> str:
     for i, b in enumerate(found):
         before = (found[i - 1][1], density[i - 1]) if i else (0, 0.0)
         after = (found[i + 1][1], density[i + 1]) if i + 1 < len(found) else (0, 0.0)
-        if classify((b[1], density[i], *before, *after, int(b[3]), int(b[4]), int(has_article and not b[5]))):
+        if classify((b[1], density[i], *before, *after, int(b[3]), int(b[4]), int(has_article and not b[5])), tree() if has_article else plain_tree()):
             kept.append(b[0])
     return "\n".join(kept)
 

@@ -280,6 +280,31 @@ def test_tree_fits_its_table_and_awkward_pages(spark):
     assert len(html_text.main_text("<div>" * 3000 + "x" * 100)) == 100
 
 
+def test_trees_split_on_neighbours():
+    def used(node):
+        return {html_text.FEATURES[node[0]]} | used(node[2]) | used(node[3]) if isinstance(node, tuple) else set()
+
+    assert {"words_before", "links_before", "words_after", "links_after", "heading"} <= used(html_text.plain_tree())
+    assert {"words_before", "words_after"} <= used(html_text.tree())
+    assert all(html_text.classify(r[:-1], html_text.plain_tree()) == r[-1] for r in html_text.LABELLED_PLAIN)
+
+
+def test_neighbours_decide():
+    rng = random.Random(15)
+    long, other = prose(rng, 60), prose(rng, 70)
+    menu = "<ul><li><a href='/a'>One</a><li><a href='/b'>Two</a></ul>"
+    parts = ["<div>We use small files to remember you</div>", menu, "<div>Buy nine granite ledgers for the price of two</div>", "<h1>The harbour at night</h1>"]
+    page = "".join([*parts, f"<p>{long}</p><p>They slept.</p><p>{other}</p>", "<div>&copy; example, all rights are ours</div>"])
+    assert html_text.main_text(page) == f"The harbour at night\n{long}\nThey slept.\n{other}"
+    linked = "<a href='/x'>" + prose(rng, 16) + "</a> " + prose(rng, 14)
+    text_of = lambda x: re.sub("<[^>]*>", "", x)
+    assert html_text.main_text(f"<article><p>{long}</p><p>{linked}</p><p>{other}</p></article>") == f"{long}\n{text_of(linked)}\n{other}"
+    assert html_text.main_text(f"<article><p>{long}</p>{menu}<p>{linked}</p>{menu}</article>") == long
+    more = prose(rng, 30)
+    assert html_text.main_text(f"<article><p>{long}</p></article><p>{other}</p><p>{more}</p><p>{other}</p>") == "\n".join([long, other, more, other])
+    assert html_text.main_text(f"<article><p>{long}</p></article>{menu}<p>{more}</p>{menu}") == long
+
+
 # ---- 6 Jaccard join
 
 
