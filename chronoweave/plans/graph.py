@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -9,9 +11,9 @@ from ..operators import components, edges, gnn
 from ..operators.asof import earliest
 from ..sources.adapter import CE, OBS, crossing_events, observations
 from ..sources.shared import materialize
-from .registry import query
+from .registry import QUERIES, query
 
-#: Snapshot of the queries that follow paths; degrees are taken later.
+#: Snapshot of the queries with SQL twins that follow paths; degrees are taken later.  Each has a NAME_latest over all events.
 DAY, LATE = "2024-01-03", "2024-01-20"
 
 GRAPH = f""" {CE},
@@ -49,6 +51,21 @@ def active_edges(spark, sf, day=DAY):
     return found, nodes, ce
 
 
+def last_moment(spark, sf):
+    """The midnight after the last event: a snapshot before it holds every event."""
+    return crossing_events(spark, sf).agg(F.date_format(F.date_add(F.max("day"), 1), "yyyy-MM-dd")).first()[0]
+
+
+def whole(f):
+    """Registers NAME_latest, the query f on the snapshot after the last event; recursive SQL over it grows with the square of a component, so it has no twin."""
+
+    def latest(spark, sf):
+        return f(spark, sf, last_moment(spark, sf))
+
+    QUERIES[f.__name__ + "_latest"] = latest
+    return f
+
+
 @query(f"WITH {OBS} SELECT a.identity AS u, b.identity AS v, strftime(greatest(a.t, b.t), '%Y-%m-%d') AS avail, count(*) AS n FROM obs a JOIN obs b ON a.event_id = b.event_id AND a.identity <> b.identity GROUP BY 1, 2, 3")
 def edges_cotravel(spark, sf):
     obs, _ = observations(spark, sf)
@@ -78,10 +95,11 @@ def _framed_sql(*xs: str) -> str:
     return "sha256(unhex(" + " || ".join(f"lpad(to_hex(strlen({x})), 16, '0') || hex(encode({x}))" for x in xs) + "))"
 
 
+@whole
 @query(f"""WITH {GRAPH}, o AS (SELECT u, v, strftime(avail_time, '%Y-%m-%dT%H:%M:%S') AS s, edge_type, row_number() OVER (PARTITION BY u, v, avail_time, edge_type) - 1 AS occurrence FROM act)
  SELECT u, v, s AS stamp, edge_type, occurrence, {_framed_sql('u', 'v', 's', 'edge_type', 'occurrence::VARCHAR')} AS source_row_id, {_framed_sql('least(u, v)', 'greatest(u, v)', 'edge_type')} AS canonical_pair_group_id FROM o""")
-def edge_provenance_ids(spark, sf):
-    found, _, _ = active_edges(spark, sf)
+def edge_provenance_ids(spark, sf, day=DAY):
+    found, _, _ = active_edges(spark, sf, day)
     stamp = F.date_format("avail_time", "yyyy-MM-dd'T'HH:mm:ss").alias("stamp")
     return edges.provenance(found).select("u", "v", stamp, "edge_type", "occurrence", "source_row_id", "canonical_pair_group_id")
 
@@ -97,9 +115,10 @@ def travel_and_home(found, nodes):
     return components.connected(found.where("rel = 0"), nodes), components.connected(found.where("rel = 1"), nodes)
 
 
+@whole
 @query(f"WITH RECURSIVE {GRAPH} {ROOTS} SELECT node, root FROM travel")
-def components_asof(spark, sf):
-    found, nodes, _ = active_edges(spark, sf)
+def components_asof(spark, sf, day=DAY):
+    found, nodes, _ = active_edges(spark, sf, day)
     return components.connected(found.where("rel = 0"), nodes)
 
 
@@ -109,26 +128,36 @@ _DAYS = ("2024-01-02", "2024-01-03", "2024-01-04")
 @query(f"""WITH RECURSIVE {GRAPH}, days AS (SELECT unnest(['{"', '".join(_DAYS)}']) AS day_text), de AS (SELECT DISTINCT day_text, u, v FROM edges, days WHERE rel = 0 AND avail_time < day_text::TIMESTAMP),
  r(day_text, node, root) AS (SELECT DISTINCT day_text, u, u FROM de UNION SELECT r.day_text, de.v, r.root FROM r JOIN de ON de.u = r.node AND de.day_text = r.day_text)
  SELECT day_text, count(*) AS nodes, count(DISTINCT root) AS components, max(size) AS largest FROM (SELECT day_text, node, root, count(*) OVER (PARTITION BY day_text, root) AS size FROM (SELECT day_text, node, min(root) AS root FROM r GROUP BY 1, 2)) GROUP BY day_text""")
-def components_by_day(spark, sf):
+def components_by_day(spark, sf, days=_DAYS):
     ce, _, _ = parts(spark, sf)
-    days = F.explode(F.array(*map(F.lit, _DAYS)))
-    travel = edges.cotravel(ce.where(F.col("t") < F.lit(_DAYS[-1]).cast("timestamp"))).withColumn("day_text", days).where(F.col("avail_time") < F.col("day_text").cast("timestamp"))
+    # each pair once, at its first moment: later days follow from it
+    firsts = edges.cotravel(ce.where(F.col("t") < F.lit(days[-1]).cast("timestamp"))).groupBy("u", "v").agg(F.min("avail_time").alias("avail_time"))
+    travel = firsts.withColumn("day_text", F.explode(F.array(*map(F.lit, days)))).where(F.col("avail_time") < F.col("day_text").cast("timestamp"))
     roots = components.connected(travel, keys=("day_text",))
     sizes = roots.groupBy("day_text", "root").agg(F.count(F.lit(1)).alias("size"))
     return sizes.groupBy("day_text").agg(F.sum("size").alias("nodes"), F.count(F.lit(1)).alias("components"), F.max("size").alias("largest"))
 
 
+@query()
+def components_by_day_latest(spark, sf):
+    """Every day of the table, up to the one after the last event."""
+    first, last = crossing_events(spark, sf).agg(F.date_format(F.date_add(F.min("day"), 1), "yyyy-MM-dd"), F.date_format(F.date_add(F.max("day"), 1), "yyyy-MM-dd")).first()
+    start, n = date.fromisoformat(first), (date.fromisoformat(last) - date.fromisoformat(first)).days
+    return components_by_day(spark, sf, tuple((start + timedelta(i)).isoformat() for i in range(n + 1)))
+
+
+@whole
 @query(f"WITH RECURSIVE {GRAPH} {ROOTS} SELECT node, t.root, size, households FROM travel t JOIN spans USING (root)")
-def component_struct(spark, sf):
-    found, nodes, _ = active_edges(spark, sf)
+def component_struct(spark, sf, day=DAY):
+    found, nodes, _ = active_edges(spark, sf, day)
     return components.spans(*travel_and_home(found, nodes))
 
 
-def node_features(spark, sf):
+def node_features(spark, sf, day=DAY):
     """node, f0 .. f7: 1, four degrees, log1p of component size and households, caught."""
-    found, nodes, ce = active_edges(spark, sf)
+    found, nodes, ce = active_edges(spark, sf, day)
     _, home, _ = parts(spark, sf)
-    moment = F.lit(DAY).cast("timestamp")
+    moment = F.lit(day).cast("timestamp")
     struct = components.spans(*travel_and_home(found, nodes))
     caught = earliest(ce, F.col("seizure")).select(F.col("identity").alias("node"), (F.col("caught_time") < moment).cast("double").alias("caught"))
     rows = nodes.join(edges.degrees(ce, home, moment).withColumnRenamed("identity", "node"), "node", "left").join(struct, "node").join(caught, "node", "left").fillna(0)
@@ -141,9 +170,10 @@ FEATURES = f"""{DEGREES.format(src='act')}, feat AS (SELECT n.node, 1.0::DOUBLE
  FROM nodes n LEFT JOIN deg USING (node) JOIN travel t USING (node) JOIN spans s ON s.root = t.root LEFT JOIN caught ON caught.identity = n.node)"""
 
 
+@whole
 @query(f"WITH RECURSIVE {GRAPH} {ROOTS}, {FEATURES} SELECT node, f0, f1, f2, f3, f4, round(f5, 9) AS f5, round(f6, 9) AS f6, f7 FROM feat")
-def node_features_asof(spark, sf):
-    rows, _, _ = node_features(spark, sf)
+def node_features_asof(spark, sf, day=DAY):
+    rows, _, _ = node_features(spark, sf, day)
     return rows.withColumns({c: F.round(c, 9) for c in ("f5", "f6")})
 
 
@@ -155,23 +185,26 @@ def _target(found):
     return found.where("rel = 0").agg(F.min("u").alias("node"))
 
 
+@whole
 @query(f"WITH {GRAPH}, {_BFS} SELECT node, distance FROM dist")
-def khop2(spark, sf):
-    found, _, _ = active_edges(spark, sf)
+def khop2(spark, sf, day=DAY):
+    found, _, _ = active_edges(spark, sf, day)
     return components.distances(found, _target(found), 2)
 
 
+@whole
 @query(f"WITH RECURSIVE {GRAPH} {ROOTS}, {_BFS} SELECT t.node, coalesce(distance, -1) AS distance FROM travel t LEFT JOIN dist d USING (node) WHERE t.root = (SELECT root FROM travel JOIN tgt USING (node)) OR d.node IS NOT NULL")
-def community_distances(spark, sf):
-    found, nodes, _ = active_edges(spark, sf)
+def community_distances(spark, sf, day=DAY):
+    found, nodes, _ = active_edges(spark, sf, day)
     roots = components.connected(found.where("rel = 0"), nodes)
     own = roots.join(F.broadcast(roots.join(_target(found), "node").select("root")), "root").select("node")
     return own.join(components.distances(found, _target(found), 2), "node", "full").select("node", F.coalesce("distance", F.lit(-1)).alias("distance"))
 
 
+@whole
 @query(f"WITH {GRAPH}, {_BFS} SELECT least(u, v) AS a, greatest(u, v) AS b, rel, count(*) AS n, strftime(min(avail_time), '%Y-%m-%d %H:%M:%S') AS first_time, max(greatest(x.distance, y.distance)) AS hop FROM act JOIN dist x ON x.node = u JOIN dist y ON y.node = v GROUP BY 1, 2, 3")
-def canonical_edges(spark, sf):
-    found, _, _ = active_edges(spark, sf)
+def canonical_edges(spark, sf, day=DAY):
+    found, _, _ = active_edges(spark, sf, day)
     near = components.distances(found, _target(found), 2)
     inside = found.join(near.select(F.col("node").alias("u"), F.col("distance").alias("x")), "u").join(near.select(F.col("node").alias("v"), F.col("distance").alias("y")), "v")
     return inside.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "rel").agg(F.count(F.lit(1)).alias("n"), F.date_format(F.min("avail_time"), "yyyy-MM-dd HH:mm:ss").alias("first_time"), F.max(F.greatest("x", "y")).alias("hop"))
@@ -179,24 +212,33 @@ def canonical_edges(spark, sf):
 
 @query(f"""WITH {GRAPH}, {_BFS}, w AS (SELECT d.node, d.distance, count(*) AS rows_ FROM dist d JOIN act ON act.u = d.node GROUP BY 1, 2), k AS (SELECT * FROM w ORDER BY distance, rows_ DESC, node LIMIT 24)
  SELECT a.u, a.v, a.rel, count(*) AS n FROM act a WHERE u IN (SELECT node FROM k) AND v IN (SELECT node FROM k) AND u < v GROUP BY 1, 2, 3""")
-def local_projection(spark, sf):
-    found, _, _ = active_edges(spark, sf)
+def local_projection(spark, sf, day=DAY, most_nodes=24, most_edges=None):
+    found, _, _ = active_edges(spark, sf, day)
     near = components.distances(found, _target(found), 2)
     weighed = near.join(found.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("n")), "node")
-    kept = weighed.orderBy("distance", F.col("n").desc(), "node").limit(24).select("node")
+    kept = weighed.orderBy("distance", F.col("n").desc(), "node").limit(most_nodes).select("node")
     inside = found.where("u < v").join(F.broadcast(kept.withColumnRenamed("node", "u")), "u").join(F.broadcast(kept.withColumnRenamed("node", "v")), "v")
-    return inside.groupBy("u", "v", "rel").agg(F.count(F.lit(1)).alias("n"))
+    rows = inside.groupBy("u", "v", "rel").agg(F.count(F.lit(1)).alias("n"))
+    return rows if most_edges is None else rows.orderBy(F.col("n").desc(), "u", "v", "rel").limit(most_edges)
+
+
+@query()
+def local_projection_latest(spark, sf):
+    """The survey's 512 nodes and 1,024 edges, over all events."""
+    return local_projection(spark, sf, last_moment(spark, sf), 512, 1024)
 
 
+@whole
 @query(f"WITH {GRAPH} SELECT u AS node, string_agg(DISTINCT edge_type, ',' ORDER BY edge_type) AS categories FROM act GROUP BY u")
-def relationship_categories(spark, sf):
-    found, _, _ = active_edges(spark, sf)
+def relationship_categories(spark, sf, day=DAY):
+    found, _, _ = active_edges(spark, sf, day)
     return found.groupBy(F.col("u").alias("node")).agg(F.array_join(F.array_sort(F.collect_set("edge_type")), ",").alias("categories"))
 
 
+@whole
 @query()
-def bridges(spark, sf):
-    found, _, _ = active_edges(spark, sf)
+def bridges(spark, sf, day=DAY):
+    found, _, _ = active_edges(spark, sf, day)
     return components.bridges(found.where("rel = 0"))
 
 
@@ -226,23 +268,25 @@ def _scaled(rows):
     return rows.select("node", "f0", *[F.log1p(f"f{i}").alias(f"f{i}") for i in range(1, 5)], "f5", "f6", "f7")
 
 
-def _sage(spark, sf):
-    rows, found, roots = node_features(spark, sf)
+def _sage(spark, sf, day=DAY):
+    rows, found, roots = node_features(spark, sf, day)
     pairs = gnn.pair_counts(found)
     one = gnn.sage_layer(_scaled(rows), pairs, _W["l1"], _W["r1"], _B, relu=True)
     return gnn.sage_layer(one, pairs, _W["l2"], _W["r2"], _B, relu=False), roots
 
 
+@whole
 @query(f"WITH RECURSIVE {GRAPH} {ROOTS}, {FEATURES}, {_SCALED}, {_layer_sql('scaled', 'z1', 'l1', 'r1', True)}, {_layer_sql('z1', 'z2', 'l2', 'r2', False)} SELECT node, round(f0, 6) AS f0, round(f1, 6) AS f1, round(f2, 6) AS f2 FROM z2")
-def sage_forward(spark, sf):
-    z, _ = _sage(spark, sf)
+def sage_forward(spark, sf, day=DAY):
+    z, _ = _sage(spark, sf, day)
     return z.select("node", *[F.round(f"f{i}", 6).alias(f"f{i}") for i in range(3)])
 
 
+@whole
 @query(f"""WITH RECURSIVE {GRAPH} {ROOTS}, {FEATURES}, {_SCALED}, {_layer_sql('scaled', 'z1', 'l1', 'r1', True)}, {_layer_sql('z1', 'z2', 'l2', 'r2', False)}, {_POOL}
  SELECT node, round(1 / (1 + exp(-({_BIAS}::DOUBLE + {' + '.join(f'f{i} * ({w}::DOUBLE)' for i, w in enumerate(_HEAD))}))), 6) AS probability FROM pooled""")
-def component_mean_pool(spark, sf):
-    z, roots = _sage(spark, sf)
+def component_mean_pool(spark, sf, day=DAY):
+    z, roots = _sage(spark, sf, day)
     return gnn.head(gnn.pool_by_root(z, roots, 3), _HEAD, _BIAS).select("node", F.round("probability", 6).alias("probability"))
 
 
@@ -250,28 +294,32 @@ _REL_MEANS = ", ".join(f"rm{r} AS (SELECT a.v AS node, {', '.join(f'avg(f{i}) AS
 _REL_VALUES = ", ".join(f"round(greatest({_B[j]}::DOUBLE + {_combo('s.f', _W['r1'], j)} + " + " + ".join(_combo(f"m{r}_", _W[f"q{r}"], j) for r in range(4)) + f", 0), 6) AS f{j}" for j in range(3))
 
 
+@whole
 @query(f"WITH RECURSIVE {GRAPH} {ROOTS}, {FEATURES}, {_SCALED}, {_REL_MEANS} SELECT s.node, {_REL_VALUES} FROM scaled s LEFT JOIN rm0 USING (node) LEFT JOIN rm1 USING (node) LEFT JOIN rm2 USING (node) LEFT JOIN rm3 USING (node)")
-def rgcn_forward(spark, sf):
-    rows, found, _ = node_features(spark, sf)
+def rgcn_forward(spark, sf, day=DAY):
+    rows, found, _ = node_features(spark, sf, day)
     z = gnn.rgcn_layer(_scaled(rows), gnn.pair_counts(found, "rel"), _W["r1"], [_W[f"q{r}"] for r in range(4)], _B, relu=True)
     return z.select("node", *[F.round(f"f{i}", 6).alias(f"f{i}") for i in range(3)])
 
 
+@whole
 @query()
-def gin_forward(spark, sf):
-    rows, found, _ = node_features(spark, sf)
+def gin_forward(spark, sf, day=DAY):
+    rows, found, _ = node_features(spark, sf, day)
     return gnn.gin_layer(_scaled(rows), gnn.pair_counts(found), _W["l1"], _B, _W["l2"], _B, relu=True)
 
 
+@whole
 @query()
-def gcn_forward(spark, sf):
-    rows, found, _ = node_features(spark, sf)
+def gcn_forward(spark, sf, day=DAY):
+    rows, found, _ = node_features(spark, sf, day)
     return gnn.gcn_layer(_scaled(rows), gnn.pair_counts(found), _W["l1"], _B, relu=True)
 
 
+@whole
 @query()
-def gat_forward(spark, sf):
-    rows, found, _ = node_features(spark, sf)
+def gat_forward(spark, sf, day=DAY):
+    rows, found, _ = node_features(spark, sf, day)
     return gnn.gat_layer(_scaled(rows), gnn.pair_counts(found), _W["l1"], [0.3, -0.2, 0.1], [0.1, 0.2, -0.3], _B, relu=True)
 
 
@@ -281,11 +329,12 @@ def daily_series(spark, sf):
     return by_day.select(F.date_format("day", "yyyy-MM-dd").alias("day_text"), "n", "people", F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("day")).alias("running"))
 
 
+@whole
 @query(f"""WITH {GRAPH}, {_BFS}, f AS (SELECT least(u, v) AS a, greatest(u, v) AS b, rel, count(*) AS n FROM act WHERE u IN (SELECT node FROM dist WHERE distance <= 1) AND v IN (SELECT node FROM dist WHERE distance <= 1) GROUP BY 1, 2, 3)
  SELECT a, b, rel, n, row_number() OVER (ORDER BY n DESC, a, b, rel) AS factor FROM f ORDER BY n DESC, a, b, rel LIMIT 10""")
-def factor_specs(spark, sf):
+def factor_specs(spark, sf, day=DAY):
     """The pair-relations around a person whose removal is tried: the ten with the most rows."""
-    found, _, _ = active_edges(spark, sf)
+    found, _, _ = active_edges(spark, sf, day)
     near = components.distances(found, _target(found), 1).select("node")
     inside = found.join(near.withColumnRenamed("node", "u"), "u", "left_semi").join(near.withColumnRenamed("node", "v"), "v", "left_semi")
     counts = inside.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "rel").agg(F.count(F.lit(1)).alias("n"))
@@ -293,25 +342,27 @@ def factor_specs(spark, sf):
     return counts.orderBy(*order).limit(10).withColumn("factor", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)))
 
 
+@whole
 @query(f"""WITH RECURSIVE {GRAPH} {ROOTS}, {FEATURES}, {_SCALED}, {_layer_sql('scaled', 'z1', 'l1', 'r1', True)}, {_layer_sql('z1', 'z2', 'l2', 'r2', False)},
  tgt AS (SELECT min(u) AS node FROM act WHERE rel = 0), cut AS (SELECT a.v AS other, a.rel, count(*) AS n FROM act a JOIN tgt ON a.u = tgt.node GROUP BY 1, 2)
  SELECT other, cut.rel, n, round(z.f0, 6) AS base_f0 FROM cut, tgt JOIN z2 z ON z.node = tgt.node""")
-def ablation_base(spark, sf):
+def ablation_base(spark, sf, day=DAY):
     """Each relation of a person that an ablation removes, beside the person's value before it."""
-    z, _ = _sage(spark, sf)
-    found, _, _ = active_edges(spark, sf)
+    z, _ = _sage(spark, sf, day)
+    found, _, _ = active_edges(spark, sf, day)
     target = F.broadcast(_target(found))
     cut = found.join(target.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("other"), "rel").agg(F.count(F.lit(1)).alias("n"))
     return cut.crossJoin(F.broadcast(z.join(target, "node").select(F.round("f0", 6).alias("base_f0"))))
 
 
+@whole
 @query()
-def counterfactual_rank(spark, sf):
+def counterfactual_rank(spark, sf, day=DAY):
     """Probability and rank of a person before and after each of its relations is removed, everything else frozen.
 
     Removal is a filter on the counted pairs; degrees and components that the features hold stay as they were observed.
     """
-    rows, found, roots = node_features(spark, sf)
+    rows, found, roots = node_features(spark, sf, day)
     scaled = materialize(_scaled(rows), "features")
     target = _target(found).first()["node"]
     typed = gnn.pair_counts(found, "rel")

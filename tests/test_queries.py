@@ -3,7 +3,7 @@
 import pytest
 from compare import duck_rows, spark_rows
 
-from chronoweave.plans import registry
+from chronoweave.plans import graph, registry
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
@@ -20,6 +20,24 @@ def test_runs(name, spark, sf):
     assert df.columns and df.count() >= 0
 
 
+@pytest.mark.parametrize("name", ["components_asof", "component_struct", "canonical_edges", "relationship_categories", "sage_forward", "factor_specs"])
+def test_latest_is_the_twin_after_the_last_event(name, spark, sf, duck):
+    day = graph.last_moment(spark, sf)
+    assert duck.execute(f"SELECT count(*) FROM events WHERE ts >= TIMESTAMP '{day}'").fetchone()[0] == 0
+    columns, rows = spark_rows(registry.QUERIES[name + "_latest"](spark, sf))
+    other_columns, other = duck_rows(duck, registry.ORACLES[name].replace(graph.DAY, day))
+    assert columns == other_columns
+    assert rows == other
+
+
+def test_every_day_and_the_whole_projection(spark, sf, duck):
+    days = [r.day_text for r in registry.QUERIES["components_by_day_latest"](spark, sf).collect()]
+    assert sorted(days)[-1] == graph.last_moment(spark, sf)
+    assert len(days) == len(set(days)) == duck.execute("SELECT date_diff('day', min(ts), max(ts)) + 1 FROM events").fetchone()[0]
+    rows = registry.QUERIES["local_projection_latest"](spark, sf).collect()
+    assert len({x for r in rows for x in (r.u, r.v)}) > 24 and len(rows) <= 1024
+
+
 def test_entry(spark):
     import __spark_entry__
 
