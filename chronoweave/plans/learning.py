@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.rank import quantile_higher
-from ..operators import asof, ml
+from ..operators import asof, gnn, ml
 from ..sources.adapter import crossing_events
+from ..sources.shared import materialize
 from .registry import query
 
 FEATURES = ["prior_crossings", "prior_secondary", "prior_seizure", "prior_arrest", "k", "value"]
@@ -57,21 +58,33 @@ def regional_arms(spark, sf):
 
 
 @query()
-def sage_trained(spark, sf):
-    """A small network trained on one day's bounded snapshot (at most 5,000 nodes by id), then scored for its nodes."""
-    from .graph import node_features
-
-    rows, found, _ = node_features(spark, sf)
-    kept = rows.orderBy("node").limit(5000).collect()
+def sage_trained(spark, sf, day=None, sample=5000):
+    """A small network fitted on a bounded sample of one day's snapshot (at most 5,000 nodes by id, and their edges), then scored for every node over all edges."""
+    from .graph import DAY, node_features
+
+    rows, found, _ = node_features(spark, sf, day or DAY)
+    features = materialize(rows.select("node", *[F.log1p(f"f{i}").alias(f"f{i}") for i in range(7)], F.col("f7").alias("label")), "features")
+    pairs = materialize(gnn.pair_counts(found), "pairs")
+    drawn = features.orderBy("node").limit(sample)
+    kept = drawn.collect()
     place = {r["node"]: i for i, r in enumerate(kept)}
-    x = np.log1p(np.array([[r[f"f{i}"] for i in range(7)] for r in kept]))
-    y = np.array([r["f7"] for r in kept])
+    x = np.array([[r[f"f{i}"] for i in range(7)] for r in kept])
+    y = np.array([r["label"] for r in kept])
     near = np.zeros((len(kept), len(kept)), np.float32)
-    inside = found.where(F.col("u").isin(list(place)) & F.col("v").isin(list(place))) if len(place) < 200 else found
-    for r in inside.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
-        if r["u"] in place and r["v"] in place:
-            near[place[r["v"]], place[r["u"]]] = r["n"]
+    own = drawn.select("node")
+    inside = pairs.join(own.withColumnRenamed("node", "u"), "u", "left_semi").join(own.withColumnRenamed("node", "v"), "v", "left_semi")
+    for r in inside.toLocalIterator():
+        near[place[r["v"]], place[r["u"]]] = r["w"]
     near /= np.maximum(near.sum(axis=1, keepdims=True), 1)
     w, losses = ml.train_sage(x, near, y, np.arange(len(kept)))
-    z = ml.sage_step(x, near, w)[1][:, 0]
-    return spark.createDataFrame([(n, float(1 / (1 + np.exp(-z[i]))), losses[0], losses[-1]) for n, i in place.items()], "node string, p double, first_loss double, last_loss double")
+    hidden = gnn.sage_layer(features.drop("label"), pairs, w["l1"].tolist(), w["r1"].tolist(), w["b1"].tolist(), relu=True)
+    z = gnn.sage_layer(hidden, pairs, w["l2"].tolist(), w["r2"].tolist(), w["b2"].tolist(), relu=False)
+    return z.select("node", (1 / (1 + F.exp(-F.col("f0")))).alias("p"), F.lit(losses[0]).alias("first_loss"), F.lit(losses[-1]).alias("last_loss"))
+
+
+@query()
+def sage_trained_latest(spark, sf):
+    """The same on the snapshot after the last event."""
+    from .graph import last_moment
+
+    return sage_trained(spark, sf, last_moment(spark, sf))

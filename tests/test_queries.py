@@ -38,6 +38,28 @@ def test_every_day_and_the_whole_projection(spark, sf, duck):
     assert len({x for r in rows for x in (r.u, r.v)}) > 24 and len(rows) <= 1024
 
 
+def test_trained_network_scores_every_node(spark, sf):
+    """Fitted on 50 nodes, scored for all; with all nodes in the sample the scores are those of the network's own forward pass."""
+    import numpy as np
+
+    from chronoweave.operators import gnn, ml
+    from chronoweave.plans import learning
+
+    rows, found, _ = graph.node_features(spark, sf)
+    nodes = sorted(rows.collect(), key=lambda r: r["node"])
+    some = {r["node"]: r["p"] for r in learning.sage_trained(spark, sf, sample=50).collect()}
+    assert set(some) == {r["node"] for r in nodes} and len(nodes) > 50
+    at = {r["node"]: i for i, r in enumerate(nodes)}
+    x = np.log1p(np.array([[r[f"f{i}"] for i in range(7)] for r in nodes]))
+    near = np.zeros((len(nodes), len(nodes)))
+    for r in gnn.pair_counts(found).collect():
+        near[at[r["v"]], at[r["u"]]] = r["w"]
+    first = near[:50, :50] / np.maximum(near[:50, :50].sum(axis=1, keepdims=True), 1)
+    w, _ = ml.train_sage(x[:50], first.astype(np.float32), np.array([r["f7"] for r in nodes[:50]]), np.arange(50))
+    z = ml.sage_step(x, near / np.maximum(near.sum(axis=1, keepdims=True), 1), w)[1][:, 0]
+    assert all(abs(some[n] - 1 / (1 + np.exp(-z[i]))) < 1e-5 for n, i in at.items())
+
+
 def test_entry(spark):
     import __spark_entry__
 
