@@ -31,6 +31,7 @@ from .common import col, slices
 BLOCK_TAGS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = set("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED_TAGS = set("script style noscript template iframe object svg math canvas select textarea button head title".split())
+HEAD_TAGS = set("base link meta script style title noscript template head html".split())
 FURNITURE_TAGS = set("nav menu header footer aside form dialog".split())
 HEADING_TAGS = set("h1 h2 h3 h4 h5 h6".split())
 ARTICLE_TAGS = {"article", "main"}
@@ -175,7 +176,8 @@ def blocks(page: str) -> tuple[list[list], bool]:
     out: list[list] = []
     pieces: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # open block elements: tag, furniture, article
-    links = dropped = 0
+    dropped: list[tuple[str, int]] = []  # open elements without text: tag, open block elements around it
+    links = 0
     has_article = False
 
     def close() -> None:
@@ -187,6 +189,10 @@ def blocks(page: str) -> tuple[list[list], bool]:
                 out.append([text, total, min(linked, total), any(t in HEADING_TAGS for t, _, _ in stack), any(f for _, f, _ in stack), any(a for _, _, a in stack)])
             pieces.clear()
 
+    def end_dropped() -> None:
+        while dropped and dropped[-1][1] > len(stack):
+            dropped.pop()
+
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.match(page, at)
@@ -201,17 +207,23 @@ def blocks(page: str) -> tuple[list[list], bool]:
                 pieces.append((html.unescape(text) if "&" in text else text, links > 0))
             continue
         ending, tag, attributes = (m[1], m[2].lower(), m[3]) if m[2] is not None else (m[4], m[5].lower(), m[6])
+        if dropped and dropped[-1][0] == "head" and not ending and tag not in HEAD_TAGS:
+            dropped.pop()
         if tag in _RAW and not ending:
             end = _RAW[tag].search(page, at)
             at = end.end() if end else size
             if tag in BLOCK_TAGS:
                 close()
         elif tag in DROPPED_TAGS:
-            dropped = max(0, dropped - 1) if ending else dropped + (not attributes.endswith("/"))
+            if not ending:
+                if not attributes.endswith("/"):
+                    dropped.append((tag, len(stack)))
+            elif at_tag := [k for k, (t, _) in enumerate(dropped) if t == tag]:
+                del dropped[at_tag[-1] :]
             if tag in BLOCK_TAGS:
                 close()
         elif tag == "body":
-            dropped = 0
+            dropped.clear()
             close()
         elif tag == "a":
             links = max(0, links - 1) if ending else links + 1
@@ -228,9 +240,11 @@ def blocks(page: str) -> tuple[list[list], bool]:
                     if stack[k][0] == tag:
                         del stack[k:]
                         break
+                end_dropped()
             else:
                 if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
                     stack.pop()
+                    end_dropped()
                 article = tag in ARTICLE_TAGS
                 has_article = has_article or article
                 stack.append((tag, _is_furniture(tag, attributes, any(a for _, _, a in stack)), article))

@@ -305,6 +305,19 @@ def test_neighbours_decide():
     assert html_text.main_text(f"<article><p>{long}</p></article>{menu}<p>{more}</p>{menu}") == long
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "object", "math", "canvas"])
+def test_unclosed_dropped_element_ends_with_the_one_around_it(tag):
+    for end in ("</p>", ""):
+        assert html_text.main_text(f"<article><p>One is here<{tag} x='1'>gone{end}<p>Two is here</p></article>") == "One is here\nTwo is here"
+    assert html_text.main_text(f"<article><div><{tag}>gone<svg><div>gone</div></div>Two</article>") == "Two"
+    assert html_text.main_text(f"<article><p>One <{tag}><div>gone</div></{tag}> two</p></article>") == "One\ntwo"
+
+
+def test_unclosed_head_ends_with_the_first_text_element():
+    assert html_text.main_text("<html><head><meta charset='x'><title>no</title><p>Here is the text</p></html>") == "Here is the text"
+    assert html_text.main_text("<html><head><style>x</style></head><p>Here is the text</p></html>") == "Here is the text"
+
+
 # ---- 6 Jaccard join
 
 
