@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm import exact_dedup, jaccard_groups, packing, ppm, quality
-from chronoweave.llm.common import fresh, materialize
+from chronoweave.llm.common import fresh, materialize, text_of
 from chronoweave.llm.queries import CAPACITY, tokenizer_path
 
 
@@ -30,10 +30,23 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of each class of similar documents the one with the smallest doc_id stays."""
-    (key,) = fresh(docs, "class_id")
-    heads = jaccard_groups.jaccard_classes(docs).where("doc_id = component_id").select(F.col("component_id").alias(key)).distinct()
-    return docs.join(heads, docs["doc_id"] == F.col(key), "left_semi")
+    """Operator 6: of each class of similar documents the one with the smallest doc_id stays.
+
+    Rows without an id, and different texts under one id, are documents of their own: they are ordered by id, null last, then by a
+    hash of the text.  Rows that repeat id and text are one document, all of them stay or go.
+    """
+    awkward = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    key, sha, head = fresh(docs, "row_key", "row_sha", "class_id")
+    if awkward.isEmpty():
+        rows = docs.withColumn(key, F.col("doc_id"))
+    else:
+        hashed = docs.withColumn(sha, F.sha2(text_of("text"), 256))
+        order = hashed.select("doc_id", F.col(sha).alias("sha")).distinct().orderBy(F.col("doc_id").asc_nulls_last(), "sha")
+        keys = materialize(order.select(F.col("doc_id").alias("id"), "sha", F.monotonically_increasing_id().alias(key)), "row_keys")
+        joined = hashed.join(keys, hashed["doc_id"].eqNullSafe(keys["id"]) & (hashed[sha] == keys["sha"]))
+        rows = materialize(joined.select(*[hashed[f"`{c}`"] for c in docs.columns], keys[key]), "keyed")
+    heads = jaccard_groups.jaccard_classes(rows, id_col=key).where("doc_id = component_id").select(F.col("component_id").alias(head)).distinct()
+    return rows.join(heads, F.col(key) == F.col(head), "left_semi").drop(key)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -646,3 +646,22 @@ def test_pipeline_stages_on_awkward_rows(spark):
             assert out.columns == docs.columns
             docs = out
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= 0
+
+
+def test_near_copies_without_or_with_shared_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    a, b, c, d, e = (prose(rng, 80) + f" only{k}" for k in range(5))
+    rows = [(None, a), (None, b), (None, b + " more"), (7, c), (7, d), (7, d), (9, e), (None, e + " more"), (8, c + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t), 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row_key int, `a.b` string")
+    out = corpus_pipeline.near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    one_of_b = [(None, t) for t in (b, b + " more") if (None, t) in got]
+    assert len(one_of_b) == 1 and got[one_of_b[0]] == 1
+    got.pop(one_of_b[0])
+    assert got == Counter({(None, a): 1, (7, c): 1, (7, d): 2, (9, e): 1})
+    kept = corpus_pipeline.near_copies(spark, corpus_pipeline.exact_copies(spark, docs, ""), "")
+    packed = corpus_pipeline.best_fit(spark, kept, "").collect()
+    assert kept.count() == 5 and packed
