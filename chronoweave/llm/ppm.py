@@ -154,16 +154,30 @@ def held_out(id_col: str = "doc_id", fold_count: int = 4, fold_out: int = 2):
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 500, train_bytes: int = 20_000, least_bytes: int = 200) -> Model:
     """A model of the labelled rows of df that are not held out."""
     size = F.octet_length(col(text_col))
-    rows = df.where(col(lang_col).isNotNull() & ~held_out(id_col) & (size <= train_bytes)).select(col(lang_col).cast("string").alias("lang"), F.xxhash64(col(id_col).cast("string"), F.lit("train")).alias("h"), col(text_col).alias("text"), size.alias("size"))
-    long_enough = {r[0]: (r[1], r[2]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)), F.count(F.when(F.col("size") >= least_bytes, 1))).collect()}
+    rows = df.where(col(lang_col).isNotNull() & ~held_out(id_col) & col(text_col).isNotNull()).select(col(lang_col).cast("string").alias("lang"), F.xxhash64(col(id_col).cast("string"), F.lit("train")).alias("h"), col(text_col).alias("text"), size.alias("size"))
+    short = F.col("size") <= train_bytes
+    found = rows.groupBy("lang").agg(F.count(F.when(short, 1)), F.count(F.when(short & (F.col("size") >= least_bytes), 1))).collect()
+    long_enough = {r[0]: (r[1], r[2]) for r in found}
     samples: dict[str, bytes] = {}
     if not long_enough:
         return Model(samples)
     shares, span = None, 1 << 30
     for name, (every, enough) in long_enough.items():
+        if not every:
+            # no text under the bound: the shortest there are, as many as fit into a sample, one at least
+            by_size = rows.where(F.col("lang") == name).select("size", "h").orderBy("size", "h").limit(train_rows).collect()
+            total, last = 0, by_size[0]
+            for r in by_size:
+                total += r["size"]
+                if total > train_rows * train_bytes:
+                    break
+                last = r
+            mine = (F.col("lang") == name) & (F.struct("size", "h") <= F.struct(F.lit(last["size"]).alias("size"), F.lit(last["h"]).alias("h")))
+            shares = mine if shares is None else shares | mine
+            continue
         floor, n = (least_bytes, enough) if enough else (0, every)
         bound = span if n <= train_rows else int(span * train_rows / n)
-        mine = (F.col("lang") == name) & (F.col("size") >= floor) & (F.pmod(F.col("h"), F.lit(span)) < bound)
+        mine = short & (F.col("lang") == name) & (F.col("size") >= floor) & (F.pmod(F.col("h"), F.lit(span)) < bound)
         shares = mine if shares is None else shares | mine
     drawn = sorted(((r[0], r[1], r[2]) for r in rows.where(shares).select("lang", "h", "text").toLocalIterator()))
     by_lang: dict[str, list[bytes]] = {}

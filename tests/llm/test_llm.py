@@ -575,6 +575,18 @@ def test_language_awkward_rows(spark):
     assert ppm.keep_identified(docs, ppm.train(docs)).columns == docs.columns
 
 
+def test_language_of_long_texts_only(spark):
+    rng = random.Random(16)
+    tongues = {"aa": "kalo mire suto bane liru".split(), "zz": "wexqu jyrrh vokk zhund ptafq".split()}
+    long = [(i, " ".join(rng.choice(tongues["zz"]) for _ in range(500)), "zz") for i in range(8)]
+    short = [(i, " ".join(rng.choice(tongues["aa"]) for _ in range(60)), "aa") for i in range(20, 40)]
+    df = spark.createDataFrame(long + short + [(50, None, "zz")], "doc_id long, text string, lang string")
+    model = ppm.train(df, train_bytes=1000)
+    assert set(model.langs) == {"aa", "zz"}
+    got = {r.doc_id: r.lang_pred for r in ppm.identify(df.where("text is not null"), model).collect()}
+    assert got == {i: lang for i, _, lang in long + short}
+
+
 # ---- 10 exact dedup
 
 
