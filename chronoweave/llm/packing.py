@@ -3,9 +3,15 @@
 A configuration is a multiset of piece lengths that fits into one sequence.  The program asks for the
 fewest configurations that cover the histogram of lengths.  It is solved by multiplicative weights: a
 length's price falls exponentially with the share of its demand that is covered, and the configuration
-worth most at these prices comes from a knapsack dynamic program over the capacity.  The fractional
-solution is rounded down, the program is solved again for what is left, and the last few pieces, too
-few for whole multiples, are placed best-fit decreasing.
+worth most at these prices comes from a knapsack dynamic program over the capacity.  Most pricings look
+at the lengths of the highest price for their size only; every hundredth looks at all, and gives a dual bound:
+prices divided by the worth of the best configuration are feasible for the dual program.
+
+The solution is scaled to cover no length twice and rounded: full configurations first, each as often
+as the solution says, at least once, as far as pieces are left.  The program is solved again for what is left,
+until a round places nearly nothing; while much is left, configurations that are a little less full may then be
+used too.  The last pieces, under a twenty-fifth and at most
+100,000, are placed best-fit decreasing.
 
 The driver sees one number for each length, at most ``capacity`` of them, whatever the corpus.  The
 result is a table of configurations and how often each is used.  A piece finds its place from its
@@ -33,49 +39,59 @@ from .bpe import document_pieces
 from .common import literal_rows, materialize
 
 
-def knapsack(prices: np.ndarray) -> dict[int, int]:
-    """The configuration of the highest total price: prices[l] for length l, capacity len(prices) - 1."""
+def knapsack(prices: np.ndarray, demand: np.ndarray, lengths: list[int]) -> tuple[dict[int, int], float]:
+    """The configuration of the highest total price out of these lengths, no more of each than demand has, and its price; capacity len(prices) - 1."""
     capacity = len(prices) - 1
-    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        worth = prices[1 : c + 1] + best[c - 1 :: -1] if c < capacity + 1 else prices[1:]
-        k = int(worth.argmax())
-        if worth[k] > best[c - 1]:
-            best[c], take[c] = worth[k], k + 1
-        else:
-            best[c] = best[c - 1]
+    parts = []  # times 1, 2, 4, ... of a length, so that each number of it can be taken
+    for length in lengths:
+        left, times = min(int(demand[length]), capacity // length), 1
+        while left:
+            times = min(times, left)
+            parts.append((length, times))
+            left, times = left - times, 2 * times
+    best, taken = np.zeros(capacity + 1), np.zeros((len(parts), capacity + 1), bool)
+    for i, (length, times) in enumerate(parts):
+        size = length * times
+        other = best[: capacity + 1 - size] + prices[length] * times
+        np.greater(other, best[size:], out=taken[i, size:])
+        best[size:] = np.maximum(best[size:], other)
     out: Counter[int] = Counter()
-    c = capacity
-    while c > 0:
-        if take[c]:
-            out[int(take[c])] += 1
-            c -= int(take[c])
-        else:
-            c -= 1
-    return dict(out)
-
-
-def fractional(demand: np.ndarray, rounds: int, rate: float = 6.0) -> dict[tuple, float]:
-    """configuration -> how often, by multiplicative weights; configurations are sorted tuples of (length, times)."""
+    room = capacity
+    for i in range(len(parts) - 1, -1, -1):
+        if taken[i, room]:
+            length, times = parts[i]
+            out[length] += times
+            room -= length * times
+    return dict(out), float(best[capacity])
+
+
+def fractional(demand: np.ndarray, rounds: int, some: int, draw: np.random.Generator, rate: float = 6.0) -> tuple[dict[tuple, float], float]:
+    """configuration -> how often, by multiplicative weights, and the dual bound; configurations are sorted tuples of (length, times).
+
+    some: how many lengths a partial pricing looks at.
+    """
     capacity = len(demand) - 1
-    wanted, size = demand > 0, np.arange(capacity + 1) / capacity
-    covered, used = np.zeros(capacity + 1), Counter()
-    need = np.maximum(demand, 1)
-    for _ in range(rounds):
-        low = covered[wanted].min()
+    present = np.flatnonzero(demand)
+    need, place = demand[present].astype(float), {int(length): i for i, length in enumerate(present)}
+    covered, used, bound = np.zeros(len(present)), Counter(), 0.0
+    for number in range(rounds):
+        low = covered.min()
         if low >= 1:
             break
-        prices = np.where(wanted, size * np.exp(-rate * np.minimum(covered - low, 50 / rate)), 0.0)
-        chosen = knapsack(prices)
-        if not chosen:
-            break
-        lengths = np.fromiter(chosen, np.int64)
-        times = np.fromiter(chosen.values(), np.int64)
-        step = float((need[lengths] / times).min()) / 2
+        density = np.exp(-rate * np.minimum(covered - low, 50 / rate))
+        prices = np.zeros(capacity + 1)
+        prices[present] = present / capacity * density
+        whole = number % 100 == 0 or len(present) <= some
+        looked_at = present if whole else present[np.argpartition(-density * (1 + 0.01 * draw.random(len(present))), some)[:some]]
+        chosen, worth = knapsack(prices, demand, sorted(looked_at.tolist(), reverse=True))
+        if whole:
+            bound = max(bound, float((prices[present] * need).sum()) / worth)
+        at, times = np.array([place[length] for length in chosen]), np.array(list(chosen.values()))
+        step = float((need[at] / times).min()) / 2
         used[tuple(sorted(chosen.items()))] += step
-        covered[lengths] += times * step / need[lengths]
-    most = max(1.0, float(covered.max(initial=1.0)))
-    return {c: x / min(most, 1.5) for c, x in used.items()}
+        covered[at] += times * step / need[at]
+    most = float(covered.max(initial=0.0)) or 1.0
+    return {c: x / most for c, x in used.items()}, bound
 
 
 def best_fit_decreasing(left: np.ndarray) -> Counter[tuple]:
@@ -99,31 +115,44 @@ def best_fit_decreasing(left: np.ndarray) -> Counter[tuple]:
     return Counter(tuple(sorted(Counter(content).items())) for group in bins.values() for content in group)
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 350, passes: int = 4, small: int = 3000) -> list[tuple[tuple, int]]:
-    """Configurations and how often each is used; together they hold exactly the histogram's pieces."""
+def solve(histogram: dict[int, int], capacity: int, rounds: int = 200, some: int = 160, most_by_hand: int = 100_000) -> tuple[list[tuple[tuple, int]], dict]:
+    """Configurations and how often each is used, which together hold exactly the histogram's pieces; and a report.
+
+    The report: pieces, sequences, bound (no packing has fewer sequences), by_program and by_best_fit (pieces that each of the two placed).
+    """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] += n
     out: Counter[tuple] = Counter()
-    if left[capacity]:
-        out[((capacity, 1),)] = int(left[capacity])
+    pieces, full = int(left.sum()), int(left[capacity])
+    if full:
+        out[((capacity, 1),)] = full  # these fill a sequence alone in every packing
         left[capacity] = 0
-    for _ in range(passes):
-        before = int(left.sum())
-        if before <= small:
-            break
-        solved = fractional(left, rounds)
-        full_first = sorted(solved.items(), key=lambda x: (-sum(length * k for length, k in x[0]), -x[1], x[0]))
-        for config, x in full_first:
-            n = min([math.floor(x + 1e-9), *(int(left[length]) // k for length, k in config)])
+    draw, bound, waste = np.random.default_rng(0), None, 0
+    while before := int(left.sum()):
+        solved, low = fractional(left, min(rounds, 2 * int(np.count_nonzero(left))), some, draw)
+        bound = low if bound is None else bound
+        for config, x in sorted(solved.items(), key=lambda c: (-sum(length * k for length, k in c[0]), -c[1], c[0])):
+            if capacity - sum(length * k for length, k in config) > waste:
+                break
+            n = min([max(1, math.floor(x + 1e-9)), *(int(left[length]) // k for length, k in config)])
             if n > 0:
                 out[config] += n
                 for length, k in config:
                     left[length] -= n * k
-        if before - int(left.sum()) < before // 50:
-            break
+        if before - int(left.sum()) < before / 20:
+            if before < (pieces - full) / 25 and before <= most_by_hand:
+                break
+            waste = max(1, 4 * waste)
+    rest = int(left.sum())
     out.update(best_fit_decreasing(left))
-    return sorted(out.items())
+    sequences = sum(out.values())
+    return sorted(out.items()), {"pieces": pieces, "sequences": sequences, "bound": math.ceil(full + (bound or 0.0) - 1e-6), "by_program": pieces - rest, "by_best_fit": rest}
+
+
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
+    """The configurations of solve."""
+    return solve(histogram, capacity)[0]
 
 
 def layout(configurations: list[tuple[tuple, int]]) -> list[dict]:
