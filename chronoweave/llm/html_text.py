@@ -9,7 +9,8 @@ their own, in which the neighbours tell adverts, notices and footer lines from s
 
 Defined results
     null or empty html, or no content block: empty text, 0 characters
-    unclosed elements end with the element around them, unclosed comments and scripts with the page
+    unclosed elements end with the element around them, unclosed comments and scripts with the page; where a tag's quotes
+    are still open at the page's end, quotes are not heeded from that tag on
     repeated rows get equal results; an empty table an empty one; other columns are not read
     white space inside a block (space, U+0009 to U+000D) becomes one space, ends are trimmed; blocks of
     white space only are none
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -37,6 +39,8 @@ HEADING_TAGS = set("h1 h2 h3 h4 h5 h6".split())
 ARTICLE_TAGS = {"article", "main"}
 #: Words in class, id or role that name page furniture.
 FURNITURE_WORDS = set("ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
+#: Words of place, kind and number that stand beside them in names.
+PLACE_WORDS = set("area bar big block body bottom box btn button center col column container content cta desktop fixed global group holder inner item items left list main mini mobile outer page panel primary region right row section secondary site slot small sticky sub text title top unit wrap wrapper zone".split())
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "furniture", "outside")
 
@@ -155,29 +159,68 @@ def classify(features: tuple, node=None) -> int:
 
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+)|<""", re.S)
+#: The same without quotes, from the first tag on whose quotes are still open at the page's end; and for what follows the last ">".
+_BROKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|(\Z)(\Z)(\Z)|([^<]+)|<""", re.S)
+_TAIL = re.compile(r"""<!--.*|<!\[CDATA\[.*|(\Z)(\Z)(\Z)(\Z)(\Z)(\Z)|([^<]+)|<""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORD = re.compile(r"[A-Za-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _RAW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
 
 
-def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in FURNITURE_TAGS and not (tag == "header" and in_article):
-        return True
-    if "=" not in attributes or tag in ARTICLE_TAGS or tag in ("html", "body"):
+def _named_furniture(attributes: str) -> bool:
+    """Whether a whole name in class, id or role is furniture: furniture words, with none but words of place, kind and number beside them."""
+    if "=" not in attributes:
         return False
-    named = " ".join("".join(m) for m in _NAMES.findall(attributes))
-    words = {w.lower() for part in _WORD.findall(named) for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", part)}
-    return not FURNITURE_WORDS.isdisjoint(words)
+    for name in " ".join("".join(m) for m in _NAMES.findall(attributes)).split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        if not FURNITURE_WORDS.isdisjoint(words) and all(w in FURNITURE_WORDS or w in PLACE_WORDS or w.isdigit() for w in words):
+            return True
+    return False
+
+
+class _Open:
+    """The open block elements, with counts, so that neither a block nor an end tag looks through them all."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, int | None]] = []  # tag, furniture by tag, number of the element if a name says furniture
+        self.tags: Counter[str] = Counter()
+        self.headings = self.furniture = self.articles = 0
+        self.named: list[int] = []
+
+    def push(self, tag: str, furniture: bool, number: int | None) -> None:
+        self.stack.append((tag, furniture, number))
+        self._count(tag, furniture, 1)
+        if number is not None:
+            self.named.append(number)
+
+    def pop(self) -> str:
+        tag, furniture, number = self.stack.pop()
+        self._count(tag, furniture, -1)
+        if number is not None:
+            self.named.pop()
+        return tag
+
+    def _count(self, tag: str, furniture: bool, by: int) -> None:
+        self.tags[tag] += by
+        self.headings += by * (tag in HEADING_TAGS)
+        self.articles += by * (tag in ARTICLE_TAGS)
+        self.furniture += by * furniture
 
 
 def blocks(page: str) -> tuple[list[list], bool]:
-    """[text, words, words in links, heading, furniture, in article] of each block, and whether the page has an article."""
+    """[text, words, words in links, heading, furniture, in article] of each block, and whether the page has an article.
+
+    Furniture is what stands in an element whose tag says so, or whose name does, unless more than half of the page's words
+    outside of links stand in that element.  Takes time in proportion to the page.
+    """
     out: list[list] = []
     pieces: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open block elements: tag, furniture, article
+    around = _Open()
     dropped: list[tuple[str, int]] = []  # open elements without text: tag, open block elements around it
+    dropped_tags: Counter[str] = Counter()
     links = 0
+    parents: list[int | None] = []  # of the elements whose names say furniture: the next such element around each
     has_article = False
 
     def close() -> None:
@@ -186,16 +229,18 @@ def blocks(page: str) -> tuple[list[list], bool]:
             if text:
                 linked = sum(len(p.split()) for p, link in pieces if link)
                 total = text.count(" ") + 1
-                out.append([text, total, min(linked, total), any(t in HEADING_TAGS for t, _, _ in stack), any(f for _, f, _ in stack), any(a for _, _, a in stack)])
+                out.append([text, total, min(linked, total), around.headings > 0, around.furniture > 0, around.articles > 0, around.named[-1] if around.named else None])
             pieces.clear()
 
     def end_dropped() -> None:
-        while dropped and dropped[-1][1] > len(stack):
-            dropped.pop()
+        while dropped and dropped[-1][1] > len(around.stack):
+            dropped_tags[dropped.pop()[0]] -= 1
 
-    at, size = 0, len(page)
+    at, size, last, pattern = 0, len(page), page.rfind(">"), _TOKEN
     while at < size:
-        m = _TOKEN.match(page, at)
+        if at > last and pattern is not _TAIL:
+            pattern = _TAIL
+        m = pattern.match(page, at)
         at = m.end()
         text = m[7]
         if text is None and m[2] is None and m[5] is None:
@@ -206,9 +251,11 @@ def blocks(page: str) -> tuple[list[list], bool]:
             if not dropped:
                 pieces.append((html.unescape(text) if "&" in text else text, links > 0))
             continue
+        if m[2] is None:
+            pattern = _BROKEN
         ending, tag, attributes = (m[1], m[2].lower(), m[3]) if m[2] is not None else (m[4], m[5].lower(), m[6])
         if dropped and dropped[-1][0] == "head" and not ending and tag not in HEAD_TAGS:
-            dropped.pop()
+            dropped_tags[dropped.pop()[0]] -= 1
         if tag in _RAW and not ending:
             end = _RAW[tag].search(page, at)
             at = end.end() if end else size
@@ -217,13 +264,18 @@ def blocks(page: str) -> tuple[list[list], bool]:
         elif tag in DROPPED_TAGS:
             if not ending:
                 if not attributes.endswith("/"):
-                    dropped.append((tag, len(stack)))
-            elif at_tag := [k for k, (t, _) in enumerate(dropped) if t == tag]:
-                del dropped[at_tag[-1] :]
+                    dropped.append((tag, len(around.stack)))
+                    dropped_tags[tag] += 1
+            elif dropped_tags[tag]:
+                gone = None
+                while gone != tag:
+                    gone = dropped.pop()[0]
+                    dropped_tags[gone] -= 1
             if tag in BLOCK_TAGS:
                 close()
         elif tag == "body":
             dropped.clear()
+            dropped_tags.clear()
             close()
         elif tag == "a":
             links = max(0, links - 1) if ending else links + 1
@@ -236,20 +288,35 @@ def blocks(page: str) -> tuple[list[list], bool]:
             if tag in VOID_TAGS:
                 continue
             if ending:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if around.tags[tag]:
+                    while around.pop() != tag:
+                        pass
                 end_dropped()
             else:
-                if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
-                    stack.pop()
+                if tag in ("p", "li") and around.stack and around.stack[-1][0] == tag:
+                    around.pop()
                     end_dropped()
                 article = tag in ARTICLE_TAGS
                 has_article = has_article or article
-                stack.append((tag, _is_furniture(tag, attributes, any(a for _, _, a in stack)), article))
+                number = None
+                if not article and tag not in ("html", "body") and _named_furniture(attributes):
+                    number = len(parents)
+                    parents.append(around.named[-1] if around.named else None)
+                around.push(tag, tag in FURNITURE_TAGS and not (tag == "header" and around.articles), number)
     close()
-    return out, has_article
+    said, whole = [0] * len(parents), 0
+    for _, words, linked, _, by_tag, _, number in out:
+        if not by_tag:
+            whole += words - linked
+            if number is not None:
+                said[number] += words - linked
+    for number in range(len(parents) - 1, -1, -1):
+        if parents[number] is not None:
+            said[parents[number]] += said[number]
+    marked: list[bool] = []
+    for number, parent in enumerate(parents):
+        marked.append(2 * said[number] <= whole or parent is not None and marked[parent])
+    return [[*b[:4], b[4] or b[6] is not None and marked[b[6]], b[5]] for b in out], has_article
 
 
 def main_text(page: str) -> str:
