@@ -3,11 +3,12 @@
 A text is cut where a rolling hash of its last eight bytes says so, so that equal passages of
 different documents fall into equal chunks wherever they stand.  A worker encodes a chunk once and
 keeps the ids under the chunk's bytes (not its hash, so there are no collisions), in a cache of fixed
-size.  A cut may fall inside a word.  The joins are repaired: the bytes beside a cut are taken back as
-far as the nearest white space on each side, and what lies between is encoded again as one piece.  No
-pre-token of this tokenizer family spans white space and no normaliser looks across it, so beyond
-that point the tokens of the chunk and of the whole text agree exactly; a chunk without white space is
-taken back whole.  Where the tokenizer file is of another make, whole texts go to the library.
+size.  A cut may fall inside a word.  The joins are repaired: the bytes beside a cut, as far as the nearest
+white space on each side, are encoded again, together with the next word of the chunk on either side.
+These words must come out with the ids that they have in their chunks, and the join as it does alone; where they
+do not, both chunks are added to the join, and the longer join is encoded again with the words beside it, until
+both sides agree exactly, at the latest when the join is the whole text.  Where the tokenizer file is of another
+make, whole texts go to the library.
 
 Texts of printable ASCII and Latin letters are split by byte classes (or, where they hold an
 apostrophe, by the file's own pattern) and merged by tiktoken's byte-pair merger, with the end-of-word
@@ -220,48 +221,103 @@ def chunk_cuts(raw: bytes, mean: int) -> list[int]:
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
+def _last_word(chunk: bytes) -> bytes:
+    """The last word with the white space around it; empty if there is none."""
+    parts = chunk.rsplit(None, 1)
+    return chunk[len(parts[0]) :] if len(parts) == 2 else chunk if parts else b""
+
+
+def _first_word(chunk: bytes) -> bytes:
+    parts = chunk.split(None, 1)
+    return chunk[: len(chunk) - len(parts[1])] if len(parts) == 2 else chunk if parts else b""
+
+
 class ChunkEncoder:
-    """Encodes stretches chunk by chunk; equal chunks are encoded once for as long as they are remembered."""
+    """Encodes stretches chunk by chunk; equal chunks are encoded once for as long as they are remembered.
+
+    Counts the chunks: encoded, reused (met before in this call, or remembered), and the bytes of each; joins, and how many of them grew.
+    """
 
     def __init__(self, path: str, mean: int, cache_bytes: int = 128 << 20):
         self.base, self.mean = encoder(path), mean
-        self.cores, self.reused, self.encoded = Remembered(cache_bytes), 0, 0
+        self.chunks = Remembered(cache_bytes)
+        self.encoded = self.reused = self.encoded_bytes = self.reused_bytes = self.joins = self.grown = 0
+
+    def cut(self, raw: bytes) -> list[tuple[bool, bytes]]:
+        """A text as (True, inner part of a chunk) and, between two of them and at the ends, (False, join)."""
+        out, tail, start = [], b"", 0
+        for end in chunk_cuts(raw, self.mean):
+            chunk = raw[start:end]
+            start = end
+            first = _SPACE.search(chunk)
+            if first is None:  # no white space: all of it belongs to the join
+                tail += chunk
+                continue
+            head, inner = chunk[: first.start()], chunk[first.start() :]
+            words = len(inner) - len(inner.rsplit(None, 1)[-1]) if inner[-1:] not in b" \t\n\r\x0b\x0c" else len(inner)
+            if inner[:words].isspace():  # no word that could agree
+                tail += chunk
+                continue
+            out += [(False, tail + head), (True, inner[:words])]
+            tail = inner[words:]
+        return [*out, (False, tail)]
 
     def many(self, stretches: list[bytes]) -> list[np.ndarray]:
-        cores: dict[bytes, np.ndarray | None] = {}
-        joins: dict[bytes, np.ndarray | None] = {}
-        layout = []
-        for raw in stretches:
-            mine, open_tail, start = [], b"", 0
-            for end in chunk_cuts(raw, self.mean):
-                chunk = raw[start:end]
-                start = end
-                first = _SPACE.search(chunk)
-                if first is None:  # no white space: all of it belongs to the join
-                    open_tail += chunk
-                    continue
-                head, core = chunk[: first.start()], chunk[first.start() :]
-                words = len(core) - len(core.rsplit(None, 1)[-1]) if core[-1:] not in b" \t\n\r\x0b\x0c" else len(core)
-                if join := open_tail + head:
-                    mine.append((joins, join))
-                    joins[join] = None
-                open_tail, core = core[words:], core[:words]
-                if core not in cores:
-                    cores[core] = self.cores.find(core)
-                mine.append((cores, core))
-            if open_tail:
-                mine.append((joins, open_tail))
-                joins[open_tail] = None
-            layout.append(mine)
-        new = [c for c, ids in cores.items() if ids is None]
-        self.encoded, self.reused = self.encoded + len(new), self.reused + sum(map(len, layout)) - len(new)
-        made = self.base.many(new + list(joins))
-        for core, ids in zip(new, made, strict=False):
-            cores[core] = ids
-            self.cores.put(core, ids.copy())
-        joins.update(zip(joins, made[len(new) :], strict=True))
-        empty = np.empty(0, np.uint32)
-        return [np.concatenate([where[key] for where, key in mine]) if mine else empty for mine in layout]
+        layout = [self.cut(raw) for raw in stretches]
+        chunks: dict[bytes, np.ndarray | None] = {}
+        for parts in layout:
+            for inner, raw in parts:
+                if inner:
+                    if raw in chunks or chunks.setdefault(raw, self.chunks.find(raw)) is not None:
+                        self.reused, self.reused_bytes = self.reused + 1, self.reused_bytes + len(raw)
+        new = [c for c, ids in chunks.items() if ids is None]
+        self.encoded, self.encoded_bytes = self.encoded + len(new), self.encoded_bytes + sum(map(len, new))
+        for raw, ids in zip(new, self.base.many(new), strict=True):
+            chunks[raw] = ids
+            self.chunks.put(raw, ids.copy())
+        return self.repaired(layout, chunks)
+
+    def repaired(self, layout: list[list[tuple[bool, bytes]]], chunks: dict[bytes, np.ndarray]) -> list[np.ndarray]:
+        """The ids of each text.  Joins grow by the chunks beside them until these agree with what the join makes of their words."""
+        made: dict[bytes, np.ndarray] = {b"": np.empty(0, np.uint32)}
+        layout, open_texts = list(layout), range(len(layout))
+        while open_texts:
+            windows = {}
+            for k in open_texts:
+                parts = layout[k]
+                for i in range(0, len(parts), 2):
+                    windows[k, i] = _last_word(parts[i - 1][1]) if i else b"", parts[i][1], _first_word(parts[i + 1][1]) if i + 1 < len(parts) else b""
+            new = list({x for window in windows.values() for x in (*window, b"".join(window))} - made.keys())
+            made.update(zip(new, self.base.many(new), strict=True))
+            failed: dict[int, set[int]] = {}
+            for (k, i), window in windows.items():
+                before, join, after = (made[x] for x in window)
+                agree = np.array_equal(made[b"".join(window)], np.concatenate([before, join, after]))
+                if agree and i and len(before):
+                    agree = np.array_equal(chunks[layout[k][i - 1][1]][-len(before) :], before)
+                if agree and i + 1 < len(layout[k]) and len(after):
+                    agree = np.array_equal(chunks[layout[k][i + 1][1]][: len(after)], after)
+                if not agree:
+                    failed.setdefault(k, set()).add(i)
+            for k, at in failed.items():
+                layout[k] = self._grown(layout[k], at)
+                self.grown += len(at)
+            open_texts = [k for k in failed if len(layout[k]) > 1]
+            whole = [layout[k][0][1] for k in failed if len(layout[k]) == 1]
+            made.update(zip(whole, self.base.many(whole), strict=True))
+        self.joins += sum(len(parts) // 2 + 1 for parts in layout)
+        return [np.concatenate([chunks[raw] if inner else made[raw] for inner, raw in parts]) for parts in layout]
+
+    @staticmethod
+    def _grown(parts: list[tuple[bool, bytes]], at: set[int]) -> list[tuple[bool, bytes]]:
+        """The same text with the joins at these places taking in the chunks beside them, and the joins behind those."""
+        out = [parts[0]]
+        for i in range(1, len(parts), 2):
+            if i - 1 in at or i + 1 in at:
+                out[-1] = (False, out[-1][1] + parts[i][1] + parts[i + 1][1])
+            else:
+                out += [parts[i], parts[i + 1]]
+        return out
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         return self.base.texts(texts, self.many)
