@@ -16,9 +16,11 @@ WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one of our own where that is unset (tests on one machine)."""
+    """The folder that all executors share: spark.checkpoint.dir.  Where that is unset, a temporary one of our own in local mode, and an error on a cluster."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="chronoweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -26,15 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    """The path and its file system, as the JVM has them."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/chronoweave/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted with what it holds when the driver ends (results may read it until then)."""
+    path = f"{shared_dir(spark)}/chronoweave/{name}-{uuid.uuid4().hex}"
+    found, system = _hadoop_path(spark, path)
+    system.mkdirs(found)
+    system.deleteOnExit(found)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage at files that survive the loss of any executor."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -42,23 +55,29 @@ class Scratch:
     """Tables of one computation in the shared folder, dropped as soon as nothing needs them."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark, self.tables = spark, {}
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = fresh_path(self.spark, name)
-        df.write.parquet(path)
+        df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = (path, out)
+        self.tables[id(out)] = (path, out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that no result still reads, and let Spark's cleaner remove the shuffle files of finished jobs."""
-        jvm = self.spark.sparkContext._jvm
+        """Delete tables that no result still reads, and let Spark's cleaner remove the shuffle files of finished jobs.
+
+        The cleaner acts when the driver's JVM finds the shuffles unreachable; without a collection that is left to
+        chance, and the files of all rounds would lie on the executors' disks together.
+        """
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table))[0])
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, system = _hadoop_path(self.spark, self.tables.pop(id(table))[0])
+            system.delete(path, True)
         gc.collect()
-        jvm.System.gc()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def drop_all_but(self, *kept: DataFrame) -> None:
+        self.drop(*[t for _, t in list(self.tables.values()) if not any(t is k for k in kept)])
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -7,22 +7,26 @@ Jaccard index reaches the threshold; wanted are the classes that links make.
 2. Tokens have one global order: rare ones by hash, then "hot" ones, those in the prefixes of over
    ``wide`` sets.  A set's prefix is its first n - ceil(t*n) + 1 tokens; sets that link share a token
    of their prefixes.  The order decides how much work there is, never the result.
-3. Sets are put into groups: at first each alone.  The token-group matrix holds, for each group, the
-   union of its members' prefixes.  While a token lies in the unions of over ``wide`` groups, each of
+3. Sets are put into groups: at first each alone.  While a token lies in the unions of over ``wide`` groups, each of
    these offers its sets one hub to join; a set whose overlap with its best hub is proven joins that
    hub's group.  So a thousand near copies become one group in a few rounds, with a row for each copy.
-4. Groups that share a token of the matrix are compared: the overlap that two sets can still reach, from
-   the number and the places of the tokens they share, bounds each query and group; where the bound
-   reaches the threshold the group is opened and the whole sets are compared.  Each pair of groups
-   opens its most promising pair first; the others only if that does not link them.  Inside a group
-   nothing needs comparing, its sets are linked already.
+4. The token-group matrix has one row for each token and group: the union of the prefixes of the group's sets,
+   with the sizes of the sets that hold the token.  The sets of the smaller of two groups are queries against the
+   union of the larger: the tokens shared with the union, and where the first of them lies, bound the overlap that a query
+   can have with any set of the group.  Only where that bound reaches the threshold the group is opened, and the query
+   meets its sets one by one, each pair bounded by the number and the places of the tokens that it shares.  (The union of
+   a group of one set is that set, and the bound is that of the pair.)
+5. Whole sets are compared where the bound of a pair qualifies.  Each pair of groups compares its most promising
+   pair first; the others only if that does not link them.  Inside a group nothing needs comparing, its sets are
+   linked already.  A set that many others ask for is sent to several tasks, each with a part of those that ask.
 
 Nothing is dropped at any width: tokens that stay wide after the rounds are compared in full.
 
 Defined results
     null text or text without words: empty set, linked with nothing
     fewer than five words: the whole sequence is the one shingle
-    repeated rows and equal texts are in one class; a repeated id must come with the same text each time
+    repeated rows and equal texts are in one class; different texts under one id, and texts without an id, are documents of their
+    own; a class is named by its smallest id, by null if none of its rows has one
     an empty table gives an empty table; only id and text are read
 """
 
@@ -40,8 +44,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, col, materialize, slices
 
 WINDOW = 5
-#: Ids that fit into a broadcast of a few dozen MB; beyond, joins are left to shuffles.
-SMALL_ROWS = 2_000_000
+#: A side of at most so many bytes (estimated as twice its rows and columns of 8 bytes) is broadcast; beyond, joins are left to shuffles.
+BROADCAST_BYTES = 8 << 20
+#: Sets that ask for one set in one task.
+ASKING = 128
 #: Rows in an Arrow batch, at most.
 ARROW_ROWS = 2000
 #: Hot tokens are an array in each worker: at most so many, for more the width is raised.
@@ -146,9 +152,9 @@ def _whole_tokens(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "token long")
 
 
-def _hot(tokens: DataFrame, wide: int, known: np.ndarray) -> np.ndarray:
+def _hot(scratch: Scratch, tokens: DataFrame, wide: int, known: np.ndarray) -> np.ndarray:
     """The known hot tokens and those that come over ``wide`` times; for too many of them the width is raised."""
-    widths = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("width")).where(F.col("width") > wide), "hot")
+    widths = scratch.table(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("width")).where(F.col("width") > wide), "hot")
     while widths.where(F.col("width") > wide).count() > HOT_LIMIT - len(known):
         wide *= 2
         if wide > 1 << 60:
@@ -158,24 +164,25 @@ def _hot(tokens: DataFrame, wide: int, known: np.ndarray) -> np.ndarray:
 
 
 def _few(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= SMALL_ROWS else df
+    return F.broadcast(df) if 16 * rows * len(df.columns) <= BROADCAST_BYTES else df
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, label) of all nodes of edges (a, b): equal labels for connected nodes.  Edges shrink by each node's smallest neighbour until none is left."""
-    left = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    write = scratch.table if scratch else materialize
+    left = write(edges.where("a <> b").select("a", "b").distinct(), "edges")
     labels = None
     while not left.isEmpty():
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("next")), "hooks")
+        step = write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("next")), "hooks")
         first, second = step.select(F.col("node").alias("a"), F.col("next").alias("x")), step.select(F.col("node").alias("b"), F.col("next").alias("y"))
-        left = materialize(left.join(first, "a").join(second, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        left = write(left.join(first, "a").join(second, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         if labels is None:
             labels = step.select("node", F.col("next").alias("label"))
         else:
             moved = step.select(F.col("node").alias("label"), "next")
             labels = labels.join(moved, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-        labels = materialize(labels, "labels")
+        labels = write(labels, "labels")
     if labels is None:
         return edges.sparkSession.createDataFrame([], "node long, label long")
     return labels
@@ -199,68 +206,93 @@ def verified(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
         return rows.select(key, *more, "text").mapInArrow(run, ", ".join(f"{f.name} long" for f in fields) + f", {out} array<long>")
 
     rows = pairs.count()
-    asking = documents.join(_few(pairs.select(F.col("a").alias("doc_id"), "b"), rows), "doc_id").withColumnRenamed("doc_id", "a")
-    asked = documents.join(_few(pairs.select(F.col("b").alias("doc_id")).distinct(), rows), "doc_id", "left_semi").withColumnRenamed("doc_id", "b")
-    both = tokens(asking, "a", "ta", ["b"]).join(tokens(asked, "b", "tb", []), "b")
+    crowds = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("asking")).where(F.col("asking") > ASKING)
+    dealt = pairs.join(_few(crowds, rows // ASKING), "b", "left").select("a", "b", F.ceil(F.coalesce("asking", F.lit(1)) / ASKING).alias("tasks"))
+    asking = documents.join(_few(dealt.select(F.col("a").alias("doc_id"), "b", F.pmod(F.xxhash64("a"), "tasks").alias("task")), rows), "doc_id").withColumnRenamed("doc_id", "a")
+    asked = documents.join(_few(dealt.select(F.col("b").alias("doc_id"), "tasks").distinct(), rows), "doc_id").withColumnRenamed("doc_id", "b")
+    sent = tokens(asked, "b", "tb", ["tasks"]).select("b", "tb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"))
+    both = tokens(asking, "a", "ta", ["b", "task"]).join(sent, ["b", "task"])
     compared = both.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("common"), (F.size("ta") + F.size("tb")).alias("total"))
     return compared.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b").distinct()
 
 
+def _beyond(n, percent: int):
+    """How many tokens of a set of n lie beyond its prefix."""
+    return F.ceil(F.lit(percent) * n / 100).cast("int") - 1
+
+
 def _reach(percent: int):
     """Whether two sets (columns _a and _b) that share ``common`` tokens of their prefixes can still reach the threshold.
 
     Of the set whose prefix ends first, all shared prefix tokens are counted, so only tokens beyond its prefix can add to
     them; and beyond the places of the last shared token both sets have only so many.
     """
-
-    def beyond(n):
-        return F.ceil(F.lit(percent) * n / 100).cast("int") - 1
-
     a_ends_first = (F.col("late_a") < F.col("late_b")) | ((F.col("late_a") == F.col("late_b")) & (F.col("last_a") <= F.col("last_b")))
-    rest = F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1, F.when(a_ends_first, beyond(F.col("n_a"))).otherwise(beyond(F.col("n_b"))))
+    rest = F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1, F.when(a_ends_first, _beyond(F.col("n_a"), percent)).otherwise(_beyond(F.col("n_b"), percent)))
     return (100 + percent) * (F.col("common") + rest) >= percent * (F.col("n_a") + F.col("n_b"))
 
 
+def _reach_group(percent: int):
+    """Whether a query (_a) that shares ``common`` tokens with a group's union can reach the threshold with any set of the group (sizes low to high).
+
+    The overlap with a set is at most what is shared of the prefixes and what lies beyond the one that ends first; nothing lies
+    before the first shared token.  The smallest set that may link asks for the smallest overlap.
+    """
+    most = F.least(F.col("common") + F.greatest(_beyond(F.col("n_a"), percent), _beyond(F.col("high"), percent)), F.col("n_a") - F.col("first_at"))
+    smallest = F.greatest(F.col("low"), F.ceil(F.lit(percent) * F.col("n_a") / 100).cast("int"))
+    return (100 * F.col("high") >= percent * F.col("n_a")) & (percent * F.col("low") <= 100 * F.col("n_a")) & ((100 + percent) * most >= percent * (F.col("n_a") + smallest))
+
+
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, wide: int = 64, rounds: int = 4) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest id of its class)."""
     spark = df.sparkSession
-    scratch = Scratch(spark)
     # Rows of a batch are whole texts: fewer of them keep what Arrow holds outside of the heap small.
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    spark.conf.set(key, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+    try:
+        return _classes(df, id_col, text_col, percent, wide, rounds)  # all jobs with texts run in here
+    finally:
+        spark.conf.set(key, before)
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, percent: int, wide: int, rounds: int) -> DataFrame:
+    spark = df.sparkSession
+    scratch = Scratch(spark)
     documents = df.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
+    documents, keys = _keyed(documents, scratch)
     stored = scratch.table(_sets(documents, percent), "sets")
-    sets = materialize(stored.select("doc_id", "n", "digest"), "digests")
+    sets = scratch.table(stored.select("doc_id", "n", "digest"), "digests")
     repeats = _repeats(sets)
-    equal = materialize(sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "equal-sets")
+    equal = scratch.table(sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "equal-sets")
     kept = stored.where("n > 0").join(_few(equal.select(F.col("rep").alias("doc_id")), equal.count()), "doc_id", "left_semi")
     kept = (kept.dropDuplicates(["doc_id"]) if repeats else kept).select(F.col("doc_id").alias("rep"), "n", "low")
 
     # Hot tokens: wide in the prefixes by hash; then wide among the other tokens of sets that have such; then among the
     # whole sets of those whose stored tokens are mostly hot.
     wanted = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
-    hot = spark.sparkContext.broadcast(_hot(kept.select(F.explode(F.slice("low", F.lit(1), wanted)).alias("token")), wide, np.empty(0, np.int64)))
-    hot = spark.sparkContext.broadcast(_hot(_touched(kept, hot, percent), wide, hot.value))
+    hot = spark.sparkContext.broadcast(_hot(scratch, kept.select(F.explode(F.slice("low", F.lit(1), wanted)).alias("token")), wide, np.empty(0, np.int64)))
+    hot = spark.sparkContext.broadcast(_hot(scratch, _touched(kept, hot, percent), wide, hot.value))
     scratch.drop()
 
     def deep_documents(reps: DataFrame) -> DataFrame:
         found = documents.join(_few(reps, reps.count()), "doc_id", "left_semi")
         return found.dropDuplicates(["doc_id"]) if repeats else found
 
-    deep = materialize(_ordered(kept, hot, percent, whole=False).where("tokens is null").select(F.col("rep").alias("doc_id")), "deep")
+    deep = scratch.table(_ordered(kept, hot, percent, whole=False).where("tokens is null").select(F.col("rep").alias("doc_id")), "deep")
     if not deep.isEmpty():
-        hot = spark.sparkContext.broadcast(_hot(_whole_tokens(deep_documents(deep)), wide, hot.value))
+        hot = spark.sparkContext.broadcast(_hot(scratch, _whole_tokens(deep_documents(deep)), wide, hot.value))
     shallow = scratch.table(_ordered(kept, hot, percent, whole=False), "prefixes")
     scratch.drop(stored)
-    deep = materialize(shallow.where("tokens is null").select(F.col("rep").alias("doc_id")), "deep")
+    deep = scratch.table(shallow.where("tokens is null").select(F.col("rep").alias("doc_id")), "deep")
     prefixes = shallow.where("tokens is not null").union(_ordered(deep_documents(deep), hot, percent, whole=True))
     rows = prefixes.select("rep", "n", "late", "last", F.posexplode("tokens").alias("at", "token"))
-    shared = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("width")).where("width > 1"), "shared")
-    matrix = materialize(rows.join(_few(shared.select("token"), shared.count()), "token").select("token", "rep", "n", "at", "late", "last"), "matrix")
+    shared = scratch.table(rows.groupBy("token").agg(F.count(F.lit(1)).alias("width")).where("width > 1"), "shared")
+    matrix = scratch.table(rows.join(_few(shared.select("token"), shared.count()), "token").select("token", "rep", "n", "at", "late", "last"), "matrix")
     scratch.drop(shallow)
 
     groups = None  # (rep, grp) of the sets that are no longer alone
-    links = []
+    links, joined = [], []
 
     def grouped() -> DataFrame:
         if groups is None:
@@ -268,20 +300,21 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return matrix.join(groups, "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
 
     def join_groups(found: DataFrame):
-        links.append(materialize(found, "links"))
+        links.append(scratch.table(found, "links"))
         every = links[0]
         for more in links[1:]:
             every = every.union(more)
-        return connected(every).select(F.col("node").alias("rep"), F.col("label").alias("grp"))
+        joined.append(connected(every, scratch))
+        return joined[-1].select(F.col("node").alias("rep"), F.col("label").alias("grp"))
 
     tried = None
     for _ in range(rounds):
-        now = materialize(grouped(), "grouped")
-        crowded = materialize(now.groupBy("token", "grp").agg(F.lit(1).alias("x")).groupBy("token").agg(F.count(F.lit(1)).alias("width")).where(F.col("width") > wide).select("token"), "crowded")
+        now = scratch.table(grouped(), "grouped")
+        crowded = scratch.table(now.groupBy("token", "grp").agg(F.lit(1).alias("x")).groupBy("token").agg(F.count(F.lit(1)).alias("width")).where(F.col("width") > wide).select("token"), "crowded")
         few = crowded.count()
         if not few:
             break
-        offered = materialize(now.join(_few(crowded, few), "token"), "offered")
+        offered = scratch.table(now.join(_few(crowded, few), "token"), "offered")
         weight = offered.groupBy("rep").agg(F.count(F.lit(1)).alias("weight"))
         best = offered.join(weight, "rep").groupBy("token").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"), "n", "grp")).alias("hub"))
         hubs = best.select("token", (-F.col("hub.rep")).alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.grp").alias("hub_grp"))
@@ -290,36 +323,81 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if tried is not None:
             counted = counted.join(tried, ["rep", "hub"], "left_anti")
         chosen = counted.groupBy("rep").agg(F.max(F.struct("common", (-F.col("hub")).alias("hub"))).alias("best")).select(F.col("rep").alias("a"), (-F.col("best.hub")).alias("b"))
-        chosen = materialize(chosen, "tried")
+        chosen = scratch.table(chosen, "tried")
         asked = chosen.select(F.col("a").alias("rep"), F.col("b").alias("hub"))
         tried = asked if tried is None else tried.union(asked)
         if chosen.isEmpty():
             break
-        found = materialize(verified(chosen, documents, percent), "found")
+        found = scratch.table(verified(chosen, documents, percent), "found")
         scratch.drop()
         if not found.isEmpty():
             groups = join_groups(found)
 
-    now = grouped()
-    columns = ("rep", "n", "at", "late", "last", "grp")
-    left, right = (now.select("token", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "ab")
-    near = (F.col("grp_a") < F.col("grp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    ends = [f"{c}_{side}" for c in ("rep", "grp", "n", "late", "last") for side in "ab"]
-    met = left.join(right, "token").where(near).groupBy(*ends).agg(F.count(F.lit(1)).alias("common"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
-    likely = materialize(met.where(_reach(percent)).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "grp_a", "grp_b", "common"), "likely")
+    sets_of = scratch.table(grouped(), "grouped")
+    size, many = None, 0
+    sized = sets_of.withColumn("members", F.lit(1).cast("long"))
+    if groups is not None:
+        size = scratch.table(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("members")), "sizes")
+        many = size.count()
+        sized = sets_of.join(_few(size, many), "grp", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    columns = ("rep", "n", "at", "late", "last", "grp", "members")
+    queries = sized.select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
+    # The matrix: a group of one set is a row as it stands, and exact; larger ones are united.
+    one, held = F.col("members") == 1, ("rep", "n", "at", "late", "last")
+    union = sized.where(one).select("token", F.col("grp").alias("grp_b"), F.col("members").alias("members_b"), F.col("n").alias("low"), F.col("n").alias("high"), *[F.col(c).alias(f"{c}_b") for c in held])
+    if many:
+        united = sized.where(~one).groupBy("token", F.col("grp").alias("grp_b")).agg(F.max("members").alias("members_b"), F.min("n").alias("low"), F.max("n").alias("high"), *[F.min(c).alias(f"{c}_b") for c in held])
+        union = union.unionByName(united)
+    smaller = (F.col("members_a") < F.col("members_b")) | ((F.col("members_a") == F.col("members_b")) & (F.col("grp_a") < F.col("grp_b")))
+    near = (F.col("grp_a") != F.col("grp_b")) & smaller & (100 * F.col("n_a") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("n_a"))
+    alone = F.col("members_b") == 1
+    ends = ["rep_a", "grp_a", "n_a", "late_a", "last_a", "grp_b", "members_b"]
+    exact = [F.max(F.when(alone, F.col(c))).alias(c) for c in ("rep_b", "n_b", "late_b", "last_b")]
+    met = queries.join(union, "token").where(near).groupBy(*ends).agg(F.count(F.lit(1)).alias("common"), F.max("at_a").alias("at_a"), F.min("at_a").alias("first_at"), F.max("at_b").alias("at_b"), F.min("low").alias("low"), F.max("high").alias("high"), *exact)
+    met = scratch.table(met.where(F.when(alone, _reach(percent)).otherwise(_reach_group(percent))), "met")
+    pairs = met.where(alone).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "grp_a", "grp_b", "common")
+    opened = met.where(~alone).select("rep_a", "grp_b")
+    if many and not opened.isEmpty():
+        askers = queries.join(_few(opened, opened.count()), "rep_a").select("token", "grp_b", *[f"{c}_a" for c in ("rep", "grp", "n", "late", "last", "at")])
+        members = sets_of.join(_few(size.select("grp"), many), "grp", "left_semi").select("token", *[F.col(c).alias(f"{c}_b") for c in ("grp", "rep", "n", "late", "last", "at")])
+        ends = [f"{c}_{side}" for c in ("rep", "grp", "n", "late", "last") for side in "ab"]
+        close = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+        inside = askers.join(members, ["token", "grp_b"]).where(close).groupBy(*ends).agg(F.count(F.lit(1)).alias("common"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+        pairs = pairs.union(inside.where(_reach(percent)).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "grp_a", "grp_b", "common"))
+    likely = scratch.table(pairs, "likely")
     scratch.drop()
-    first = materialize(likely.groupBy("grp_a", "grp_b").agg(F.max(F.struct("common", "a", "b")).alias("best")).select("best.a", "best.b"), "first")
+    first = scratch.table(likely.groupBy("grp_a", "grp_b").agg(F.max(F.struct("common", "a", "b")).alias("best")).select("best.a", "best.b"), "first")
     groups = join_groups(verified(first, documents, percent))
     scratch.drop()
     sides = groups.select(F.col("rep").alias("a"), F.col("grp").alias("x")), groups.select(F.col("rep").alias("b"), F.col("grp").alias("y"))
-    rest = materialize(likely.join(first, ["a", "b"], "left_anti").join(sides[0], "a", "left").join(sides[1], "b", "left").where("x is null or y is null or x <> y").select("a", "b"), "rest")
+    rest = scratch.table(likely.join(first, ["a", "b"], "left_anti").join(sides[0], "a", "left").join(sides[1], "b", "left").where("x is null or y is null or x <> y").select("a", "b"), "rest")
     if not rest.isEmpty():
         groups = join_groups(verified(rest, documents, percent))
 
+    scratch.drop_all_but(sets, equal, joined[-1], keys)
     smallest = groups.join(groups.groupBy("grp").agg(F.min("rep").alias("component_id")), "grp").select("rep", "component_id")
     classes = equal.join(smallest, "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
     member = sets.select("doc_id", "n", "digest").join(classes, "digest", "left")
-    return member.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = member.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    if keys is None:
+        return found
+    own, heads = keys.select(F.col("key").alias("doc_id"), F.col("id").alias("own")), keys.select(F.col("key").alias("component_id"), F.col("id").alias("head"))
+    return found.join(own, "doc_id").join(heads, "component_id").select(F.col("own").alias("doc_id"), "n_shingles", F.col("head").alias("component_id"))
+
+
+def _keyed(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """documents with ids that each stand for one text, and (key, id, sha) of these ids where they are not the table's own.
+
+    Own ids do unless some are null or repeat; then each pair of id and text gets a key, in the order of ids, null last, so that a
+    class's smallest key is that of its smallest id.
+    """
+    if documents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return documents, None
+    hashed = documents.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    order = hashed.select(F.col("doc_id").alias("id"), "sha").distinct().orderBy(F.col("id").asc_nulls_last(), "sha")
+    keys = scratch.table(order.withColumn("key", F.monotonically_increasing_id()), "keys")
+    named = keys.select("key", "id", F.col("sha").alias("of"))
+    return scratch.table(hashed.join(named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("of"))).select(F.col("key").alias("doc_id"), "text"), "keyed"), keys
 
 
 def _repeats(sets: DataFrame) -> bool:
