@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+import re
+from datetime import UTC, date, datetime
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of the token mode.
-TRUE_TOKENS, FALSE_TOKENS = ("true", "1", "1.0", "yes"), ("false", "0", "0.0", "no", "")
+#: Tokens of the token mode.
+TRUE_TOKENS, FALSE_TOKENS = ("true", "1"), ("false", "0")
+#: The split contract's text.
+SPLIT_CONTRACT = r"\s*train<([^;]+);\s*validation<([^;]+);\s*test>=([^;]+)\s*"
 #: ISO 8601 with an offset.
 AWARE = r"^\s*\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})\s*$"
 
@@ -33,10 +39,15 @@ def bool_strict_or_null(text: Column) -> Column:
     return F.when(low == "true", True).when(low == "false", False)
 
 
-def bool_token(text: Column) -> Column:
-    """true/false and 1/0; null where neither."""
+def bool_token_or_null(text: Column) -> Column:
+    """true/false and 1/0; null where neither: for audits that count bad rows."""
     low = F.lower(F.trim(text))
-    return F.when(low.isin("true", "1"), True).when(low.isin("false", "0"), False)
+    return F.when(low.isin(*TRUE_TOKENS), True).when(low.isin(*FALSE_TOKENS), False)
+
+
+def bool_token(text: Column) -> Column:
+    """true/false and 1/0; anything else raises."""
+    return F.coalesce(bool_token_or_null(text), F.raise_error(F.concat(F.lit("not a boolean token: "), F.coalesce(text, F.lit("null")))).cast("boolean"))
 
 
 def time_lenient(text: Column) -> Column:
@@ -84,6 +95,23 @@ def framed_hash(*parts: Column) -> Column:
     return F.sha2(framed(*parts), 256)
 
 
+def id_list_hash(ids: Column) -> Column:
+    """SHA-256 (hex) of an array of texts: their number in eight bytes, then each after its length in eight bytes."""
+    head = F.unhex(F.lpad(F.hex(F.size(ids)), 16, "0"))
+    return F.sha2(F.concat(head, F.unhex(F.array_join(F.transform(ids, lambda x: F.concat(F.lpad(F.hex(F.octet_length(x)), 16, "0"), F.hex(x))), ""))), 256)
+
+
+def ordered_hash(rows: DataFrame, key: str, number: str, part: int = 4096) -> DataFrame:
+    """key, n, ids_hash: one hash of all numbers under a key in their order.
+
+    No list holds more than ``part`` numbers that differ; what is listed for a key is a hash of 64 letters a part.
+    """
+    parts = rows.groupBy(key, F.floor(F.col(number) / part).alias("part")).agg(F.array_sort(F.collect_list(number)).alias("ids"))
+    hashed = parts.select(key, "part", F.size("ids").alias("n"), id_list_hash(F.transform("ids", lambda x: x.cast("string"))).alias("h"))
+    listed = hashed.groupBy(key).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("part", "h"))).alias("parts"))
+    return listed.select(key, "n", F.concat(F.lit("sha256:"), id_list_hash(F.transform("parts", lambda x: x["h"]))).alias("ids_hash"))
+
+
 def slug(text: Column, most: int = 80) -> Column:
     """Letters, digits, dot, dash and underscore; other runs become one dash."""
     return F.substring(F.regexp_replace(text, r"[^A-Za-z0-9._-]+", "-"), 1, most)
@@ -96,3 +124,92 @@ def lcg_jitter(i: Column, span: int = 101) -> Column:
 
 def logistic(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
+
+
+def clamped(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    return F.least(F.lit(high), F.greatest(F.lit(low), x))
+
+
+def bucket_start(time: Column, unit: str) -> Column:
+    """Start of the month, quarter or other unit that holds the time."""
+    return F.date_trunc(unit, time)
+
+
+def edge_category(kind: Column, outcome: set[str], social: set[str]) -> Column:
+    """outcome, social, or structural for all other edge types."""
+    return F.when(kind.isin(*sorted(outcome)), "outcome").when(kind.isin(*sorted(social)), "social").otherwise("structural")
+
+
+def matches_groups(rows: DataFrame, groups: dict[str, list]) -> DataFrame:
+    """Rows that have, for each column, one of the values; a column without values does not filter."""
+    for column, values in groups.items():
+        if values:
+            rows = rows.where(F.col(column).isin(*values))
+    return rows
+
+
+def is_finite(x: Column) -> Column:
+    """Neither null nor NaN nor infinite."""
+    return F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))
+
+
+def iso_utc(time: Column) -> Column:
+    """ISO 8601 with microseconds where there are any, and the offset."""
+    fraction = F.when(F.date_format(time, "SSSSSS") == "000000", F.lit("")).otherwise(F.concat(F.lit("."), F.date_format(time, "SSSSSS")))
+    return F.concat(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))
+
+
+def as_utc(value: str | datetime) -> datetime:
+    """A scalar time in UTC; one without an offset is taken as UTC."""
+    time = datetime.fromisoformat(value.strip()) if isinstance(value, str) else value
+    return time.replace(tzinfo=UTC) if time.tzinfo is None else time.astimezone(UTC)
+
+
+def aware_cutoff(value: str | datetime) -> datetime:
+    """A scalar cutoff in UTC, which must have an offset."""
+    time = datetime.fromisoformat(value.strip()) if isinstance(value, str) else value
+    if time is None or time.tzinfo is None:
+        raise ValueError("a cutoff needs an offset")
+    return time.astimezone(UTC)
+
+
+def split_contract(splits: DataFrame, column: str = "temporal_cutoff") -> tuple[datetime, datetime]:
+    """(train cutoff, test cutoff) of the one contract that all rows declare; its validation cutoff must be where test starts."""
+    found = splits.where(F.col(column).isNotNull()).select(F.col(column).cast("string")).distinct().limit(2).collect()
+    if len(found) != 1:
+        raise ValueError("rows must declare one temporal cutoff contract")
+    match = re.fullmatch(SPLIT_CONTRACT, found[0][0])
+    if match is None:
+        raise ValueError(f"unsupported temporal cutoff contract: {found[0][0]!r}")
+    train, validation, test = map(as_utc, match.groups())
+    if validation != test:
+        raise ValueError("the validation cutoff must be where test starts")
+    return train, test
+
+
+def forbidden_paths(payload, names: set[str], at: str = "$") -> list[str]:
+    """Where a nested payload has one of the names as a key."""
+    if isinstance(payload, dict):
+        return [f"{at}.{k}" for k in payload if k in names] + [x for k, v in payload.items() for x in forbidden_paths(v, names, f"{at}.{k}")]
+    if isinstance(payload, (list, tuple)):
+        return [x for i, v in enumerate(payload) for x in forbidden_paths(v, names, f"{at}[{i}]")]
+    return []
+
+
+def json_safe(value):
+    """Nested values as JSON can hold them: sets sorted, times as ISO texts, numbers that are not finite refused."""
+    if isinstance(value, dict):
+        return {str(k): json_safe(v) for k, v in value.items()}
+    if isinstance(value, (set, frozenset)):
+        return [json_safe(v) for v in sorted(value)]
+    if isinstance(value, (list, tuple)):
+        return [json_safe(v) for v in value]
+    if isinstance(value, (datetime, date)):
+        return value.isoformat()
+    if hasattr(value, "tolist"):
+        return json_safe(value.tolist())
+    if isinstance(value, float) and not math.isfinite(value):
+        raise ValueError("a number is not finite")
+    if isinstance(value, (str, int, float, bool)) or value is None:
+        return value
+    raise TypeError(f"no JSON for {type(value).__name__}")

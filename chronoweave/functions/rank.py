@@ -17,10 +17,16 @@ def stable_order(score: str, row: str = "row_ix") -> list[Column]:
     return [F.isnan(F.col(score)), F.col(score).desc(), F.col(row)]
 
 
+#: Cuts that are known of a table at most, and rows that a range is meant to hold.
+CUTS, RANGE_ROWS = 1024, 500_000
+
+
 def value_positions(df: DataFrame, value: str, keys: tuple[str, ...] = (), ranges: int = 32) -> DataFrame:
-    """keys, value, n (rows of that value), before (rows of smaller values), total (rows)."""
+    """keys, value, n (rows of that value), before (rows of smaller values), total (rows).  There are at least ``ranges`` ranges, more for more rows."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    edges = df.agg(F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(1000))).first()[0] or []
+    found = df.agg(F.percentile_approx(value, F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)]), F.lit(10 * CUTS)), F.count(F.lit(1))).first()
+    step = max(1, CUTS // max(ranges, -(-found[1] // RANGE_ROWS)))
+    edges = (found[0] or [])[step - 1 :: step]
     cut = F.lit(0) if not edges else F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges))]), lambda e: e <= F.col(value)))
     placed = counts.withColumn("range_ix", cut)
     by_range = placed.groupBy(*keys, "range_ix").agg(F.sum("n").alias("range_n"))
@@ -49,3 +55,19 @@ def top(df: DataFrame, k: int, order: list[Column]) -> DataFrame:
     """The first k rows, with rk from 1: each task keeps k rows, only these are merged."""
     first = df.orderBy(*order).limit(k)
     return first.withColumn("rk", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)))
+
+
+def text_positions(df: DataFrame, value: str, tie: str, out: str) -> DataFrame:
+    """df with out: the row's place, from 0, in the order of a text and then of a tie column.
+
+    Rows are numbered inside ranges of the text (Spark's range partitioning, written once since its cuts come from a sample), and
+    the ranges' sizes are summed: no task sees all rows.
+    """
+    from ..sources.shared import materialize
+
+    parts = materialize(df.repartitionByRange(F.col(value), F.col(tie)).withColumn("range_ix", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("range_ix").agg(F.count(F.lit(1)).alias("size"))
+    before = W.partitionBy(F.lit(0)).orderBy("range_ix").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    starts = sizes.select("range_ix", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(W.partitionBy("range_ix").orderBy(value, tie)) - 1
+    return parts.withColumn("inside", inside).join(F.broadcast(starts), "range_ix").select(*df.columns, (F.col("start") + F.col("inside")).alias(out))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parse import framed_hash
+from ..functions.parse import framed_hash, iso_utc
 
 RELATIONS = ("COTRAVEL", "RESIDENCE", "SHARED_PLATE", "SHARED_PLATE_HOT")
 
@@ -51,15 +51,47 @@ def active(edges: DataFrame, before: Column) -> DataFrame:
 
 
 def provenance(edges: DataFrame) -> DataFrame:
-    """Adds occurrence (number among equal rows, from 0), source_row_id and canonical_pair_group_id, as hashes of length-framed texts.
+    """Adds occurrence (number among equal rows, from 0), source_row_id and canonical_pair_group_id, as hashes of length-framed texts; nulls raise.
 
     Equal rows are counted and numbered by a sequence: no window over the key, so a hot key is no hot task.
     """
-    stamp = F.date_format("avail_time", "yyyy-MM-dd'T'HH:mm:ss")
+    for column in ("u", "v", "avail_time", "edge_type"):
+        error = F.raise_error(F.lit(f"edge provenance cannot be made from a null {column}"))
+        edges = edges.withColumn(column, F.coalesce(F.col(column), error.cast(edges.schema[column].dataType)))
     counted = edges.groupBy("u", "v", "avail_time", "rel", "edge_type").agg(F.count(F.lit(1)).alias("n"))
     rows = counted.withColumn("occurrence", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n")
-    row_id = framed_hash(F.col("u"), F.col("v"), stamp, F.col("edge_type"), F.col("occurrence").cast("string"))
-    return rows.withColumn("source_row_id", row_id).withColumn("canonical_pair_group_id", framed_hash(F.least("u", "v"), F.greatest("u", "v"), F.col("edge_type")))
+    row_id = F.concat(F.lit("edge:"), framed_hash(F.col("u"), F.col("v"), iso_utc(F.col("avail_time")), F.col("edge_type"), F.col("occurrence").cast("string")))
+    pair_id = F.concat(F.lit("pair:"), framed_hash(F.least("u", "v"), F.greatest("u", "v"), F.col("edge_type")))
+    return rows.withColumn("source_row_id", row_id).withColumn("canonical_pair_group_id", pair_id)
+
+
+def stars(rows: DataFrame, key: str) -> DataFrame:
+    """u, v, avail_time: each identity of a group tied to the group's earliest one, from its own first time on.
+
+    As of any moment these rows connect what all pairs of the group connect, with one row for each member instead of one for
+    each pair.
+    """
+    first = rows.where(F.col(key).isNotNull() & F.col("t").isNotNull()).groupBy(key, "identity").agg(F.min("t").alias("t"))
+    centre = first.groupBy(key).agg(F.min(F.struct("t", "identity")).alias("c"))
+    tied = first.join(centre, key).where(F.col("identity") != F.col("c.identity"))
+    return tied.select(F.col("c.identity").alias("u"), F.col("identity").alias("v"), F.col("t").alias("avail_time"))
+
+
+#: Kinds of memberships: relations 0 and 1, plates before they are hot, and all plates (hot pairs are the last less the third).
+KINDS = (0, 1, 2, 9)
+
+
+def memberships(events: DataFrame, households: DataFrame, before: Column) -> DataFrame:
+    """kind, grp, node, n: how often a node stands in a group as of a moment.  The pairs of the multigraph follow from these counts."""
+    seen = events.where(F.col("t") < before)
+    plates = seen.where(F.col("vehicle_id").isNotNull())
+    cold = plates.join(first_seizure(events), "vehicle_id", "left").where(F.col("hot_time").isNull() | (F.col("t") < F.col("hot_time")))
+    home = households.where(F.col("household").isNotNull() & (F.col("t") < before))
+    out = None
+    for kind, rows, key in ((0, seen, "co_key"), (1, home, "household"), (2, cold, "vehicle_id"), (9, plates, "vehicle_id")):
+        part = rows.groupBy(F.lit(kind).alias("kind"), F.col(key).alias("grp"), F.col("identity").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _products(rows: DataFrame, key: str) -> DataFrame:
@@ -90,5 +122,5 @@ def degrees(events: DataFrame, households: DataFrame, before: Column) -> DataFra
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
-    """Each row in both directions, with its provenance."""
-    return edges.unionByName(edges.withColumns({"u": F.col("v"), "v": F.col("u")}))
+    """Each row in both directions, with its provenance; mirrored rows say so."""
+    return edges.withColumn("mirror", F.lit(False)).unionByName(edges.withColumns({"u": F.col("v"), "v": F.col("u"), "mirror": F.lit(True)}))

@@ -48,22 +48,56 @@ def aggregate(features: DataFrame, pairs: DataFrame, dims: int, how: str, prefix
     return sent.groupBy(F.col("v").alias("node"), *keys).agg(*[(F.sum(F.col("w") * F.col(f"f{i}")) / total).alias(f"{prefix}{i}") for i in range(dims)])
 
 
+def group_sums(features: DataFrame, members: DataFrame, dims: int) -> DataFrame:
+    """node, kind, m0.., w: sums over the pairs of all groups, without making a pair.
+
+    members: kind, grp, node, n.  A node that stands n times in a group of total N meets (N - n) others n times, so the sum of what
+    they send is n * (sum of the group - n * own).  Work is linear in the memberships, however large a group is.
+    """
+    names = _names(dims, "f")
+    held = members.join(features.select("node", *names), "node")
+    whole = held.groupBy("kind", "grp").agg(F.sum("n").alias("n_all"), *[F.sum(F.col("n") * F.col(f)).alias(f"s{i}") for i, f in enumerate(names)])
+    met = held.join(whole, ["kind", "grp"]).where(F.col("n_all") > F.col("n"))
+    sums = [F.sum(F.col("n") * (F.col(f"s{i}") - F.col("n") * F.col(f))).alias(f"m{i}") for i, f in enumerate(names)]
+    return met.groupBy("node", "kind").agg(*sums, F.sum(F.col("n") * (F.col("n_all") - F.col("n"))).alias("w"))
+
+
+def group_aggregate(features: DataFrame, members: DataFrame, dims: int, how: str, typed: bool = False) -> DataFrame:
+    """As aggregate, from memberships: node, m0.. over all relations, or with typed node, rel, m0.. ."""
+    sums = group_sums(features, members.where("kind <> 2") if not typed else members, dims)
+    columns = [*_names(dims, "m"), "w"]
+    if not typed:
+        total = sums.groupBy("node").agg(*[F.sum(c).alias(c) for c in columns])
+    else:
+        cold, hot = F.when(F.col("kind") == 2, -1.0).when(F.col("kind") == 9, 1.0).otherwise(0.0), F.col("kind").isin(2, 9)
+        plain = sums.where("kind <> 9").select("node", F.col("kind").alias("rel"), *columns)
+        left = sums.where(hot).groupBy("node").agg(*[F.sum(cold * F.col(c)).alias(c) for c in columns]).where("w > 0.5").select("node", F.lit(3).alias("rel"), *columns)
+        total = plain.unionByName(left)
+    over = F.col("w") if how == "mean" else F.lit(1.0)
+    return total.select("node", *(["rel"] if typed else []), *[(F.col(c) / over).alias(c) for c in columns[:-1]])
+
+
 def _put(rows: DataFrame, values: list[Column], relu: bool) -> DataFrame:
     return rows.select("node", *[(F.greatest(v, F.lit(0.0)) if relu else v).alias(f"f{i}") for i, v in enumerate(values)])
 
 
+def _from(features: DataFrame, pairs: DataFrame, dims: int, how: str) -> DataFrame:
+    """aggregate over pairs (u, v, w), or over memberships (kind, grp, node, n)."""
+    return group_aggregate(features, pairs, dims, how) if "grp" in pairs.columns else aggregate(features, pairs, dims, how)
+
+
 def sage_layer(features: DataFrame, pairs: DataFrame, w_neighbour: Matrix, w_self: Matrix, bias: Sequence[float], relu: bool) -> DataFrame:
-    """W_l * mean(neighbours) + b + W_r * self."""
+    """W_l * mean(neighbours) + b + W_r * self.  pairs: u, v, w, or memberships."""
     dims = len(w_self)
-    near = features.join(aggregate(features, pairs, dims, "mean"), "node", "left").fillna(0.0)
+    near = features.join(_from(features, pairs, dims, "mean"), "node", "left").fillna(0.0)
     a, b = linear([F.col(f"m{i}") for i in range(dims)], w_neighbour, bias), linear([F.col(f"f{i}") for i in range(dims)], w_self)
     return _put(near, [x + y for x, y in zip(a, b, strict=True)], relu)
 
 
 def rgcn_layer(features: DataFrame, pairs: DataFrame, w_root: Matrix, w_relations: Sequence[Matrix], bias: Sequence[float], relu: bool) -> DataFrame:
-    """W_root * self + b + sum over relations of W_r * mean over that relation's neighbours.  pairs: u, v, rel, w."""
+    """W_root * self + b + sum over relations of W_r * mean over that relation's neighbours.  pairs: u, v, rel, w, or memberships."""
     dims = len(w_root)
-    means = aggregate(features, pairs, dims, "mean", keys=("rel",))
+    means = group_aggregate(features, pairs, dims, "mean", typed=True) if "grp" in pairs.columns else aggregate(features, pairs, dims, "mean", keys=("rel",))
     wide = means.groupBy("node").agg(*[F.max(F.when(F.col("rel") == r, F.col(f"m{i}"))).alias(f"m{r}_{i}") for r in range(len(w_relations)) for i in range(dims)])
     near = features.join(wide, "node", "left").fillna(0.0)
     values = linear([F.col(f"f{i}") for i in range(dims)], w_root, bias)
@@ -75,20 +109,24 @@ def rgcn_layer(features: DataFrame, pairs: DataFrame, w_root: Matrix, w_relation
 def gin_layer(features: DataFrame, pairs: DataFrame, w1: Matrix, b1: Sequence[float], w2: Matrix, b2: Sequence[float], relu: bool) -> DataFrame:
     """MLP(self + sum of neighbours); multiplicities count."""
     dims = len(w1)
-    near = features.join(aggregate(features, pairs, dims, "sum"), "node", "left").fillna(0.0)
+    near = features.join(_from(features, pairs, dims, "sum"), "node", "left").fillna(0.0)
     hidden = near.select("node", *[F.greatest(v, F.lit(0.0)).alias(f"f{i}") for i, v in enumerate(linear([F.col(f"f{i}") + F.col(f"m{i}") for i in range(dims)], w1, b1))])
     return _put(hidden, linear([F.col(f"f{i}") for i in range(len(w2))], w2, b2), relu)
 
 
 def gcn_layer(features: DataFrame, pairs: DataFrame, w: Matrix, bias: Sequence[float], relu: bool) -> DataFrame:
-    """W * sum over neighbours and self of x / sqrt(d_u d_v), degrees counting the self loop."""
+    """W * sum over neighbours and self of x / sqrt(d_u d_v), degrees counting the self loop.
+
+    Each node sends x / sqrt(d), and what arrives is divided by its own root: pairs need not know both degrees.
+    """
     dims = len(w)
-    loops = features.select(F.col("node").alias("u"), F.col("node").alias("v"), F.lit(1.0).alias("w"))
-    every = pairs.select("u", "v", "w").unionByName(loops)
-    degree = every.groupBy(F.col("v").alias("node")).agg(F.sum("w").alias("d"))
-    scaled = every.join(degree.select(F.col("node").alias("u"), F.col("d").alias("du")), "u").join(degree.select(F.col("node").alias("v"), F.col("d").alias("dv")), "v")
-    near = aggregate(features, scaled.select("u", "v", (F.col("w") / F.sqrt(F.col("du") * F.col("dv"))).alias("w")), dims, "sum")
-    return _put(near, linear([F.col(f"m{i}") for i in range(dims)], w, bias), relu)
+    names = _names(dims, "f")
+    ones = features.select("node", F.lit(1.0).alias("f0"))
+    degree = features.select("node").join(_from(ones, pairs, 1, "sum").withColumnRenamed("m0", "d"), "node", "left").select("node", (F.coalesce("d", F.lit(0.0)) + 1).alias("d"))
+    sent = features.join(degree, "node").select("node", "d", *[(F.col(f) / F.sqrt("d")).alias(f) for f in names])
+    near = sent.join(_from(sent, pairs, dims, "sum"), "node", "left").fillna(0.0)
+    arrived = [(F.col(f) + F.col(f"m{i}")) / F.sqrt("d") for i, f in enumerate(names)]
+    return _put(near, linear(arrived, w, bias), relu)
 
 
 def gat_layer(features: DataFrame, pairs: DataFrame, w: Matrix, a_source: Sequence[float], a_target: Sequence[float], bias: Sequence[float], relu: bool, slope: float = 0.2) -> DataFrame:
@@ -107,6 +145,16 @@ def gat_layer(features: DataFrame, pairs: DataFrame, w: Matrix, a_source: Sequen
     return _put(near, [F.col(f"m{i}") + float(bias[i]) for i in range(out)], relu)
 
 
+def gat_heads(features: DataFrame, pairs: DataFrame, heads: Sequence[tuple], relu: bool) -> DataFrame:
+    """Several heads (w, a_source, a_target, bias) side by side, their values concatenated."""
+    out, at = None, 0
+    for w, a_source, a_target, bias in heads:
+        size = len(w[0])
+        part = gat_layer(features, pairs, w, a_source, a_target, bias, relu).select("node", *[F.col(f"f{i}").alias(f"f{at + i}") for i in range(size)])
+        out, at = part if out is None else out.join(part, "node"), at + size
+    return out
+
+
 def pool_by_root(features: DataFrame, roots: DataFrame, dims: int) -> DataFrame:
     """Every node gets its component's mean; sums are taken once a component, not in a window."""
     both = features.join(roots, "node")

@@ -100,6 +100,13 @@ def threshold_sweep(rows: DataFrame, score: str, positive: str, steps: int = 100
     return sums.withColumn("f1", f1(p, r)).drop("positives")
 
 
+def best_threshold(rows: DataFrame, score: str, positive: str, steps: int = 100) -> DataFrame:
+    """threshold, f1: the first of the evenly spaced thresholds with the best F1; no row where nothing is positive."""
+    sweep = threshold_sweep(rows, score, positive, steps)
+    first = sweep.agg(F.max_by(F.struct("threshold", "f1"), F.struct(F.round("f1", 12).alias("f1"), (-F.col("step")).alias("step"))).alias("best"), F.max("true_positives").alias("most"))
+    return first.where("most > 0").select("best.threshold", "best.f1")
+
+
 def weight_grid(pool: DataFrame, base: str, other: str, ks: tuple[int, ...], weights: int = 21) -> DataFrame:
     """w, objective: mean recall over the budgets of w * other + (1 - w) * base, both as percentiles."""
     stacked = pool.select("row_ix", "hidden", F.explode(F.sequence(F.lit(0), F.lit(weights - 1))).alias("i"), base, other)
@@ -111,4 +118,4 @@ def weight_grid(pool: DataFrame, base: str, other: str, ks: tuple[int, ...], wei
     return sums.select("w", (F.col("found") / F.col("positives") / len(ks)).alias("objective"))
 
 
-__all__ = ["arms", "binary_metrics", "daily_capacity", "daily_ranks", "f1", "first_hits", "found_at", "person_recovery", "share", "strata_found_at", "threshold_sweep", "value_positions", "weight_grid"]
+__all__ = ["arms", "best_threshold", "binary_metrics", "daily_capacity", "daily_ranks", "f1", "first_hits", "found_at", "person_recovery", "share", "strata_found_at", "threshold_sweep", "value_positions", "weight_grid"]

@@ -7,6 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.parse import iso_utc
 from ..operators import components, edges, gnn
 from ..operators.asof import earliest
 from ..sources.adapter import CE, OBS, crossing_events, observations
@@ -51,6 +52,18 @@ def active_edges(spark, sf, day=DAY):
     return found, nodes, ce
 
 
+def group_parts(spark, sf, day=DAY):
+    """(events, households, nodes, memberships) as of a day: what the graph is made of, without any pair."""
+    ce, home, nodes = parts(spark, sf)
+    return ce, home, nodes, edges.memberships(ce, home, F.lit(day).cast("timestamp"))
+
+
+def roots_asof(ce, home, nodes, day=DAY):
+    """(travel, homes): components of co-travel and of residence as of a day."""
+    moment = F.lit(day).cast("timestamp")
+    return tuple(components.connected(edges.active(edges.stars(rows, key), moment), nodes) for rows, key in ((ce, "co_key"), (home, "household")))
+
+
 def last_moment(spark, sf):
     """The midnight after the last event: a snapshot before it holds every event."""
     return crossing_events(spark, sf).agg(F.date_format(F.date_add(F.max("day"), 1), "yyyy-MM-dd")).first()[0]
@@ -96,12 +109,11 @@ def _framed_sql(*xs: str) -> str:
 
 
 @whole
-@query(f"""WITH {GRAPH}, o AS (SELECT u, v, strftime(avail_time, '%Y-%m-%dT%H:%M:%S') AS s, edge_type, row_number() OVER (PARTITION BY u, v, avail_time, edge_type) - 1 AS occurrence FROM act)
- SELECT u, v, s AS stamp, edge_type, occurrence, {_framed_sql('u', 'v', 's', 'edge_type', 'occurrence::VARCHAR')} AS source_row_id, {_framed_sql('least(u, v)', 'greatest(u, v)', 'edge_type')} AS canonical_pair_group_id FROM o""")
+@query(f"""WITH {GRAPH}, o AS (SELECT u, v, strftime(avail_time, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(avail_time) % 1000000 = 0 THEN '' ELSE strftime(avail_time, '.%f') END || '+00:00' AS s, edge_type, row_number() OVER (PARTITION BY u, v, avail_time, edge_type) - 1 AS occurrence FROM act)
+ SELECT u, v, s AS stamp, edge_type, occurrence, 'edge:' || {_framed_sql('u', 'v', 's', 'edge_type', 'occurrence::VARCHAR')} AS source_row_id, 'pair:' || {_framed_sql('least(u, v)', 'greatest(u, v)', 'edge_type')} AS canonical_pair_group_id FROM o""")
 def edge_provenance_ids(spark, sf, day=DAY):
     found, _, _ = active_edges(spark, sf, day)
-    stamp = F.date_format("avail_time", "yyyy-MM-dd'T'HH:mm:ss").alias("stamp")
-    return edges.provenance(found).select("u", "v", stamp, "edge_type", "occurrence", "source_row_id", "canonical_pair_group_id")
+    return edges.provenance(found).select("u", "v", iso_utc(F.col("avail_time")).alias("stamp"), "edge_type", "occurrence", "source_row_id", "canonical_pair_group_id")
 
 
 @query(f"WITH {GRAPH}, late AS (SELECT * FROM edges WHERE avail_time < TIMESTAMP '{LATE}'), {DEGREES.format(src='late')} SELECT * FROM deg")
@@ -111,15 +123,11 @@ def asof_degree(spark, sf):
     return out.where("deg_0 + deg_1 + deg_2 + deg_3 > 0")
 
 
-def travel_and_home(found, nodes):
-    return components.connected(found.where("rel = 0"), nodes), components.connected(found.where("rel = 1"), nodes)
-
-
 @whole
 @query(f"WITH RECURSIVE {GRAPH} {ROOTS} SELECT node, root FROM travel")
 def components_asof(spark, sf, day=DAY):
-    found, nodes, _ = active_edges(spark, sf, day)
-    return components.connected(found.where("rel = 0"), nodes)
+    ce, _, nodes = parts(spark, sf)
+    return components.connected(edges.active(edges.stars(ce, "co_key"), F.lit(day).cast("timestamp")), nodes)
 
 
 _DAYS = ("2024-01-02", "2024-01-03", "2024-01-04")
@@ -130,8 +138,8 @@ _DAYS = ("2024-01-02", "2024-01-03", "2024-01-04")
  SELECT day_text, count(*) AS nodes, count(DISTINCT root) AS components, max(size) AS largest FROM (SELECT day_text, node, root, count(*) OVER (PARTITION BY day_text, root) AS size FROM (SELECT day_text, node, min(root) AS root FROM r GROUP BY 1, 2)) GROUP BY day_text""")
 def components_by_day(spark, sf, days=_DAYS):
     ce, _, _ = parts(spark, sf)
-    # each pair once, at its first moment: later days follow from it
-    firsts = edges.cotravel(ce.where(F.col("t") < F.lit(days[-1]).cast("timestamp"))).groupBy("u", "v").agg(F.min("avail_time").alias("avail_time"))
+    # each tie once, at its first moment: later days follow from it
+    firsts = edges.stars(ce.where(F.col("t") < F.lit(days[-1]).cast("timestamp")), "co_key").groupBy("u", "v").agg(F.min("avail_time").alias("avail_time"))
     travel = firsts.withColumn("day_text", F.explode(F.array(*map(F.lit, days)))).where(F.col("avail_time") < F.col("day_text").cast("timestamp"))
     roots = components.connected(travel, keys=("day_text",))
     sizes = roots.groupBy("day_text", "root").agg(F.count(F.lit(1)).alias("size"))
@@ -149,20 +157,18 @@ def components_by_day_latest(spark, sf):
 @whole
 @query(f"WITH RECURSIVE {GRAPH} {ROOTS} SELECT node, t.root, size, households FROM travel t JOIN spans USING (root)")
 def component_struct(spark, sf, day=DAY):
-    found, nodes, _ = active_edges(spark, sf, day)
-    return components.spans(*travel_and_home(found, nodes))
+    return components.spans(*roots_asof(*parts(spark, sf), day))
 
 
 def node_features(spark, sf, day=DAY):
-    """node, f0 .. f7: 1, four degrees, log1p of component size and households, caught."""
-    found, nodes, ce = active_edges(spark, sf, day)
-    _, home, _ = parts(spark, sf)
+    """(node and f0 .. f7: 1, four degrees, log1p of component size and households, caught; memberships; node and root)."""
+    ce, home, nodes, members = group_parts(spark, sf, day)
     moment = F.lit(day).cast("timestamp")
-    struct = components.spans(*travel_and_home(found, nodes))
+    struct = components.spans(*roots_asof(ce, home, nodes, day))
     caught = earliest(ce, F.col("seizure")).select(F.col("identity").alias("node"), (F.col("caught_time") < moment).cast("double").alias("caught"))
     rows = nodes.join(edges.degrees(ce, home, moment).withColumnRenamed("identity", "node"), "node", "left").join(struct, "node").join(caught, "node", "left").fillna(0)
     values = [F.lit(1.0), *[F.col(f"deg_{r}").cast("double") for r in range(4)], F.log1p("size"), F.log1p("households"), F.col("caught")]
-    return rows.select("node", *[v.alias(f"f{i}") for i, v in enumerate(values)]), found, struct.select("node", "root")
+    return rows.select("node", *[v.alias(f"f{i}") for i, v in enumerate(values)]), members, struct.select("node", "root")
 
 
 FEATURES = f"""{DEGREES.format(src='act')}, feat AS (SELECT n.node, 1.0::DOUBLE AS f0, coalesce(deg_0, 0)::DOUBLE AS f1, coalesce(deg_1, 0)::DOUBLE AS f2, coalesce(deg_2, 0)::DOUBLE AS f3, coalesce(deg_3, 0)::DOUBLE AS f4,
@@ -195,8 +201,8 @@ def khop2(spark, sf, day=DAY):
 @whole
 @query(f"WITH RECURSIVE {GRAPH} {ROOTS}, {_BFS} SELECT t.node, coalesce(distance, -1) AS distance FROM travel t LEFT JOIN dist d USING (node) WHERE t.root = (SELECT root FROM travel JOIN tgt USING (node)) OR d.node IS NOT NULL")
 def community_distances(spark, sf, day=DAY):
-    found, nodes, _ = active_edges(spark, sf, day)
-    roots = components.connected(found.where("rel = 0"), nodes)
+    found, nodes, ce = active_edges(spark, sf, day)
+    roots = components.connected(edges.active(edges.stars(ce, "co_key"), F.lit(day).cast("timestamp")), nodes)
     own = roots.join(F.broadcast(roots.join(_target(found), "node").select("root")), "root").select("node")
     return own.join(components.distances(found, _target(found), 2), "node", "full").select("node", F.coalesce("distance", F.lit(-1)).alias("distance"))
 
@@ -242,7 +248,7 @@ def bridges(spark, sf, day=DAY):
     return components.bridges(found.where("rel = 0"))
 
 
-_W = {n: gnn.fixed_weights(*shape) for n, shape in {"l1": (8, 3, 1), "r1": (8, 3, 2), "l2": (3, 3, 3), "r2": (3, 3, 4), "q0": (8, 3, 5), "q1": (8, 3, 6), "q2": (8, 3, 7), "q3": (8, 3, 8)}.items()}
+_W = {n: gnn.fixed_weights(*shape) for n, shape in {"l1": (8, 3, 1), "r1": (8, 3, 2), "l2": (3, 3, 3), "r2": (3, 3, 4), "q0": (8, 3, 5), "q1": (8, 3, 6), "q2": (8, 3, 7), "q3": (8, 3, 8), **{f"p{r}": (3, 3, 9 + r) for r in range(4)}, "g2": (6, 3, 13)}.items()}
 _B, _HEAD, _BIAS = [0.1, -0.05, 0.02], [0.6, -0.4, 0.3], -0.2
 
 
@@ -268,11 +274,16 @@ def _scaled(rows):
     return rows.select("node", "f0", *[F.log1p(f"f{i}").alias(f"f{i}") for i in range(1, 5)], "f5", "f6", "f7")
 
 
+def _inputs(spark, sf, day):
+    """(scaled features, memberships, roots), the first two written once: every layer reads them."""
+    rows, members, roots = node_features(spark, sf, day)
+    return materialize(_scaled(rows), "features"), materialize(members, "members"), roots
+
+
 def _sage(spark, sf, day=DAY):
-    rows, found, roots = node_features(spark, sf, day)
-    pairs = gnn.pair_counts(found)
-    one = gnn.sage_layer(_scaled(rows), pairs, _W["l1"], _W["r1"], _B, relu=True)
-    return gnn.sage_layer(one, pairs, _W["l2"], _W["r2"], _B, relu=False), roots
+    features, members, roots = _inputs(spark, sf, day)
+    one = gnn.sage_layer(features, members, _W["l1"], _W["r1"], _B, relu=True)
+    return gnn.sage_layer(one, members, _W["l2"], _W["r2"], _B, relu=False), roots
 
 
 @whole
@@ -290,37 +301,91 @@ def component_mean_pool(spark, sf, day=DAY):
     return gnn.head(gnn.pool_by_root(z, roots, 3), _HEAD, _BIAS).select("node", F.round("probability", 6).alias("probability"))
 
 
-_REL_MEANS = ", ".join(f"rm{r} AS (SELECT a.v AS node, {', '.join(f'avg(f{i}) AS m{r}_{i}' for i in range(8))} FROM act a JOIN scaled x ON x.node = a.u WHERE a.rel = {r} GROUP BY a.v)" for r in range(4))
-_REL_VALUES = ", ".join(f"round(greatest({_B[j]}::DOUBLE + {_combo('s.f', _W['r1'], j)} + " + " + ".join(_combo(f"m{r}_", _W[f"q{r}"], j) for r in range(4)) + f", 0), 6) AS f{j}" for j in range(3))
+def _typed_sql(source: str, out: str, root: str, rels: str, relu: bool) -> str:
+    """A layer with a mean for each relation."""
+    dims = len(_W[root])
+    means = ", ".join(f"{out}_m{r} AS (SELECT a.v AS node, {', '.join(f'avg(f{i}) AS m{r}_{i}' for i in range(dims))} FROM act a JOIN {source} x ON x.node = a.u WHERE a.rel = {r} GROUP BY a.v)" for r in range(4))
+    values = [f"{_B[j]}::DOUBLE + {_combo('s.f', _W[root], j)} + " + " + ".join(_combo(f"m{r}_", _W[f"{rels}{r}"], j) for r in range(4)) for j in range(3)]
+    cells = ", ".join((f"greatest({v}, 0)" if relu else v) + f" AS f{j}" for j, v in enumerate(values))
+    return f"{means}, {out} AS (SELECT s.node, {cells} FROM {source} s " + " ".join(f"LEFT JOIN {out}_m{r} USING (node)" for r in range(4)) + ")"
+
+
+_OUT = "SELECT node, round(f0, 6) AS f0, round(f1, 6) AS f1, round(f2, 6) AS f2 FROM z2"
+
+
+def _rounded(z):
+    return z.select("node", *[F.round(f"f{i}", 6).alias(f"f{i}") for i in range(3)])
 
 
 @whole
-@query(f"WITH RECURSIVE {GRAPH} {ROOTS}, {FEATURES}, {_SCALED}, {_REL_MEANS} SELECT s.node, {_REL_VALUES} FROM scaled s LEFT JOIN rm0 USING (node) LEFT JOIN rm1 USING (node) LEFT JOIN rm2 USING (node) LEFT JOIN rm3 USING (node)")
+@query(f"WITH RECURSIVE {GRAPH} {ROOTS}, {FEATURES}, {_SCALED}, {_typed_sql('scaled', 'z1', 'r1', 'q', True)}, {_typed_sql('z1', 'z2', 'r2', 'p', False)} {_OUT}")
 def rgcn_forward(spark, sf, day=DAY):
-    rows, found, _ = node_features(spark, sf, day)
-    z = gnn.rgcn_layer(_scaled(rows), gnn.pair_counts(found, "rel"), _W["r1"], [_W[f"q{r}"] for r in range(4)], _B, relu=True)
-    return z.select("node", *[F.round(f"f{i}", 6).alias(f"f{i}") for i in range(3)])
+    features, members, _ = _inputs(spark, sf, day)
+    one = gnn.rgcn_layer(features, members, _W["r1"], [_W[f"q{r}"] for r in range(4)], _B, relu=True)
+    return _rounded(gnn.rgcn_layer(one, members, _W["r2"], [_W[f"p{r}"] for r in range(4)], _B, relu=False))
+
+
+def _sum_sql(source: str, out: str, dims: int) -> str:
+    return f"{out}_s AS (SELECT a.v AS node, {', '.join(f'sum(f{i}) AS m{i}' for i in range(dims))} FROM act a JOIN {source} x ON x.node = a.u GROUP BY a.v)"
+
+
+def _gin_sql(source: str, out: str, w1: str, w2: str, relu: bool) -> str:
+    dims = len(_W[w1])
+    both = ", ".join(f"f{i} + coalesce(m{i}, 0) AS x{i}" for i in range(dims))
+    hidden = ", ".join(f"greatest({_B[j]}::DOUBLE + {_combo('x', _W[w1], j)}, 0) AS h{j}" for j in range(3))
+    values = [f"{_B[j]}::DOUBLE + {_combo('h', _W[w2], j)}" for j in range(3)]
+    cells = ", ".join((f"greatest({v}, 0)" if relu else v) + f" AS f{j}" for j, v in enumerate(values))
+    return f"{_sum_sql(source, out, dims)}, {out}_x AS (SELECT s.node, {both} FROM {source} s LEFT JOIN {out}_s USING (node)), {out}_h AS (SELECT node, {hidden} FROM {out}_x), {out} AS (SELECT node, {cells} FROM {out}_h)"
 
 
 @whole
-@query()
+@query(f"WITH RECURSIVE {GRAPH} {ROOTS}, {FEATURES}, {_SCALED}, {_gin_sql('scaled', 'z1', 'l1', 'l2', True)}, {_gin_sql('z1', 'z2', 'r2', 'l2', False)} SELECT node, round(f0 / 1000, 4) AS f0, round(f1 / 1000, 4) AS f1, round(f2 / 1000, 4) AS f2 FROM z2")
 def gin_forward(spark, sf, day=DAY):
-    rows, found, _ = node_features(spark, sf, day)
-    return gnn.gin_layer(_scaled(rows), gnn.pair_counts(found), _W["l1"], _B, _W["l2"], _B, relu=True)
+    """Sums grow with the square of the degrees, so values are given in thousands."""
+    features, members, _ = _inputs(spark, sf, day)
+    one = gnn.gin_layer(features, members, _W["l1"], _B, _W["l2"], _B, relu=True)
+    z = gnn.gin_layer(one, members, _W["r2"], _B, _W["l2"], _B, relu=False)
+    return z.select("node", *[F.round(F.col(f"f{i}") / 1000, 4).alias(f"f{i}") for i in range(3)])
+
+
+def _gcn_sql(source: str, out: str, w: str, relu: bool) -> str:
+    dims = len(_W[w])
+    sent = ", ".join(f"f{i} / sqrt(d) AS f{i}" for i in range(dims))
+    got = ", ".join(f"(s.f{i} + coalesce(m{i}, 0)) / sqrt(d) AS x{i}" for i in range(dims))
+    values = [f"{_B[j]}::DOUBLE + {_combo('x', _W[w], j)}" for j in range(3)]
+    cells = ", ".join((f"greatest({v}, 0)" if relu else v) + f" AS f{j}" for j, v in enumerate(values))
+    return f"{out}_t AS (SELECT x.node, d, {sent} FROM {source} x JOIN dg USING (node)), {_sum_sql(f'{out}_t', out, dims)}, {out}_x AS (SELECT s.node, {got} FROM {out}_t s LEFT JOIN {out}_s USING (node)), {out} AS (SELECT node, {cells} FROM {out}_x)"
 
 
 @whole
-@query()
+@query(f"WITH RECURSIVE {GRAPH} {ROOTS}, {FEATURES}, {_SCALED}, dg AS (SELECT n.node, 1 + count(a.v) AS d FROM nodes n LEFT JOIN act a ON a.v = n.node GROUP BY 1), {_gcn_sql('scaled', 'z1', 'l1', True)}, {_gcn_sql('z1', 'z2', 'l2', False)} {_OUT}")
 def gcn_forward(spark, sf, day=DAY):
-    rows, found, _ = node_features(spark, sf, day)
-    return gnn.gcn_layer(_scaled(rows), gnn.pair_counts(found), _W["l1"], _B, relu=True)
+    features, members, _ = _inputs(spark, sf, day)
+    one = gnn.gcn_layer(features, members, _W["l1"], _B, relu=True)
+    return _rounded(gnn.gcn_layer(one, members, _W["l2"], _B, relu=False))
+
+
+_ATT = {"h0": ("l1", [0.3, -0.2, 0.1], [0.1, 0.2, -0.3]), "h1": ("r1", [-0.1, 0.2, 0.2], [0.2, -0.1, 0.1]), "h2": ("g2", [0.1, 0.1, -0.2], [0.3, -0.1, 0.2])}
+
+
+def _gat_sql(source: str, out: str, head: str, relu: bool, at: int = 0) -> str:
+    w, a_s, a_t = _ATT[head]
+    z = ", ".join(f"{_combo('f', _W[w], j)} AS f{j}" for j in range(3))
+    su, sv = (" + ".join(f"f{j} * ({a[j]}::DOUBLE)" for j in range(3)) for a in (a_s, a_t))
+    values = [f"sum(wt * z.f{j}) / sum(wt) + ({_B[j]}::DOUBLE)" for j in range(3)]
+    cells = ", ".join((f"greatest({v}, 0)" if relu else v) + f" AS f{at + j}" for j, v in enumerate(values))
+    return f"""{out}_z AS (SELECT node, {z} FROM {source}), {out}_a AS (SELECT *, {su} AS su, {sv} AS sv FROM {out}_z), {out}_p AS (SELECT u, v, count(*) AS w FROM act GROUP BY 1, 2 UNION ALL SELECT node, node, 1 FROM {source}),
+ {out}_e AS (SELECT u, v, w, CASE WHEN x.su + y.sv > 0 THEN x.su + y.sv ELSE 0.2::DOUBLE * (x.su + y.sv) END AS e FROM {out}_p JOIN {out}_a x ON x.node = u JOIN {out}_a y ON y.node = v), {out}_w AS (SELECT u, v, w * exp(e - max(e) OVER (PARTITION BY v)) AS wt FROM {out}_e), {out} AS (SELECT v AS node, {cells} FROM {out}_w JOIN {out}_z z ON z.node = u GROUP BY v)"""
 
 
 @whole
-@query()
+@query(f"WITH RECURSIVE {GRAPH} {ROOTS}, {FEATURES}, {_SCALED}, {_gat_sql('scaled', 'g0', 'h0', True)}, {_gat_sql('scaled', 'g1', 'h1', True, 3)}, z1 AS (SELECT * FROM g0 JOIN g1 USING (node)), {_gat_sql('z1', 'z2', 'h2', False)} {_OUT}")
 def gat_forward(spark, sf, day=DAY):
-    rows, found, _ = node_features(spark, sf, day)
-    return gnn.gat_layer(_scaled(rows), gnn.pair_counts(found), _W["l1"], [0.3, -0.2, 0.1], [0.1, 0.2, -0.3], _B, relu=True)
+    """Two heads, then one.  Attention is a function of both ends of a pair, so the pairs are made here."""
+    features, _, _ = _inputs(spark, sf, day)
+    pairs = materialize(gnn.pair_counts(active_edges(spark, sf, day)[0]), "pairs")
+    heads = [(_W[_ATT[h][0]], _ATT[h][1], _ATT[h][2], _B) for h in ("h0", "h1", "h2")]
+    return _rounded(gnn.gat_heads(materialize(gnn.gat_heads(features, pairs, heads[:2], relu=True), "heads"), pairs, heads[2:], relu=False))
 
 
 @query(f"WITH {CE} SELECT strftime(day, '%Y-%m-%d') AS day_text, count(*) AS n, count(DISTINCT identity) AS people, sum(count(*)) OVER (ORDER BY day)::BIGINT AS running FROM ce WHERE split = 'test' GROUP BY day")
@@ -362,8 +427,9 @@ def counterfactual_rank(spark, sf, day=DAY):
 
     Removal is a filter on the counted pairs; degrees and components that the features hold stay as they were observed.
     """
-    rows, found, roots = node_features(spark, sf, day)
+    rows, _, roots = node_features(spark, sf, day)
     scaled = materialize(_scaled(rows), "features")
+    found = active_edges(spark, sf, day)[0]
     target = _target(found).first()["node"]
     typed = gnn.pair_counts(found, "rel")
     out = None

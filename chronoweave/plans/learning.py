@@ -40,29 +40,64 @@ def isolation_forest_scores(spark, sf):
     return ml.isolation_forest(rows.where("split = 'train'"), rows.where("split <> 'train'"), FEATURES).select("event_id", "split", "anomaly")
 
 
+#: The four arms: two learn the distribution of the features alone, two the catches that were visible at the cutoff.
+ARMS = ("tabular_unlabeled", "relational_unlabeled", "relational_caught_supervised", "tabular_caught_supervised")
+#: A region is skipped if one of its splits has fewer rows.
+LEAST_ROWS = 50
+
+
+def arm_status(rows, cutoff: str):
+    """region, train, validation, test (rows), classes (of the labels visible at the cutoff among training rows)."""
+    def rows_of(split):
+        return F.count_if(F.col("split") == split).alias(split)
+
+    label = F.col("seizure") & F.coalesce(F.col("label_available") < F.lit(cutoff).cast("timestamp"), F.lit(False))
+    return rows.groupBy("region").agg(*map(rows_of, ("train", "validation", "test")), F.count_distinct(F.when(F.col("split") == "train", label)).alias("classes"))
+
+
 @query()
-def regional_arms(spark, sf):
-    """Per region: train on caught labels only, freeze scores and a label-free threshold, and only then look at what was hidden."""
-    rows = feature_rows(spark, sf)
-    regions = sorted(r[0] for r in rows.select("region").distinct().collect())
+def regional_arms(spark, sf, cutoff="2024-01-15"):
+    """Region by region and arm by arm: fit, freeze scores and a label-free threshold, and only then look at what was hidden.
+
+    A region with fewer than 50 rows in a split is skipped, and a supervised arm where the labels are of one class.
+    """
+    from .arms import CODED, HISTORY, PROXIES, relational_matrix
+
+    features = materialize(relational_matrix(spark, sf), "arm-features")
+    pool = crossing_events(spark, sf).select("event_id", "split", "region", "hidden", "seizure", "label_available").withColumnRenamed("region", "area")
+    mature = F.coalesce(F.col("label_available") < F.lit(cutoff).cast("timestamp"), F.lit(False))
+    columns = [*HISTORY, "hour", *CODED, *PROXIES]
+    rows = materialize(pool.join(features, "event_id").select("event_id", "split", "area", "hidden", (F.col("seizure") & mature).alias("label"), *[F.col(c).cast("double").alias(c) for c in columns]), "arm-rows")
+    status = arm_status(crossing_events(spark, sf), cutoff).collect()
     out = None
-    for region in regions:
-        own = rows.where(F.col("region") == region)
-        train = asof.eligible_supervision(own.where("split = 'train'"), "2024-01-15")
-        scored = ml.fit_predict(train, own.where("split <> 'train'"), FEATURES, "seizure", model="logistic")
-        limit = quantile_higher(scored.where("split = 'validation'"), "p", 0.95)
-        frozen = scored.where("split = 'test'").crossJoin(F.broadcast(limit))
-        part = frozen.agg(F.lit(region).alias("region"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") >= F.col("threshold")).alias("selected"), F.count_if((F.col("p") >= F.col("threshold")) & F.col("hidden")).alias("found"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    for state in sorted(status, key=lambda r: r["region"]):
+        if min(state["train"], state["validation"], state["test"]) < LEAST_ROWS:
+            continue
+        own = rows.where(F.col("area") == state["region"])
+        train, rest = own.where("split = 'train'"), own.where("split <> 'train'")
+        for arm in ARMS:
+            names = columns if arm.startswith("relational") else columns[: -len(PROXIES)]
+            if arm.endswith("supervised"):
+                if state["classes"] < 2:
+                    continue
+                scored = ml.fit_predict(train, rest, names, "label", rounds=10).withColumnRenamed("p", "s")
+            else:
+                scored = ml.isolation_forest(train, rest, names, trees=50).withColumnRenamed("anomaly", "s")
+            frozen = materialize(scored.select("event_id", "split", "hidden", "s"), "frozen")
+            limit = quantile_higher(frozen.where("split = 'validation'"), "s", 0.95)
+            hit = F.col("s") >= F.col("threshold")
+            part = frozen.where("split = 'test'").crossJoin(F.broadcast(limit)).agg(F.lit(arm).alias("arm"), F.lit(state["region"]).alias("region"), F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("selected"), F.count_if(hit & F.col("hidden")).alias("found"), F.avg(hit.cast("double")).alias("alert_rate"))
+            out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], "arm string, region string, n long, selected long, found long, alert_rate double")
 
 
 @query()
 def sage_trained(spark, sf, day=None, sample=5000):
     """A small network fitted on a bounded sample of one day's snapshot (at most 5,000 nodes by id, and their edges), then scored for every node over all edges."""
-    from .graph import DAY, node_features
+    from .graph import DAY, active_edges, node_features
 
-    rows, found, _ = node_features(spark, sf, day or DAY)
+    rows, _, _ = node_features(spark, sf, day or DAY)
+    found = active_edges(spark, sf, day or DAY)[0]
     features = materialize(rows.select("node", *[F.log1p(f"f{i}").alias(f"f{i}") for i in range(7)], F.col("f7").alias("label")), "features")
     pairs = materialize(gnn.pair_counts(found), "pairs")
     drawn = features.orderBy("node").limit(sample)

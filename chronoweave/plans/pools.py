@@ -48,7 +48,7 @@ _TEXTS = "CASE event_id % 7 WHEN 0 THEN 'true' WHEN 1 THEN 'TRUE' WHEN 2 THEN 'f
 def bool_modes(spark, sf):
     x = F.col("x")
     rows = table(spark, sf, "events").select(F.expr(_TEXTS).alias("x"))
-    modes = {"lenient": parse.bool_text, "filled": parse.bool_filled, "strict": parse.bool_strict_or_null, "token": parse.bool_token}
+    modes = {"lenient": parse.bool_text, "filled": parse.bool_filled, "strict": parse.bool_strict_or_null, "token": parse.bool_token_or_null}
     return rows.groupBy(F.coalesce(x, F.lit("<null>")).alias("raw")).agg(F.count(F.lit(1)).alias("n"), *[F.bool_or(f(x)).alias(n) for n, f in modes.items()])
 
 

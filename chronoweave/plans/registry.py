@@ -23,4 +23,4 @@ def query(sql: str | None = None, name: str | None = None):
     return keep
 
 
-from . import dashboard, graph, integrity, learning, pools, ranking, replay  # noqa: E402, F401  each registers its queries
+from . import arms, contracts, corpus, cube, dashboard, evidence, graph, integrity, learning, pools, ranking, replay  # noqa: E402, F401  each registers its queries

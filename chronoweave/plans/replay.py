@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.parse import ordered_hash
 from ..functions.rank import average_percentile, value_positions
 from ..operators import bootstrap, simulate
 from ..operators.asof import earliest
@@ -15,33 +16,58 @@ from .registry import query
 BUDGETS = (5, 10)
 
 
+def _replay_sql(arms: dict[str, str], ks: tuple[int, ...]) -> str:
+    """Days as steps of a recursion: what a step carries is who was found before, and what it took."""
+    long = " UNION ALL ".join(f"SELECT '{arm}' AS arm, day, row_ix, event_id, identity, hidden, {score} AS s FROM ok" for arm, score in arms.items())
+    return f"""WITH RECURSIVE {CE}, ok AS (SELECT c.* FROM ce c LEFT JOIN caught USING (identity) WHERE split = 'test' AND (caught_time IS NULL OR caught_time >= day)),
+ l AS ({long}), days AS (SELECT day, row_number() OVER (ORDER BY day) AS step FROM (SELECT DISTINCT day FROM ok)),
+ lists AS (SELECT arm, step, day, list(struct_pack(row_ix := row_ix, event_id := event_id, identity := identity, hidden := hidden) ORDER BY s DESC, row_ix) AS rows_ FROM l JOIN days USING (day) GROUP BY ALL),
+ r(arm, k, step, day, gone, picks) AS (
+  SELECT arm, k, 0::BIGINT, NULL::TIMESTAMP, []::VARCHAR[], []::STRUCT(row_ix BIGINT, event_id BIGINT, identity VARCHAR, hidden BOOLEAN)[] FROM (SELECT DISTINCT arm FROM l), (SELECT unnest([{', '.join(map(str, ks))}])::INT AS k)
+  UNION ALL SELECT arm, k, step, day, list_concat(gone, list_distinct(list_transform(list_filter(picks, lambda x: x.hidden), lambda x: x.identity))), picks FROM (
+   SELECT r.arm, r.k, lists.step, lists.day, r.gone, list_filter(lists.rows_, lambda x: NOT list_contains(r.gone, x.identity))[1:r.k] AS picks FROM r JOIN lists ON lists.arm = r.arm AND lists.step = r.step + 1)),
+ seen AS (SELECT arm, k, day, generate_subscripts(picks, 1) AS inspected_rank, unnest(picks) AS x FROM r WHERE step > 0),
+ found AS (SELECT arm, k, x.identity AS identity, min(day) AS found_day FROM seen WHERE x.hidden GROUP BY 1, 2, 3)"""
+
+
 def _replay(spark, sf):
     ce = crossing_events(spark, sf)
     return simulate.replay(ce.where("split = 'test'"), earliest(ce, F.col("seizure")), SCORES, BUDGETS)
 
 
-@query()
+_ARMS = {a: a for a in SCORES}
+
+
+@query(f"""{_replay_sql(_ARMS, BUDGETS)}, b AS (SELECT arm, k, count(*) AS budget FROM seen GROUP BY 1, 2), p AS (SELECT arm, k, count(*) AS people_found FROM found GROUP BY 1, 2), t AS (SELECT count(DISTINCT identity) AS people FROM ok WHERE hidden),
+ g AS (SELECT f.arm, f.k, count(*) AS candidates_removed, count(*) FILTER (ok.hidden) AS hidden_removed FROM found f JOIN ok ON ok.identity = f.identity AND ok.day > f.found_day GROUP BY 1, 2),
+ m AS (SELECT arm, k, budget, coalesce(people_found, 0) AS people_found, coalesce(candidates_removed, 0) AS candidates_removed, coalesce(hidden_removed, 0) AS hidden_removed, people FROM b LEFT JOIN p USING (arm, k) LEFT JOIN g USING (arm, k), t),
+ q AS (SELECT *, people_found / budget AS precision, CASE WHEN people > 0 THEN people_found / people ELSE 0 END AS recall FROM m)
+ SELECT arm, k, budget, people_found, candidates_removed, hidden_removed, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM q""")
 def simulated_catches(spark, sf):
     return simulate.summary(*_replay(spark, sf))
 
 
-@query()
+@query(f"{_replay_sql(_ARMS, BUDGETS)}, h AS (SELECT arm, k, x.identity AS identity, min((day, inspected_rank, x.event_id)) AS a FROM seen WHERE x.hidden GROUP BY 1, 2, 3) SELECT arm, k, identity, strftime(a[1], '%Y-%m-%d') AS day_text, a[3] AS event_id, a[2] AS inspected_rank FROM h")
 def recovery_anchors(spark, sf):
-    return simulate.anchors(_replay(spark, sf)[0])
+    rows = simulate.anchors(_replay(spark, sf)[0])
+    return rows.select("arm", "k", "identity", F.date_format("day", "yyyy-MM-dd").alias("day_text"), "event_id", "inspected_rank")
 
 
-@query()
+@query(f"{_replay_sql(_ARMS, BUDGETS)}, w AS (SELECT k, identity, count(*) AS n, min(arm) AS arm FROM found GROUP BY 1, 2) SELECT k, CASE WHEN n = 2 THEN 'both' WHEN arm = '{SCORES[0]}' THEN 'baseline_only' ELSE 'other_only' END AS side, count(*) AS people FROM w GROUP BY 1, 2")
 def recovery_overlap(spark, sf):
     return simulate.overlap(_replay(spark, sf)[1], *SCORES)
 
 
-@query()
+_SEED_SCORES = {f"seed_{i}": f"(event_id * {m} % 10007) / 10007.0::DOUBLE + score_b" for i, m in enumerate((7919, 104729, 1299709))}
+
+
+@query(f"{_replay_sql(_SEED_SCORES, (5,))}, n AS (SELECT arm, count(*) AS people FROM found GROUP BY 1) SELECT count(*) AS seeds, round(avg(people), 9) AS mean_people, round(stddev_pop(people), 9) AS sd_people FROM n")
 def seed_level_recovery(spark, sf):
     ce = crossing_events(spark, sf)
     seeds = {f"seed_{i}": (F.col("event_id") * m % 10007 / F.lit(10007.0) + F.col("score_b")) for i, m in enumerate((7919, 104729, 1299709))}
     _, found, _ = simulate.replay(ce.where("split = 'test'").withColumns(seeds), earliest(ce, F.col("seizure")), tuple(seeds), (5,))
     per = found.groupBy("arm").agg(F.count(F.lit(1)).alias("people"))
-    return per.agg(F.count(F.lit(1)).alias("seeds"), F.avg("people").alias("mean_people"), F.stddev_pop("people").alias("sd_people"))
+    return per.agg(F.count(F.lit(1)).alias("seeds"), F.round(F.avg("people"), 9).alias("mean_people"), F.round(F.stddev_pop("people"), 9).alias("sd_people"))
 
 
 @query(f"""WITH {CE}, p AS (SELECT * FROM ce LEFT JOIN caught USING (identity) WHERE split = 'test'), e AS (SELECT *, (caught_time IS NULL OR caught_time >= day) AS ok FROM p)
@@ -130,10 +156,14 @@ def multiset_fingerprint(spark, sf):
     return rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), *sums)
 
 
-@query(f"WITH {CE} SELECT strftime(day, '%Y-%m-%d') AS day_text, count(*) AS n, sha256(string_agg(event_id::VARCHAR, chr(10) ORDER BY event_id)) AS ids_hash FROM ce GROUP BY day")
+_FRAME = "unhex(lpad(to_hex({n}), 16, '0'))"
+
+
+@query(f"""WITH {CE}, p AS (SELECT day, event_id // 4096 AS part, count(*) AS n, sha256({_FRAME.format(n="count(*)")} || unhex(string_agg(lpad(to_hex(length(event_id::VARCHAR)), 16, '0') || hex(event_id::VARCHAR), '' ORDER BY event_id))) AS h FROM ce GROUP BY 1, 2)
+ SELECT strftime(day, '%Y-%m-%d') AS day_text, sum(n)::BIGINT AS n, 'sha256:' || sha256({_FRAME.format(n="count(*)")} || unhex(string_agg(lpad(to_hex(64), 16, '0') || hex(h), '' ORDER BY part))) AS ids_hash FROM p GROUP BY day""")
 def ordered_id_hash(spark, sf):
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), "\n")
-    return crossing_events(spark, sf).groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sha2(ids, 256).alias("ids_hash")).select(F.date_format("day", "yyyy-MM-dd").alias("day_text"), "n", "ids_hash")
+    """A day's ids in order: hashed in parts of at most 4,096 ids (count, then each id after its length), and the parts' hashes likewise."""
+    return ordered_hash(crossing_events(spark, sf), "day", "event_id").select(F.date_format("day", "yyyy-MM-dd").alias("day_text"), "n", "ids_hash")
 
 
 @query("""WITH v AS (SELECT c_custkey AS id, md5(c_mktsegment || '|' || c_nationkey) AS h FROM customer UNION ALL SELECT c_custkey, md5(CASE WHEN c_custkey % 97 = 0 THEN 'x' ELSE c_mktsegment || '|' || c_nationkey END) FROM customer)

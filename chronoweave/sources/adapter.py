@@ -10,7 +10,7 @@ TRAIN_END, VALIDATION_END = "2024-01-15", "2024-01-22"
 
 CE = """
  ce0 AS (SELECT event_id, ts AS t, user_id, event_type, value, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events),
- ce AS (SELECT event_id, event_id AS row_ix, t, CAST(date_trunc('day', t) AS TIMESTAMP) AS day, event_type, value, k,
+ ce AS (SELECT event_id, event_id AS row_ix, t, user_id, CAST(date_trunc('day', t) AS TIMESTAMP) AS day, event_type, value, k,
    'U' || user_id || '-' || (k % 10) AS identity, strftime(t, '%Y-%m-%d') || '/' || k AS vehicle_id, strftime(t, '%Y-%m-%d %H') || '/' || event_type AS co_key,
    CASE user_id % 3 WHEN 0 THEN 'North' WHEN 1 THEN 'South' ELSE 'Coastal' END AS region,
    value > 40 AS secondary, value > 60 AS searched, (event_type IN ('error', 'purchase') AND value > 100) AS seizure,

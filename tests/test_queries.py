@@ -45,7 +45,8 @@ def test_trained_network_scores_every_node(spark, sf):
     from chronoweave.operators import gnn, ml
     from chronoweave.plans import learning
 
-    rows, found, _ = graph.node_features(spark, sf)
+    rows, _, _ = graph.node_features(spark, sf)
+    found = graph.active_edges(spark, sf)[0]
     nodes = sorted(rows.collect(), key=lambda r: r["node"])
     some = {r["node"]: r["p"] for r in learning.sage_trained(spark, sf, sample=50).collect()}
     assert set(some) == {r["node"] for r in nodes} and len(nodes) > 50
