@@ -80,36 +80,73 @@ def distances(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
     return reached
 
 
-def bridges(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def _local_bridges(rows: list[tuple]) -> list[tuple]:
+    """Bridges of distinct pairs (u, v) by depth-first numbers, without recursion."""
+    near: dict = {}
+    for u, v in rows:
+        near.setdefault(u, []).append(v)
+        near.setdefault(v, []).append(u)
+    number: dict = {}
+    low: dict = {}
+    out = []
+    for start in near:
+        if start in number:
+            continue
+        number[start] = low[start] = len(number)
+        stack = [(start, None, iter(near[start]))]
+        while stack:
+            node, parent, rest = stack[-1]
+            for other in rest:
+                if other == parent:
+                    continue
+                if other in number:
+                    low[node] = min(low[node], number[other])
+                else:
+                    number[other] = low[other] = len(number)
+                    stack.append((other, node, iter(near[other])))
+                    break
+            else:
+                stack.pop()
+                if parent is not None:
+                    low[parent] = min(low[parent], low[node])
+                    if low[node] > number[parent]:
+                        out.append((min(node, parent), max(node, parent)))
+    return out
+
+
+def bridges(edges: DataFrame, local_edges: int = 200_000) -> DataFrame:
     """(u, v) with u < v of pairs whose removal disconnects their component.
 
-    Breadth-first trees are grown level by level; every pair outside of the trees gets a random 64-bit label, known to both
-    its ends.  The exclusive or of the labels in a subtree is zero exactly when no such pair leaves it (up to 2^-64),
-    and then the edge to the parent is a bridge.  Subtrees are summed level by level: no component is gathered in a task.
+    At most local_edges distinct pairs are finished on the driver.  Beyond, breadth-first trees are grown level by level, however
+    deep; every pair outside of the trees gets a 64-bit label, known to both its ends.  The exclusive or of the labels in a
+    subtree is zero exactly when no such pair leaves it (up to 2^-64), and then the edge to the parent is a bridge.  Subtrees
+    are summed level by level: no component is gathered in a task.
     """
     pairs = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "pairs")
+    if pairs.count() <= local_edges:
+        return pairs.sparkSession.createDataFrame(_local_bridges([tuple(r) for r in pairs.collect()]), pairs.schema)
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    roots = connected(pairs).where("node = root").select("node").withColumn("parent", F.lit(None).cast(pairs.schema["u"].dataType)).withColumn("level", F.lit(0))
-    tree = materialize(roots, "tree")
-    level = 0
-    while level < most_rounds:
-        front = tree.where(F.col("level") == level)
-        grown = both.join(front.select(F.col("node").alias("u")), "u").select(F.col("v").alias("node"), F.col("u").alias("parent")).groupBy("node").agg(F.min("parent").alias("parent")).join(tree.select("node"), "node", "left_anti")
-        grown = materialize(grown.withColumn("level", F.lit(level + 1)), "level")
+    roots = connected(pairs, local_edges=local_edges).where("node = root").select("node").withColumn("parent", F.lit(None).cast(pairs.schema["u"].dataType)).withColumn("level", F.lit(0))
+    levels = [materialize(roots, "level")]
+    while True:
+        front, before = levels[-1], levels[-2] if len(levels) > 1 else None
+        grown = both.join(front.select(F.col("node").alias("u")), "u").select(F.col("v").alias("node"), F.col("u").alias("parent")).groupBy("node").agg(F.min("parent").alias("parent")).join(front.select("node"), "node", "left_anti")
+        if before is not None:  # neighbours of a level lie in the level before it, in it, or behind it
+            grown = grown.join(before.select("node"), "node", "left_anti")
+        grown = materialize(grown.withColumn("level", F.lit(len(levels))), "level")
         if grown.isEmpty():
             break
-        tree = materialize(tree.unionByName(grown), "tree")
-        level += 1
-    else:
-        raise ValueError("a component is deeper than most_rounds")
+        levels.append(grown)
+    tree = levels[0]
+    for grown in levels[1:]:
+        tree = tree.unionByName(grown)
     kept = tree.where("parent IS NOT NULL").select(F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v"))
     labelled = pairs.join(kept, ["u", "v"], "left_anti").withColumn("x", F.xxhash64("u", "v", F.lit(17)))
     ends = labelled.select(F.col("u").alias("node"), "x").unionByName(labelled.select(F.col("v").alias("node"), "x"))
-    own = ends.groupBy("node").agg(F.expr("bit_xor(x)").alias("x"))
-    values = tree.join(own, "node", "left").select("node", "parent", "level", F.coalesce("x", F.lit(0)).alias("x"))
+    own = materialize(ends.groupBy("node").agg(F.expr("bit_xor(x)").alias("x")), "labels")
     done, carried = None, None
-    for at in range(level, 0, -1):
-        here = values.where(F.col("level") == at)
+    for level in levels[:0:-1]:
+        here = level.join(own, "node", "left").select("node", "parent", F.coalesce("x", F.lit(0)).alias("x"))
         if carried is not None:
             here = here.join(carried, "node", "left").withColumn("x", F.col("x").bitwiseXOR(F.coalesce("below", F.lit(0)))).drop("below")
         here = materialize(here, "subtrees")

@@ -8,13 +8,12 @@ which budgets, arms and days bound, never the pool.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rank import stable_order
-from ..sources.shared import shared_dir
+from ..sources.shared import fresh_path
+from .contracts import require_finite
 from .metrics import f1, share
 
 _FOUND = "arm string, k int, identity string, found_day timestamp"
@@ -26,7 +25,7 @@ def _take(rows: DataFrame, found: list[tuple], arm: str, k: int) -> DataFrame:
     gone = [r[2] for r in found if r[0] == arm and r[1] == k]
     if gone:
         spark = rows.sparkSession
-        rows = rows.join(F.broadcast(spark.createDataFrame([(g,) for g in gone], "identity string")), "identity", "left_anti")
+        rows = rows.join(spark.createDataFrame([(g,) for g in gone], "identity string"), "identity", "left_anti")  # broadcast only where Spark finds it small
     return rows.orderBy(*stable_order(arm)).limit(k).select(F.lit(arm).alias("arm"), F.lit(k).alias("k"), "day", F.col(arm).alias("s"), "row_ix", "event_id", "identity", "hidden")
 
 
@@ -58,13 +57,14 @@ def replay(pool: DataFrame, caught: DataFrame, scores: tuple[str, ...], ks: tupl
 
     pool: row_ix, event_id, identity, day, hidden and the scores; caught: identity, caught_time.
     Rows whose identity was officially caught strictly before the day start never take part.
-    A pool of at most local_rows rows is replayed on the driver, where a day costs no job.
+    Scores that are not finite raise.  A pool of at most local_rows rows is replayed on the driver, where a day costs no job.
     """
     spark = pool.sparkSession
-    path = f"{shared_dir(spark)}/chronoweave/replay-{uuid.uuid4().hex}"
+    require_finite(pool, *scores)
+    path = fresh_path(spark, "replay")
     taking_part = pool.join(caught, "identity", "left").withColumn("eligible", F.col("caught_time").isNull() | (F.col("caught_time") >= F.col("day")))
     columns = ["row_ix", "event_id", "identity", "day", "hidden", "eligible", *scores]
-    taking_part.select(*columns, F.date_format("day", "yyyy-MM-dd").alias("day_key")).write.partitionBy("day_key").parquet(path)
+    taking_part.select(*columns, F.date_format("day", "yyyy-MM-dd").alias("day_key")).write.mode("overwrite").partitionBy("day_key").parquet(path)
     stored = spark.read.parquet(path)
     if stored.count() <= local_rows:
         seen, found = _replay_here(stored.where("eligible").collect(), scores, ks)
@@ -95,7 +95,7 @@ def summary(inspections: DataFrame, found: DataFrame, stored: DataFrame) -> Data
     people = stored.where("eligible AND hidden").agg(F.count_distinct("identity").alias("people"))
     spent = inspections.groupBy("arm", "k").agg(F.count(F.lit(1)).alias("budget"))
     got = found.groupBy("arm", "k").agg(F.count(F.lit(1)).alias("people_found"))
-    later = stored.where("eligible").join(F.broadcast(found), "identity").where(F.col("day") > F.col("found_day"))
+    later = stored.where("eligible").join(found, "identity").where(F.col("day") > F.col("found_day"))
     gone = later.groupBy("arm", "k").agg(F.count(F.lit(1)).alias("candidates_removed"), F.sum(F.col("hidden").cast("long")).alias("hidden_removed"))
     out = spent.join(got, ["arm", "k"], "left").join(gone, ["arm", "k"], "left").fillna(0).crossJoin(F.broadcast(people))
     out = out.withColumn("precision", share(F.col("people_found"), F.col("budget"))).withColumn("recall", share(F.col("people_found"), F.col("people")))

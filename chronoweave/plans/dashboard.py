@@ -142,7 +142,10 @@ def type_pairs_top(spark, sf):
     return rows.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "n1", "n2").limit(15)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TIES}, t AS (SELECT *, row_number() OVER (ORDER BY w DESC, a DESC, b DESC, bits DESC) AS rn FROM ties), n AS (SELECT max(s_suppkey) + 1 AS size FROM supplier),
+ r(rn, used, ok) AS (SELECT 0::BIGINT, list_transform(range(0, size), lambda x: 0), false FROM n
+  UNION ALL SELECT t.rn, CASE WHEN used[t.a + 1] < 8 AND used[t.b + 1] < 8 THEN list_transform(used, lambda x, i: x + CASE WHEN i = t.a + 1 OR i = t.b + 1 THEN 1 ELSE 0 END) ELSE used END, used[t.a + 1] < 8 AND used[t.b + 1] < 8 FROM r JOIN t ON t.rn = r.rn + 1)
+ SELECT a, b, bits, w FROM t JOIN r USING (rn) WHERE ok""")
 def capped_links(spark, sf):
     """Strongest links first, at most eight for each node."""
     from ..operators.links import capped

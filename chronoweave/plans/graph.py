@@ -242,7 +242,9 @@ def relationship_categories(spark, sf, day=DAY):
 
 
 @whole
-@query()
+@query(f"""WITH RECURSIVE {GRAPH}, p AS (SELECT DISTINCT least(u, v) AS a, greatest(u, v) AS b FROM act WHERE rel = 0), q AS (SELECT a AS u, b AS v FROM p UNION ALL SELECT b, a FROM p),
+ r(a, b, node) AS (SELECT a, b, a FROM p UNION SELECT r.a, r.b, q.v FROM r JOIN q ON q.u = r.node AND NOT (q.u = r.a AND q.v = r.b) AND NOT (q.u = r.b AND q.v = r.a))
+ SELECT a AS u, b AS v FROM p WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.a = p.a AND r.b = p.b AND r.node = p.b)""")
 def bridges(spark, sf, day=DAY):
     found, _, _ = active_edges(spark, sf, day)
     return components.bridges(found.where("rel = 0"))

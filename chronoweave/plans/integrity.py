@@ -47,7 +47,7 @@ def observable_recompute(spark, sf):
     members = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("org"))
     together = table(spark, sf, "lineitem").join(members, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey", "org").agg(F.count_distinct("l_suppkey").alias("n")).where("n >= 2")
     seen = together.select("org").distinct().withColumn("hit", F.lit(True))
-    return members.join(F.broadcast(seen), "org", "left").groupBy("org").agg(F.count(F.lit(1)).alias("members"), F.bool_or(F.coalesce("hit", F.lit(False))).alias("observable"))
+    return members.join(seen, "org", "left").groupBy("org").agg(F.count(F.lit(1)).alias("members"), F.bool_or(F.coalesce("hit", F.lit(False))).alias("observable"))
 
 
 @query(f"WITH {CE} SELECT max(t) FILTER (split = 'train') < min(t) FILTER (split = 'validation') AND max(t) FILTER (split = 'validation') < min(t) FILTER (split = 'test') AS ordered, count(*) FILTER (label_available < t) AS label_before_event FROM ce")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +34,10 @@ def require_columns(df: DataFrame, wanted: set[str], forbidden: set[str] = froze
     return df
 
 
-def key_set(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key).where(F.col(key).isNotNull()).distinct()
+def id_column(spark: SparkSession, path: str, key: str, wanted: DataFrame | None = None) -> DataFrame:
+    """The distinct filled ids of one CSV column, or those of them that wanted (the same column) has."""
+    ids = spark.read.option("header", True).csv(path).select(key).where(F.col(key).isNotNull() & (F.trim(key) != "")).distinct()
+    return ids if wanted is None else ids.join(wanted.select(key), key, "left_semi")
 
 
 def lines_with(spark: SparkSession, path: str, text: str) -> DataFrame:
@@ -55,9 +60,22 @@ def first_of(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """name, size, sha256 of each file of a folder; files are hashed where they are read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """name, size, sha256 of each file of a folder, of any size: files are streamed where they are hashed, eight MB at a time."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            digests = []
+            for uri in part["path"]:
+                system, name = pafs.FileSystem.from_uri(uri)
+                digest = hashlib.sha256()
+                with system.open_input_stream(name) as f:
+                    while piece := f.read(8 << 20):
+                        digest.update(piece)
+                digests.append(digest.hexdigest())
+            yield pd.DataFrame({"name": [p.rsplit("/", 1)[-1] for p in part["path"]], "size": part["length"], "sha256": digests})
+
+    return files.mapInPandas(run, "name string, size long, sha256 string")
 
 
 def strict_json(text: str) -> dict:

@@ -8,17 +8,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """The path and its file system, as the JVM has them."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder of our own where that is unset (tests on one machine)."""
+    """spark.checkpoint.dir.  Where that is unset, a temporary folder of our own in local mode, and an error on a cluster."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="chronoweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted with what it holds when the driver ends."""
+    path = f"{shared_dir(spark)}/chronoweave/{name}-{uuid.uuid4().hex}"
+    found, system = hadoop_path(spark, path)
+    system.mkdirs(found)
+    system.deleteOnExit(found)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/chronoweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = fresh_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,12 +18,17 @@ def daily_volume(events: DataFrame, late: str = "28 days") -> DataFrame:
     return events.withWatermark("t", late).groupBy(F.window("t", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("day"), "n")
 
 
-def replay_stream(pool: DataFrame, scores: tuple[str, ...], ks: tuple[int, ...]) -> DataFrame:
+def replay_stream(pool: DataFrame, scores: tuple[str, ...], ks: tuple[int, ...], caught: DataFrame | None = None) -> DataFrame:
     """Inspections and finds by arm, budget and day; pool: day, identity, row_ix, hidden, scores, days arriving in order, whole.
 
-    Only the first k + (people found so far) rows of a day can be inspected, so the stream is cut to rows of a day by the
-    budget inside the group; the state holds the people found.
+    caught (identity, caught_time; a table) takes out rows of people who were officially caught strictly before the day.  A
+    stream cannot rank a day before the state is known, so an arm's rows of a trigger meet in one group, each with only the
+    columns that the step reads; days are cut to their budget inside it, and the state holds the people found, one a line.
     """
+    if caught is not None:
+        known = caught.select(F.col("identity").alias("caught_identity"), "caught_time")
+        joined = pool.join(known, F.col("identity") == F.col("caught_identity"), "left")
+        pool = joined.where(F.col("caught_time").isNull() | (F.col("caught_time") >= F.col("day"))).select(*pool.columns)
     cells = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(k).alias("k"), F.col(a).alias("s")) for a in scores for k in ks])).alias("x")
     rows = pool.select("day", "identity", "row_ix", "hidden", cells).select("day", "identity", "row_ix", "hidden", "x.*")
 

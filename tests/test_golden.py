@@ -160,7 +160,7 @@ def test_precision_divides_by_k_beyond_the_pool(spark):
 
 def test_booleans_and_times(spark):
     df = spark.createDataFrame([("true",), ("FALSE",), ("1",), ("",), (None,), ("yes",)], "x string")
-    got = df.select(*[f(F.col("x")).alias(n) for n, f in {"a": parse.bool_text, "b": parse.bool_filled, "c": parse.bool_strict_or_null, "d": parse.bool_token}.items()]).collect()
+    got = df.select(*[f(F.col("x")).alias(n) for n, f in {"a": parse.bool_text, "b": parse.bool_filled, "c": parse.bool_strict_or_null, "d": parse.bool_token_or_null}.items()]).collect()
     assert [r.a for r in got] == [True, False, False, False, False, False]
     assert [r.b for r in got] == [True, True, True, False, False, True]
     assert [r.c for r in got] == [True, False, None, None, None, None]

@@ -14,10 +14,39 @@ def test_twin(name, spark, sf, duck):
     assert rows == other
 
 
-@pytest.mark.parametrize("name", ["simulated_catches", "recovery_anchors", "recovery_overlap", "bridges", "gin_forward", "gcn_forward", "gat_forward", "capped_links", "isolation_forest_scores"])
-def test_runs(name, spark, sf):
-    df = registry.QUERIES[name](spark, sf)
-    assert df.columns and df.count() >= 0
+@pytest.mark.parametrize("name, column", [("gbt_scores", "p"), ("logistic_scores", "p"), ("isolation_forest_scores", "anomaly")])
+def test_model_scores_every_later_row(name, column, spark, sf, duck):
+    rows = registry.QUERIES[name](spark, sf).collect()
+    wanted = {r[0] for r in duck.execute("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'").fetchall()}
+    assert {r.event_id for r in rows} == wanted and len(rows) == len(wanted)
+    assert all(0 <= r[column] <= 1 for r in rows) and len({r[column] for r in rows}) > 10
+
+
+def test_regional_arms_freeze_before_they_look(spark, sf):
+    plan = {(r.arm, r.region): (r.test, r.status) for r in registry.QUERIES["arm_plan"](spark, sf).collect()}
+    rows = registry.QUERIES["regional_arms"](spark, sf).collect()
+    assert {r.arm for r in rows} <= {arm for arm, _ in plan} and rows
+    for r in rows:
+        assert 0 <= r.found <= r.selected <= r.n and abs(r.alert_rate - r.selected / r.n) < 1e-12
+        if (r.arm, r.region) in plan and plan[r.arm, r.region][1] == "completed":
+            assert r.n == plan[r.arm, r.region][0]
+
+
+def test_counterfactuals_start_from_the_whole_graph(spark, sf):
+    rows = {r.removed: r for r in registry.QUERIES["counterfactual_rank"](spark, sf).collect()}
+    pooled = {r.node: r.probability for r in registry.QUERIES["component_mean_pool"](spark, sf).collect()}
+    whole = rows["none"]
+    assert set(rows) == {"none", "COTRAVEL", "RESIDENCE", "SHARED_PLATE", "SHARED_PLATE_HOT"}
+    assert any(abs(whole.probability - p) < 1e-5 for p in pooled.values()) and 1 <= whole["rank"] <= len(pooled)
+    assert abs(sum(p > whole.probability + 1e-6 for p in pooled.values()) + 1 - whole["rank"]) <= sum(abs(p - whole.probability) <= 1e-6 for p in pooled.values())
+
+
+def test_orders_that_are_made_on_the_driver(spark, sf):
+    cases = [r for r in registry.QUERIES["exclusive_cases"](spark, sf).collect() if r.side == "hybrid_only"]
+    order = registry.QUERIES["representative_order"](spark, sf).orderBy("place").collect()
+    assert sorted(r.identity for r in order) == sorted(r.identity for r in cases)
+    rows = registry.QUERIES["structural_provenance"](spark, sf).collect()
+    assert 0 < len(rows) <= 256 and {r.edge_type for r in rows} <= {"COTRAVEL", "RESIDENCE"} and len({r.source_row_id for r in rows}) == len(rows)
 
 
 @pytest.mark.parametrize("name", ["components_asof", "component_struct", "canonical_edges", "relationship_categories", "sage_forward", "factor_specs"])
