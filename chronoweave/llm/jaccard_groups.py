@@ -13,9 +13,11 @@ Jaccard index reaches the threshold; wanted are the classes that links make.
 4. The token-group matrix has one row for each token and group: the union of the prefixes of the group's sets,
    with the sizes of the sets that hold the token.  The sets of the smaller of two groups are queries against the
    union of the larger: the tokens shared with the union, and where the first of them lies, bound the overlap that a query
-   can have with any set of the group.  Only where that bound reaches the threshold the group is opened, and the query
-   meets its sets one by one, each pair bounded by the number and the places of the tokens that it shares.  (The union of
-   a group of one set is that set, and the bound is that of the pair.)
+   can have with any set of the group.  Where that bound reaches the threshold, the union of the group's whole sets
+   bounds it again.  What is left first asks the sets that most of its shared tokens nominate (each token and group
+   names one set); only if none of these links is the group opened: its sets meet its queries in blocks of 64 sets and
+   256 queries, and only links leave a block.  (The union of a group of one set is that set, and the bound is that of the
+   pair, with the places of the tokens that it shares.)
 5. Whole sets are compared where the bound of a pair qualifies.  Each pair of groups compares its most promising
    pair first; the others only if that does not link them.  Inside a group nothing needs comparing, its sets are
    linked already.  A set that many others ask for is sent to several tasks, each with a part of those that ask.
@@ -36,6 +38,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -48,6 +51,10 @@ WINDOW = 5
 BROADCAST_BYTES = 8 << 20
 #: Sets that ask for one set in one task.
 ASKING = 128
+#: Sets of a group that a query asks before the group is opened.
+NOMINEES = 2
+#: Queries and members of an opened group that are compared in one task.
+BLOCK = (256, 64)
 #: Rows in an Arrow batch, at most.
 ARROW_ROWS = 2000
 #: Hot tokens are an array in each worker: at most so many, for more the width is raised.
@@ -140,16 +147,17 @@ def _touched(df: DataFrame, hot, percent: int) -> DataFrame:
     return df.mapInArrow(run, "token long")
 
 
-def _whole_tokens(df: DataFrame) -> DataFrame:
-    """token: all tokens of the documents (doc_id, text)."""
-    arrow = pa.schema([("token", pa.int64())])
+def _whole_tokens(df: DataFrame, *keys: str) -> DataFrame:
+    """keys (long), token: all tokens of the documents (keys, text)."""
+    arrow = pa.schema([*[pa.field(k, pa.int64()) for k in keys], ("token", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            for text in batch.column(1):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()))], schema=arrow)
+            for i, text in enumerate(batch.column(len(keys))):
+                tokens = shingles(text.as_py())
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(tokens), batch.column(c)[i].as_py(), np.int64)) for c in range(len(keys))], pa.array(tokens)], schema=arrow)
 
-    return df.mapInArrow(run, "token long")
+    return df.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} long" for k in (*keys, "token")))
 
 
 def _hot(scratch: Scratch, tokens: DataFrame, wide: int, known: np.ndarray) -> np.ndarray:
@@ -243,6 +251,57 @@ def _reach_group(percent: int):
     return (100 * F.col("high") >= percent * F.col("n_a")) & (percent * F.col("low") <= 100 * F.col("n_a")) & ((100 + percent) * most >= percent * (F.col("n_a") + smallest))
 
 
+def _by_whole_union(opened: DataFrame, groups: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs of query and group (rep_a, grp_b, n_a, low) whose whole set can reach the threshold with the union of the group's whole sets."""
+    asking = opened.select(F.col("rep_a").alias("doc_id")).distinct()
+    asked = groups.join(opened.select(F.col("grp_b").alias("grp")).distinct(), "grp", "left_semi").select(F.col("rep").alias("doc_id"), F.col("grp").alias("grp_b"))
+    own = _whole_tokens(documents.join(_few(asking, asking.count()), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep_a"), "rep_a").distinct()
+    union = _whole_tokens(documents.join(_few(asked, asked.count()), "doc_id"), "grp_b").distinct()
+    shared = own.join(opened, "rep_a").join(union, ["grp_b", "token"]).groupBy("rep_a", "grp_b", "n_a", "low").agg(F.count(F.lit(1)).alias("shared"))
+    smallest = F.greatest(F.col("low"), F.ceil(F.lit(percent) * F.col("n_a") / 100).cast("int"))
+    return shared.where((100 + percent) * F.col("shared") >= percent * (F.col("n_a") + smallest)).select("rep_a", "grp_b")
+
+
+def _sent(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys (long), tokens: the sets of the documents (keys, text), one row each."""
+    arrow = pa.schema([*[pa.field(k, pa.int64()) for k in keys], ("tokens", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 128):
+            sets = pa.array([shingles(t.as_py()) for t in batch.column(len(keys))], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keys))], sets], schema=arrow)
+
+    return rows.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", tokens array<long>")
+
+
+def _inside(opened: DataFrame, groups: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the links of the pairs of query and group (rep_a, grp_b), found in blocks of so many queries and members; only links leave a block."""
+    asked = groups.join(opened.select(F.col("grp_b").alias("grp")).distinct(), "grp", "left_semi").select(F.col("rep").alias("doc_id"), F.col("grp").alias("grp_b"))
+    shape = asked.groupBy("grp_b").agg(F.ceil(F.count(F.lit(1)) / BLOCK[1]).alias("blocks")).join(opened.groupBy("grp_b").agg(F.ceil(F.count(F.lit(1)) / BLOCK[0]).alias("parts")), "grp_b")
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    members = asked.join(shape, "grp_b").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks")).select("doc_id", "grp_b", "block", "parts")
+    held = _sent(documents.join(_few(members, asked.count()), "doc_id").withColumnRenamed("doc_id", "rep"), ["rep", "grp_b", "block", "parts"]).select("rep", "grp_b", "block", "tokens", every("parts").alias("part"))
+    asking = opened.select(F.col("rep_a").alias("doc_id")).distinct()
+    sets = _sent(documents.join(_few(asking, asking.count()), "doc_id", "left_semi"), ["doc_id"]).withColumnRenamed("doc_id", "rep_a")
+    places = opened.join(shape, "grp_b").withColumn("part", F.pmod(F.xxhash64("rep_a"), "parts")).select("rep_a", "grp_b", "part", every("blocks").alias("block"))
+
+    def compare(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(members) and len(queries):
+            sizes = np.array([len(t) for t in members["tokens"]])
+            tokens, starts, ids = np.concatenate(members["tokens"].to_list()), np.cumsum(sizes) - sizes, members["rep"].to_numpy()
+            for a, own in zip(queries["rep_a"], queries["tokens"], strict=True):
+                common = np.add.reduceat(_among(tokens, np.asarray(own)).astype(np.int64), starts)
+                out += [(a, b) for b in ids[100 * common >= percent * (sizes + len(own) - common)]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    keys = ["grp_b", "block", "part"]
+    return held.groupBy(*keys).cogroup(places.join(sets, "rep_a").groupBy(*keys)).applyInPandas(compare, "a long, b long").distinct()
+
+
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, wide: int = 64, rounds: int = 4) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest id of its class)."""
     spark = df.sparkSession
@@ -288,7 +347,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int, wide: int,
     prefixes = shallow.where("tokens is not null").union(_ordered(deep_documents(deep), hot, percent, whole=True))
     rows = prefixes.select("rep", "n", "late", "last", F.posexplode("tokens").alias("at", "token"))
     shared = scratch.table(rows.groupBy("token").agg(F.count(F.lit(1)).alias("width")).where("width > 1"), "shared")
-    matrix = scratch.table(rows.join(_few(shared.select("token"), shared.count()), "token").select("token", "rep", "n", "at", "late", "last"), "matrix")
+    matrix = scratch.table(rows.join(shared.select("token").hint("shuffle_merge"), "token").select("token", "rep", "n", "at", "late", "last"), "matrix")
     scratch.drop(shallow)
 
     groups = None  # (rep, grp) of the sets that are no longer alone
@@ -356,14 +415,21 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int, wide: int,
     met = queries.join(union, "token").where(near).groupBy(*ends).agg(F.count(F.lit(1)).alias("common"), F.max("at_a").alias("at_a"), F.min("at_a").alias("first_at"), F.max("at_b").alias("at_b"), F.min("low").alias("low"), F.max("high").alias("high"), *exact)
     met = scratch.table(met.where(F.when(alone, _reach(percent)).otherwise(_reach_group(percent))), "met")
     pairs = met.where(alone).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "grp_a", "grp_b", "common")
-    opened = met.where(~alone).select("rep_a", "grp_b")
+    opened = met.where(~alone).select("rep_a", "grp_b", "n_a", "low")
     if many and not opened.isEmpty():
-        askers = queries.join(_few(opened, opened.count()), "rep_a").select("token", "grp_b", *[f"{c}_a" for c in ("rep", "grp", "n", "late", "last", "at")])
-        members = sets_of.join(_few(size.select("grp"), many), "grp", "left_semi").select("token", *[F.col(c).alias(f"{c}_b") for c in ("grp", "rep", "n", "late", "last", "at")])
-        ends = [f"{c}_{side}" for c in ("rep", "grp", "n", "late", "last") for side in "ab"]
-        close = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-        inside = askers.join(members, ["token", "grp_b"]).where(close).groupBy(*ends).agg(F.count(F.lit(1)).alias("common"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
-        pairs = pairs.union(inside.where(_reach(percent)).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "grp_a", "grp_b", "common"))
+        opened = scratch.table(_by_whole_union(opened, groups, documents, percent), "opened")
+        for number in range(NOMINEES):
+            nominee = F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(number)), "rep")).alias("b")
+            named = sized.where(~one).groupBy("token", F.col("grp").alias("grp_b")).agg(nominee)
+            asking = queries.join(_few(opened.select("rep_a", "grp_b"), opened.count()), "rep_a").select("token", "grp_b", F.col("rep_a").alias("a"))
+            votes = asking.join(named, ["token", "grp_b"]).groupBy("a", "grp_b", "b").agg(F.count(F.lit(1)).alias("votes"))
+            asked = votes.groupBy("a", "grp_b").agg(F.max(F.struct("votes", "b")).alias("best")).select("a", "grp_b", "best.b")
+            asked = scratch.table(asked, "asked")
+            found = scratch.table(verified(asked.select("a", "b").distinct(), documents, percent), "found")
+            links.append(found)
+            done = asked.join(found, ["a", "b"], "left_semi").select(F.col("a").alias("rep_a"), "grp_b")
+            opened = scratch.table(opened.join(done, ["rep_a", "grp_b"], "left_anti"), "opened")
+        links.append(scratch.table(_inside(opened.select("rep_a", "grp_b"), groups, documents, percent), "inside"))
     likely = scratch.table(pairs, "likely")
     scratch.drop()
     first = scratch.table(likely.groupBy("grp_a", "grp_b").agg(F.max(F.struct("common", "a", "b")).alias("best")).select("best.a", "best.b"), "first")
