@@ -10,8 +10,9 @@ prices divided by the worth of the best configuration are feasible for the dual
 The solution is scaled to cover no length twice and rounded: full configurations first, each as often
 as the solution says, at least once, as far as pieces are left.  The program is solved again for what is left,
 until a round places nearly nothing; while much is left, configurations that are a little less full may then be
-used too.  The last pieces, under a twenty-fifth and at most
-100,000, are placed best-fit decreasing.
+used too.  Of equally full ones those of few pieces
+come first, which leaves short pieces to fill up with.  The last pieces, under a tenth and at most 100,000, are placed
+best-fit decreasing.
 
 The driver sees one number for each length, at most ``capacity`` of them, whatever the corpus.  The
 result is a table of configurations and how often each is used.  A piece finds its place from its
@@ -132,7 +133,7 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 200, some: int
     while before := int(left.sum()):
         solved, low = fractional(left, min(rounds, 2 * int(np.count_nonzero(left))), some, draw)
         bound = low if bound is None else bound
-        for config, x in sorted(solved.items(), key=lambda c: (-sum(length * k for length, k in c[0]), -c[1], c[0])):
+        for config, x in sorted(solved.items(), key=lambda c: (-sum(length * k for length, k in c[0]), sum(k for _, k in c[0]), -c[1], c[0])):
             if capacity - sum(length * k for length, k in config) > waste:
                 break
             n = min([max(1, math.floor(x + 1e-9)), *(int(left[length]) // k for length, k in config)])
@@ -141,7 +142,7 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 200, some: int
                 for length, k in config:
                     left[length] -= n * k
         if before - int(left.sum()) < before / 20:
-            if before < (pieces - full) / 25 and before <= most_by_hand:
+            if before < (pieces - full) / 10 and before <= most_by_hand:
                 break
             waste = max(1, 4 * waste)
     rest = int(left.sum())
