@@ -40,6 +40,10 @@ def fold(text: str) -> bytes:
     return text.lower().encode(errors="replace").translate(_FOLD)
 
 
+#: Byte pairs up to which 4-byte strings are found in a square table (four bytes a cell: 64 MB at most).
+DENSE_WIDTH = 4096
+
+
 class Tree:
     """Counts of one language: for each order k the (k+1)-byte strings and their contexts."""
 
@@ -95,8 +99,10 @@ class Model:
             return np.unique(np.concatenate([t.levels[k][0] for t in trees]))
 
         four, three = union(3), union(2)
-        self.row4 = np.full(self.width * self.width, -1, np.int32)
-        self.row4[self._key4(four >> np.uint32(16), four & np.uint32(0xFFFF))] = np.arange(len(four))
+        self.four, self.row4 = four, None
+        if self.width <= DENSE_WIDTH:
+            self.row4 = np.full(self.width * self.width, -1, np.int32)
+            self.row4[self._key4(four >> np.uint32(16), four & np.uint32(0xFFFF))] = np.arange(len(four))
         self.cost4 = self._columns([t.cost(four, 3) for t in trees])
         self.grams3, self.cost3 = three, self._columns([t.cost(three, 2) for t in trees])
         self.contexts3 = np.unique(np.concatenate([t.levels[3][2] for t in trees]))
@@ -111,6 +117,13 @@ class Model:
     def _key4(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return self.pair_id[first] * self.width + self.pair_id[second]
 
+    def _rows4(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The row of each 4-byte string, -1 for unknown ones: by a table of byte pairs, or by search where scripts are too many for one."""
+        if self.row4 is not None:
+            return self.row4[self._key4(first, second)]
+        at, hit = self._find(self.four, ((first << np.uint32(16)) | second).astype(np.uint32))
+        return np.where(hit, at, -1)
+
     @staticmethod
     def _find(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(rows, keys), len(rows) - 1)
@@ -123,7 +136,7 @@ class Model:
         starts = ORDER + np.concatenate([[0], np.cumsum(lengths + 3)[:-1]])
         pair = (raw[:-1] << np.uint32(8)) | raw[1:]
         first, second, last = pair[:-2], pair[2:], raw[ORDER:]
-        rows = self.row4[self._key4(first, second)]
+        rows = self._rows4(first, second)
         costs = self.cost4[rows]
         if len(miss := np.flatnonzero(rows < 0)):
             costs[miss] = self._shorter(((first[miss] << np.uint32(16)) | second[miss]).astype(np.uint32))
