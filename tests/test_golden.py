@@ -1,6 +1,7 @@
 """Small worked cases: boundaries, ties, order."""
 
 import datetime as dt
+import hashlib
 import itertools
 import random
 
@@ -98,6 +99,13 @@ def test_provenance_ids(spark):
     assert len({r.canonical_pair_group_id for r in rows if r.u in "ab" and r.v}) == 1
     assert len({r.canonical_pair_group_id for r in rows}) == 2
 
+    def digest(*parts):
+        return hashlib.sha256(b"".join(len(p.encode()).to_bytes(8, "big") + p.encode() for p in parts)).hexdigest()
+
+    stamp = at(1).strftime("%Y-%m-%dT%H:%M:%S+00:00")
+    assert {r.source_row_id for r in rows if r.u == "a"} == {"edge:" + digest("a", "b", stamp, "COTRAVEL", str(i)) for i in (0, 1)}
+    assert {r.canonical_pair_group_id for r in rows if r.u in "ab" and r.v} == {"pair:" + digest("a", "b", "COTRAVEL")}
+
 
 def test_degrees_equal_the_self_join(spark):
     rng = random.Random(5)
