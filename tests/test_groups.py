@@ -45,6 +45,16 @@ def test_hops_over_groups(spark, graph_rows):
         assert plain(components.group_distances(members, edges.target(members), hops)) == plain(components.distances(found, edges.target(members), hops))
 
 
+@pytest.mark.parametrize("local_edges", [0, 1000])
+def test_bridges_of_groups(spark, local_edges):
+    groups = {"a": "12", "b": "21", "c": "234", "d": "45", "e": "56", "f": "6789", "g": "58", "h": "ab", "i": "x", "j": "3y"}
+    rows = spark.createDataFrame([(g, n, dt.datetime(2024, 1, 1)) for g, ns in groups.items() for n in ns], "co_key string, identity string, t timestamp")
+    found = edges.cotravel(rows)
+    got = plain(components.group_bridges(edges.travel_groups(rows, F.lit(MOMENT)), local_edges))
+    assert got == plain(components.bridges(found)) == [("1", "2"), ("3", "y"), ("4", "5"), ("a", "b")]
+    assert plain(components.group_bridges(edges.travel_groups(rows.where("co_key IN ('c', 'f')"), F.lit(MOMENT)), local_edges)) == []
+
+
 @pytest.mark.parametrize("local_rows", [5, 40, 10_000])
 def test_capped_links_of_a_long_chain_of_ties(spark, local_rows):
     """Equal weights: each link waits for the one before it at its end, and the rounds of the pass still stay few."""
