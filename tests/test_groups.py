@@ -47,6 +47,18 @@ def test_hops_over_groups(spark, graph_rows):
         assert plain(components.group_distances(members, edges.target(members), hops)) == plain(components.distances(found, edges.target(members), hops))
 
 
+def test_removed_pairs_leave_the_sums(spark, graph_rows):
+    events, _, found, members, _ = graph_rows
+    x = spark.createDataFrame([(f"p{i:02}", float(i % 5), i / 7) for i in range(14)], "node string, f0 double, f1 double")
+    touches = (F.col("u") == "p00") | (F.col("v") == "p00")
+    for rel in range(4):
+        cut = edges.pairs_between(members).where(touches & (F.col("rel") == rel))
+        left = gnn.pair_counts(found.where(~(touches & (F.col("rel") == rel))))
+        got = {r[0]: r[1:] for r in plain(gnn.group_aggregate(x, members, 2, "mean", removed=cut))}
+        want = {r[0]: r[1:] for r in plain(gnn.aggregate(x, left, 2, "mean"))}
+        assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for n in got for a, b in zip(got[n], want[n], strict=True))
+
+
 @pytest.mark.parametrize("local_edges", [0, 1000])
 def test_bridges_of_groups(spark, local_edges):
     groups = {"a": "12", "b": "21", "c": "234", "d": "45", "e": "56", "f": "6789", "g": "58", "h": "ab", "i": "x", "j": "3y"}
