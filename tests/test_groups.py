@@ -59,6 +59,16 @@ def test_removed_pairs_leave_the_sums(spark, graph_rows):
         assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for n in got for a, b in zip(got[n], want[n], strict=True))
 
 
+def test_attention_without_pairs(spark, graph_rows):
+    _, _, found, members, _ = graph_rows
+    for scale in (1.0, 300.0):  # large scores must not overflow
+        x = spark.createDataFrame([(f"p{i:02}", scale * (i % 5 - 2), scale * (i % 3 - 1) / 2) for i in range(15)], "node string, f0 double, f1 double")
+        head = ([[0.4, -0.3], [0.2, 0.5]], [0.3, -0.2], [0.1, 0.2], [0.1, -0.1])
+        got = {r[0]: r[1:] for r in plain(gnn.gat_heads(x, members, [head, head], relu=False))}
+        want = {r[0]: r[1:] for r in plain(gnn.gat_heads(x, gnn.pair_counts(found), [head, head], relu=False))}
+        assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 * scale for n in got for a, b in zip(got[n], want[n], strict=True))
+
+
 @pytest.mark.parametrize("local_edges", [0, 1000])
 def test_bridges_of_groups(spark, local_edges):
     groups = {"a": "12", "b": "21", "c": "234", "d": "45", "e": "56", "f": "6789", "g": "58", "h": "ab", "i": "x", "j": "3y"}
