@@ -69,6 +69,16 @@ def test_attention_without_pairs(spark, graph_rows):
         assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 * scale for n in got for a, b in zip(got[n], want[n], strict=True))
 
 
+@pytest.mark.parametrize("held_rows", [0, 10_000])
+def test_rows_that_meet_in_their_groups(spark, graph_rows, held_rows):
+    _, _, found, members, rows = graph_rows
+    assert plain(edges.provenance(edges.timed_pairs(rows, held_rows))) == plain(edges.provenance(found))
+    near = components.group_distances(members, edges.target(members), 2)
+    a, b = (near.select(F.col("node").alias(n), F.col("distance").alias(d)) for n, d in (("u", "x"), ("v", "y")))
+    want = found.join(a, "u").join(b, "v").groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "rel").agg(F.count(F.lit(1)).alias("n"), F.min("avail_time").alias("first"), F.max(F.greatest("x", "y")).alias("hop"))
+    assert plain(edges.canonical(rows, near, held_rows)) == plain(want)
+
+
 @pytest.mark.parametrize("local_edges", [0, 1000])
 def test_bridges_of_groups(spark, local_edges):
     groups = {"a": "12", "b": "21", "c": "234", "d": "45", "e": "56", "f": "6789", "g": "58", "h": "ab", "i": "x", "j": "3y"}
