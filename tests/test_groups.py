@@ -5,10 +5,11 @@ import random
 import re
 
 import pytest
+from compare import duck_rows, spark_rows
 from pyspark.sql import functions as F
 
 from chronoweave.operators import components, edges, gnn, links
-from chronoweave.plans import registry
+from chronoweave.plans import graph, registry
 
 MOMENT = dt.datetime(2024, 1, 9)
 
@@ -47,6 +48,16 @@ def test_hops_over_groups(spark, graph_rows):
         assert plain(components.group_distances(members, edges.target(members), hops)) == plain(components.distances(found, edges.target(members), hops))
 
 
+def test_ties_are_the_memberships_out_of_one_pass(spark, sf, duck, graph_rows):
+    events, _, _, members, _ = graph_rows
+    got = edges.group_ties(events.where(F.col("t") < F.lit(MOMENT)), {0: F.col("co_key"), 1: F.substring("identity", 3, 1), 9: F.col("vehicle_id")})
+    assert plain(got) == plain(members.where("kind <> 2").select("kind", "grp", "node"))
+    day = graph.last_moment(spark, sf)
+    plan = graph.group_ties(spark, sf, day)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
+    assert spark_rows(registry.QUERIES["khop2_latest"](spark, sf)) == duck_rows(duck, registry.ORACLES["khop2"].replace(graph.DAY, day))
+
+
 def test_removed_pairs_leave_the_sums(spark, graph_rows):
     events, _, found, members, _ = graph_rows
     x = spark.createDataFrame([(f"p{i:02}", float(i % 5), i / 7) for i in range(14)], "node string, f0 double, f1 double")
@@ -106,7 +117,6 @@ def test_year_counts_have_no_frame_with_two_moving_ends(spark, sf):
 def test_features_of_events_years_apart_join_no_rows(spark, tmp_path):
     """Ties, null values and labels, facts that mature at another event's moment, and times more than a year apart; rows are not joined by their ids."""
     import duckdb
-    from compare import duck_rows, spark_rows
 
     rng = random.Random(5)
     stamps = [dt.datetime(2022, 1, 1) + dt.timedelta(days=365 * rng.randrange(3), hours=rng.randrange(60)) for _ in range(40)]
