@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import col, slices
+from .common import KEPT, col, slices
 
 #: Printable bytes in the order in which byte-level vocabularies list them; the other bytes follow in order.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -195,6 +195,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+KEPT.append(_ENCODERS)
 
 
 def encoder(path: str) -> Encoder:
@@ -324,6 +325,7 @@ class ChunkEncoder:
 
 
 _CHUNKED: dict[tuple[str, int], ChunkEncoder] = {}
+KEPT.append(_CHUNKED)
 
 
 def chunk_encoder(path: str, mean: int) -> ChunkEncoder:
@@ -350,6 +352,7 @@ class Strings:
 
 
 _STRINGS: dict[str, Strings] = {}
+KEPT.append(_STRINGS)
 
 
 def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 1024, digests_only: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: White space of every contract here: space and U+0009 to U+000D.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
+#: What tasks keep in their Python worker for later ones; workers outlive their operator, so others let it go.
+KEPT: list[dict] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,8 +60,11 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.tables = spark, {}
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+        """narrow: df is small beside what it is made of, so it goes into a file for each core and not one for each partition (a file costs
+        a task, three new processes on a local file system, and a task again when it is read)."""
         path = fresh_path(self.spark, name)
+        df = df.repartition(max(4, self.spark.sparkContext.defaultParallelism)) if narrow else df
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.tables[id(out)] = (path, out)
@@ -103,9 +109,36 @@ def text_of(name: str) -> Column:
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Arrow batches in pieces of at most so many rows, so that a worker holds few Python objects at a time."""
+    batch = None
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    del batch
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers wait for their next task, and beside them the executor needs it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass  # not glibc
+
+
+def let_go() -> None:
+    """Drop what other operators keep in this worker."""
+    if any(KEPT):
+        for kept in KEPT:
+            kept.clear()
+        give_back()
+
+
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    """At most so many rows in an Arrow batch of this session from here on; a smaller bound stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key, "10000"))
+    spark.conf.set(key, str(min(rows, before) if before > 0 else rows))
 
 
 def literal_rows(spark: SparkSession, rows_json: str, schema: str) -> DataFrame:
@@ -118,6 +151,7 @@ def keep_rows(df: DataFrame, text_col: str, decide: Callable[[list[str]], list[b
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in slices(batches, rows):
             yield batch.filter(pa.array(decide([t or "" for t in batch.column(place).to_pylist()]), pa.bool_()))
 

@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, materialize, slices
+from .common import Scratch, batch_rows, col, let_go, materialize, slices
 
 WINDOW = 5
 #: A side of at most so many bytes (estimated as twice its rows and columns of 8 bytes) is broadcast; beyond, joins are left to shuffles.
@@ -86,6 +87,7 @@ def _sets(df: DataFrame, percent: int) -> DataFrame:
     arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("low", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in slices(batches):
             sets = [shingles(t.as_py()) for t in batch.column(1)]
             lows = [s[: prefix_length(len(s), percent) + len(s) // 10 + 16] for s in sets]
@@ -162,7 +164,7 @@ def _whole_tokens(df: DataFrame, *keys: str) -> DataFrame:
 
 def _hot(scratch: Scratch, tokens: DataFrame, wide: int, known: np.ndarray) -> np.ndarray:
     """The known hot tokens and those that come over ``wide`` times; for too many of them the width is raised."""
-    widths = scratch.table(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("width")).where(F.col("width") > wide), "hot")
+    widths = scratch.table(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("width")).where(F.col("width") > wide), "hot", narrow=True)
     while widths.where(F.col("width") > wide).count() > HOT_LIMIT - len(known):
         wide *= 2
         if wide > 1 << 60:
@@ -177,7 +179,7 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
 
 def connected(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, label) of all nodes of edges (a, b): equal labels for connected nodes.  Edges shrink by each node's smallest neighbour until none is left."""
-    write = scratch.table if scratch else materialize
+    write = partial(scratch.table, narrow=True) if scratch else materialize
     left = write(edges.where("a <> b").select("a", "b").distinct(), "edges")
     labels = None
     while not left.isEmpty():
@@ -308,7 +310,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Rows of a batch are whole texts: fewer of them keep what Arrow holds outside of the heap small.
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key, "10000")
-    spark.conf.set(key, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+    batch_rows(spark, ARROW_ROWS)
     try:
         return _classes(df, id_col, text_col, percent, wide, rounds)  # all jobs with texts run in here
     finally:
@@ -359,7 +361,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int, wide: int,
         return matrix.join(groups, "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
 
     def join_groups(found: DataFrame):
-        links.append(scratch.table(found, "links"))
+        links.append(scratch.table(found, "links", narrow=True))
         every = links[0]
         for more in links[1:]:
             every = every.union(more)
@@ -369,7 +371,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int, wide: int,
     tried = None
     for _ in range(rounds):
         now = scratch.table(grouped(), "grouped")
-        crowded = scratch.table(now.groupBy("token", "grp").agg(F.lit(1).alias("x")).groupBy("token").agg(F.count(F.lit(1)).alias("width")).where(F.col("width") > wide).select("token"), "crowded")
+        crowded = scratch.table(now.groupBy("token", "grp").agg(F.lit(1).alias("x")).groupBy("token").agg(F.count(F.lit(1)).alias("width")).where(F.col("width") > wide).select("token"), "crowded", narrow=True)
         few = crowded.count()
         if not few:
             break
@@ -382,12 +384,12 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int, wide: int,
         if tried is not None:
             counted = counted.join(tried, ["rep", "hub"], "left_anti")
         chosen = counted.groupBy("rep").agg(F.max(F.struct("common", (-F.col("hub")).alias("hub"))).alias("best")).select(F.col("rep").alias("a"), (-F.col("best.hub")).alias("b"))
-        chosen = scratch.table(chosen, "tried")
+        chosen = scratch.table(chosen, "tried", narrow=True)
         asked = chosen.select(F.col("a").alias("rep"), F.col("b").alias("hub"))
         tried = asked if tried is None else tried.union(asked)
         if chosen.isEmpty():
             break
-        found = scratch.table(verified(chosen, documents, percent), "found")
+        found = scratch.table(verified(chosen, documents, percent), "found", narrow=True)
         scratch.drop()
         if not found.isEmpty():
             groups = join_groups(found)
@@ -396,7 +398,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int, wide: int,
     size, many = None, 0
     sized = sets_of.withColumn("members", F.lit(1).cast("long"))
     if groups is not None:
-        size = scratch.table(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("members")), "sizes")
+        size = scratch.table(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("members")), "sizes", narrow=True)
         many = size.count()
         sized = sets_of.join(_few(size, many), "grp", "left").withColumn("members", F.coalesce("members", F.lit(1)))
     columns = ("rep", "n", "at", "late", "last", "grp", "members")
@@ -417,26 +419,26 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int, wide: int,
     pairs = met.where(alone).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "grp_a", "grp_b", "common")
     opened = met.where(~alone).select("rep_a", "grp_b", "n_a", "low")
     if many and not opened.isEmpty():
-        opened = scratch.table(_by_whole_union(opened, groups, documents, percent), "opened")
+        opened = scratch.table(_by_whole_union(opened, groups, documents, percent), "opened", narrow=True)
         for number in range(NOMINEES):
             nominee = F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(number)), "rep")).alias("b")
             named = sized.where(~one).groupBy("token", F.col("grp").alias("grp_b")).agg(nominee)
             asking = queries.join(_few(opened.select("rep_a", "grp_b"), opened.count()), "rep_a").select("token", "grp_b", F.col("rep_a").alias("a"))
             votes = asking.join(named, ["token", "grp_b"]).groupBy("a", "grp_b", "b").agg(F.count(F.lit(1)).alias("votes"))
             asked = votes.groupBy("a", "grp_b").agg(F.max(F.struct("votes", "b")).alias("best")).select("a", "grp_b", "best.b")
-            asked = scratch.table(asked, "asked")
-            found = scratch.table(verified(asked.select("a", "b").distinct(), documents, percent), "found")
+            asked = scratch.table(asked, "asked", narrow=True)
+            found = scratch.table(verified(asked.select("a", "b").distinct(), documents, percent), "found", narrow=True)
             links.append(found)
             done = asked.join(found, ["a", "b"], "left_semi").select(F.col("a").alias("rep_a"), "grp_b")
-            opened = scratch.table(opened.join(done, ["rep_a", "grp_b"], "left_anti"), "opened")
-        links.append(scratch.table(_inside(opened.select("rep_a", "grp_b"), groups, documents, percent), "inside"))
+            opened = scratch.table(opened.join(done, ["rep_a", "grp_b"], "left_anti"), "opened", narrow=True)
+        links.append(scratch.table(_inside(opened.select("rep_a", "grp_b"), groups, documents, percent), "inside", narrow=True))
     likely = scratch.table(pairs, "likely")
     scratch.drop()
-    first = scratch.table(likely.groupBy("grp_a", "grp_b").agg(F.max(F.struct("common", "a", "b")).alias("best")).select("best.a", "best.b"), "first")
+    first = scratch.table(likely.groupBy("grp_a", "grp_b").agg(F.max(F.struct("common", "a", "b")).alias("best")).select("best.a", "best.b"), "first", narrow=True)
     groups = join_groups(verified(first, documents, percent))
     scratch.drop()
     sides = groups.select(F.col("rep").alias("a"), F.col("grp").alias("x")), groups.select(F.col("rep").alias("b"), F.col("grp").alias("y"))
-    rest = scratch.table(likely.join(first, ["a", "b"], "left_anti").join(sides[0], "a", "left").join(sides[1], "b", "left").where("x is null or y is null or x <> y").select("a", "b"), "rest")
+    rest = scratch.table(likely.join(first, ["a", "b"], "left_anti").join(sides[0], "a", "left").join(sides[1], "b", "left").where("x is null or y is null or x <> y").select("a", "b"), "rest", narrow=True)
     if not rest.isEmpty():
         groups = join_groups(verified(rest, documents, percent))
 

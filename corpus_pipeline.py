@@ -10,17 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm import exact_dedup, jaccard_groups, packing, ppm, quality
-from chronoweave.llm.common import fresh, materialize, text_of
+from chronoweave.llm.common import batch_rows, fresh, materialize, text_of
 from chronoweave.llm.queries import CAPACITY, tokenizer_path
 
+#: Rows are whole documents here: so many in an Arrow batch, at most, in all stages.  Executors hold batches outside of the heap, workers once more.
+ARROW_ROWS = 512
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: texts without a letter, or whose language is not told with a score of 0.5, go."""
+    batch_rows(spark, ARROW_ROWS)
     return ppm.keep_identified(docs, ppm.train(docs))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: texts that fail the base rules, or diverge from every language, go."""
+    batch_rows(spark, ARROW_ROWS)
     return quality.keep_clean(docs, quality.references(docs))
 
 
@@ -35,6 +40,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id, and different texts under one id, are documents of their own: they are ordered by id, null last, then by a
     hash of the text.  Rows that repeat id and text are one document, all of them stay or go.
     """
+    batch_rows(spark, ARROW_ROWS)
     awkward = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
     key, sha, head = fresh(docs, "row_key", "row_sha", "class_id")
     if awkward.isEmpty():
@@ -51,6 +57,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: what is left, packed into sequences."""
+    batch_rows(spark, ARROW_ROWS)
     return packing.pack_documents(docs, tokenizer_path(), CAPACITY)
 
 

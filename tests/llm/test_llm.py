@@ -791,3 +791,48 @@ def test_near_copies_without_or_with_shared_ids(spark):
     kept = corpus_pipeline.near_copies(spark, corpus_pipeline.exact_copies(spark, docs, ""), "")
     packed = corpus_pipeline.best_fit(spark, kept, "").collect()
     assert kept.count() == 5 and packed
+
+
+def test_pipeline_holds_little_memory(spark, monkeypatch):
+    """Small batches in every stage, few files for small tables however many partitions there are, no encoders in workers that do other work."""
+    import corpus_pipeline
+    from chronoweave.llm import common
+
+    files, plain = {}, common.Scratch.table
+
+    def table(self, df, name, **options):
+        out = plain(self, df, name, **options)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(common.Scratch, "table", table)
+    rows = near_copies(random.Random(21), 14, 14)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    hard = {batch: "10000", "spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in hard}
+    try:
+        for key, value in hard.items():
+            spark.conf.set(key, value)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_groups.jaccard_classes(docs, wide=4).collect()}
+        assert spark.conf.get(batch) == "10000"
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        awkward = awkward_documents(spark)
+        for stage in (corpus_pipeline.language_id, corpus_pipeline.quality_rules, corpus_pipeline.near_copies, corpus_pipeline.best_fit):
+            spark.conf.set(batch, "10000")
+            stage(spark, awkward.limit(8), "")
+            assert int(spark.conf.get(batch)) <= corpus_pipeline.ARROW_ROWS
+        spark.conf.set(batch, "100")
+        corpus_pipeline.language_id(spark, awkward, "")
+        assert spark.conf.get(batch) == "100"
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert got == slow_classes(rows)
+    most = max(4, spark.sparkContext.defaultParallelism)
+    assert {"links", "edges", "hooks", "labels", "hot", "found", "tried"} <= set(files)
+    assert all(files[name] <= most for name in ("links", "edges", "hooks", "labels", "hot", "crowded", "tried", "found", "asked", "first", "rest", "inside") if name in files)
+    bpe.encoder(TOKENS)
+    common.let_go()
+    assert not bpe._ENCODERS
+    assert len(bpe.encoder(TOKENS).texts(["the harbour"])) == 1
