@@ -90,6 +90,25 @@ def test_rows_that_meet_in_their_groups(spark, graph_rows, held_rows):
     assert plain(edges.canonical(rows, near, held_rows)) == plain(want)
 
 
+@pytest.mark.parametrize("held_rows", [0, 10_000])
+def test_pairs_are_not_shuffled(spark, graph_rows, monkeypatch, held_rows):
+    """Above the rows that are held, members meet in many cells; no exchange has a pair of nodes, and each pair is made in one direction."""
+    _, _, found, members, rows = graph_rows
+    rows = spark.createDataFrame(rows.collect(), rows.schema)  # a cached plan would be shown with its own exchanges
+    near = components.group_distances(members, edges.target(members), 2)
+    want = [plain(edges.provenance(found)), plain(edges.canonical(rows, near))]
+    monkeypatch.setattr(edges, "CELL_PAIRS", 20, raising=False)
+    made = edges.timed_pairs(rows, held_rows)
+    counted = {frozenset(r[:2]) for r in plain(made.select("u", "v").distinct())}
+    assert made.select("u", "v").distinct().count() == len(counted) == found.where("u < v").select("u", "v").distinct().count()
+    got = [edges.provenance(made), edges.canonical(rows, near, held_rows)]
+    assert [plain(x) for x in got] == want
+    for x in got:
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert exchanges and all(re.search(r"Exchange hashpartitioning\((cell|u|a)#\d+, \d+\)", line) for line in exchanges)
+
+
 @pytest.mark.parametrize("local_edges", [0, 1000])
 def test_bridges_of_groups(spark, local_edges):
     groups = {"a": "12", "b": "21", "c": "234", "d": "45", "e": "56", "f": "6789", "g": "58", "h": "ab", "i": "x", "j": "3y"}
